@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: What separates words: blank and the characters 0x09 to 0x0D.
 SPACES = "[\\x20\\x09-\\x0D]+"
@@ -72,6 +73,26 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterato
             a = b
 
 
+def append(df: DataFrame, added: dict[str, str], work: Callable[[pa.RecordBatch], list[pa.Array]], text: str, most: int, drop: tuple[str, ...] = ()) -> DataFrame:
+    """Adds columns (name to type) that ``work`` computes from batches of up to ``most`` bytes of ``text``.
+
+    Columns in ``drop`` go, and so does a column that is named as an added one, unless it is ``text``'s own.
+    """
+    keep = [c for c in df.columns if c not in added and c not in drop]
+    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(k, T._parse_datatype_string(v)) for k, v in added.items()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text, most):
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + work(batch), [*keep, *added])
+
+    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+
+
+def crc_mod4(key: str) -> Column:
+    """crc32 of a column as text, modulo 4 (null: -1)."""
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4, F.lit(-1))
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spreads 64-bit values (the finaliser of SplitMix64)."""
     h = (h ^ (h >> U(30))) * U(0xBF58476D1CE4E5B9)
