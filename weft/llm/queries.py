@@ -1,8 +1,8 @@
 """All queries of this subpackage and their SQL."""
 
-from weft.llm import langid, quality, tokens
+from weft.llm import jaccard, langid, quality, tokens
 
-MODULES = (quality, tokens, langid)
+MODULES = (quality, tokens, langid, jaccard)
 
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
