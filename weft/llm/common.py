@@ -85,7 +85,7 @@ def append(df: DataFrame, added: dict[str, str], work: Callable[[pa.RecordBatch]
         for batch in slices(batches, text, most):
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + work(batch), [*keep, *added])
 
-    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+    return df.select(*(c for c in df.columns if c == text or c not in added)).mapInArrow(run, schema)
 
 
 def crc_mod4(key: str) -> Column:
