@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import Spans, U, append, cut, mix, slices, table, utf8, word_spans
+from weft.llm.common import Spans, U, append, cut, grouped, mix, table, utf8, word_spans
 
 #: Words of a shingle; least similarity, as a fraction.
 SHINGLE, LEAST = 5, (4, 5)
@@ -90,22 +90,6 @@ def _signed(batch_column: pa.Array) -> list[pa.Array]:
     return [pack(classes), pa.array(n), pack((path & U(0xFFFFFFFF)).astype(np.uint32)), pack((values & U(255)).astype(np.uint8))]
 
 
-def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
-    """Whole groups out of rows sorted by ``key``, many small groups to a batch."""
-    rest: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = batch.column(key).to_numpy(zero_copy_only=False)
-        last = int(np.searchsorted(keys, keys[-1], "left"))
-        if last or (rest and rest[-1].column(key)[-1].as_py() != keys[0]):
-            yield pa.Table.from_batches([*rest, batch.slice(0, last)]).combine_chunks().to_batches()[0] if rest or last else batch
-            rest = []
-        rest.append(batch.slice(last))
-    if rest:
-        yield pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
-
-
 def _runs(keys: np.ndarray) -> list[tuple[int, int]]:
     edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
     return list(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True))

@@ -1,8 +1,8 @@
 """All queries of this subpackage and their SQL."""
 
-from weft.llm import jaccard, langid, quality, repeats, tokens
+from weft.llm import chat, jaccard, langid, mixing, quality, repeats, tokens
 
-MODULES = (quality, tokens, langid, jaccard, repeats)
+MODULES = (quality, tokens, langid, chat, jaccard, mixing, repeats)
 
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
