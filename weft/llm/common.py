@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,15 +24,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialises ``df`` in the folder that ``spark.checkpoint.dir`` names, which all executors share.
+    """Writes ``df`` as a table in the folder that ``spark.checkpoint.dir`` names, which all executors share, and reads it.
 
-    The files survive a lost executor. A local folder is set only where the session names none.
+    What follows starts from files that survive lost executors; unlike checkpoint() it computes ``df`` once. The files
+    go when the application ends. A local folder serves only where the session names none.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weft-checkpoint-"))
-    return df.checkpoint()
+    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    top = f"{top}/weft-{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(top)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    df.write.option("compression", "zstd").parquet(at := f"{top}/{uuid.uuid4().hex}")
+    return spark.read.schema(df.schema).parquet(at)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

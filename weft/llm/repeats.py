@@ -10,11 +10,11 @@ itself it does before it sends anything, so a passage in a third of all document
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm.common import Spans, U, append, cut, mix, slices, table, utf8
@@ -24,7 +24,7 @@ LENGTH, GRAM = 100, 32
 #: Starts of anchors in a window.
 STARTS = LENGTH - GRAM + 1
 #: Bytes of texts worked on at once, anchors or bytes of stretches held before they are sent.
-BLOCK, HELD = 1 << 20, 1 << 19
+BLOCK, HELD = 1 << 17, 1 << 19
 LAST = np.iinfo(np.int64).max
 
 
@@ -38,35 +38,36 @@ def _slide(x: np.ndarray, k: int, pick: np.ufunc) -> np.ndarray:
     return pick(x[:n], x[k - width : k - width + n]) if k > width else x[:n]
 
 
-def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors of all texts: fingerprint, text, place in ``data``, and first and last start of the windows they serve.
+def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of all texts: fingerprint, text, and first and last start of the windows they serve.
 
     Of equal fingerprints in a window the first is its anchor.
     """
     none = np.zeros(0, np.int64)
-    grams = Spans(data).every(GRAM)
     if len(data) < LENGTH:
-        return np.zeros(0, np.uint64), none, none, none, none
-    least = _slide(grams, STARTS, np.minimum)
-    window = np.arange(len(least))
-    chosen = np.flatnonzero(_slide(np.concatenate([np.zeros(STARTS - 1, np.uint64), least, np.zeros(STARTS - 1, np.uint64)]), STARTS, np.maximum)[: len(grams)] == grams)
-    # windows of a text; each takes the first chosen place from its start on that holds its least
-    text = np.repeat(np.arange(len(at) - 1), np.diff(at))[: len(least)]
-    inside = window + LENGTH <= at[1:][text]
-    window, text = window[inside], text[inside]
-    k = np.searchsorted(chosen, window)
-    place = chosen[k]
-    while True:
-        off = np.flatnonzero(grams[place] != least[window])
-        if not len(off):
-            break
+        return np.zeros(0, np.uint64), none, none, none
+    grams = Spans(data).every(GRAM)
+    value = (grams >> U(32)).astype(np.uint32)
+    least = _slide(value, STARTS, np.minimum)
+    pad = np.zeros(STARTS - 1, np.uint32)
+    chosen = _slide(np.concatenate([pad, least, pad]), STARTS, np.maximum)[: len(grams)] == value
+    before = np.cumsum(chosen, dtype=np.int32) - chosen
+    chosen = np.flatnonzero(chosen)
+    # each window takes the first chosen place from its start on that holds its least; windows don't leave their text
+    text = np.repeat(np.arange(len(at) - 1, dtype=np.int32), np.diff(at))
+    inside = np.flatnonzero(text[: len(least)] == text[LENGTH - 1 :])
+    if not len(inside):
+        return np.zeros(0, np.uint64), none, none, none
+    least, k = least[inside], before[inside]
+    off = np.flatnonzero(value[chosen[k]] != least)
+    while len(off):
         k[off] += 1
-        place[off] = chosen[k[off]]
-    edge = np.ones(len(window), bool)
-    edge[1:] = (place[1:] != place[:-1]) | (text[1:] != text[:-1]) | (window[1:] != window[:-1] + 1)
+        off = off[value[chosen[k[off]]] != least[off]]
+    edge = np.ones(len(inside), bool)
+    edge[1:] = (k[1:] != k[:-1]) | (inside[1:] != inside[:-1] + 1)
     first = np.flatnonzero(edge)
-    last = np.append(first[1:], len(window)) - 1 if len(window) else first
-    return mix(grams[place[first]]), text[first], place[first], window[first], window[last]
+    last = np.append(first[1:], len(inside)) - 1
+    return mix(grams[chosen[k[first]]]), text[inside[first]], inside[first], inside[last]
 
 
 def _split(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +108,7 @@ def _send(buckets: int):
         parts, held, turn = [], 0, 0
         for batch in slices(batches, "_text", BLOCK):
             data, at = utf8(batch.column("_text"))
-            h, text, *_ = anchors(data, at)
+            h, text, _, _ = anchors(data, at)
             rid = batch.column("rid").to_numpy(zero_copy_only=False)[text]
             parts.append((h, rid))
             held += len(h)
@@ -188,7 +189,7 @@ def _stretches(buckets: int):
         parts, held, turn = [], 0, 0
         for batch in slices(batches, "_text", BLOCK):
             data, at = utf8(batch.column("_text"))
-            h, text, _, lo, hi = anchors(data, at)
+            h, text, lo, hi = anchors(data, at)
             h = h & ~U(1)
             wanted = batch.column("hashes").to_pylist()
             sizes = [sum(map(len, w)) // 8 for w in wanted]
@@ -278,7 +279,7 @@ def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _gone(r[gone], s[gone])
 
 
-def cut_spans(text: bytes, runs: list[bytes]) -> list[tuple[int, int]]:
+def cut_spans(runs: list[bytes]) -> list[tuple[int, int]]:
     """Maximal removed spans of a text, from runs of starts of removed windows."""
     if not runs:
         return []
@@ -295,41 +296,62 @@ def kept_bytes(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
-def mark_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that lose something: ``key``, ``rid``, ``text`` and ``runs`` (starts of removed windows).
+def digest(text: bytes, rest: bytes) -> str:
+    return hashlib.sha256(rest).hexdigest()
+
+
+def plain(text: bytes, rest: bytes) -> str:
+    """As text; of characters that a cut has split nothing is left."""
+    return rest.decode("utf-8", "ignore")
 
-    ``rid`` is a hash of key and text. Rows are in the order of ``key``, nulls last. Rows that repeat a key don't
-    count as earlier than each other; each looks back at itself alone, and at all smaller keys. Null texts are empty.
+
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", into: str = "rest", as_: Callable[[bytes, bytes], str] = plain, whole: Column | None = None) -> DataFrame:
+    """Adds ``n_bytes``, ``n_removed``, ``n_spans`` and ``into`` to the columns of ``docs`` but ``text``.
+
+    ``into`` is ``as_`` of a text and of what is left of it, or ``whole`` (the text itself by default) where all is
+    left. Rows are in the order of ``key``, nulls last. Rows that repeat a key don't count as earlier than each other;
+    each looks back at itself and at all smaller keys. Null texts are empty; shorter texts than ``LENGTH`` lose
+    nothing; texts of any length are worked on whole. An empty table stays empty; other columns stay, unless one is
+    named as an added one. Of equal texts only the first goes on; the others are removed whole.
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(key), F.xxhash64(key, text).alias("rid"), F.col(text).alias("_text")).filter(F.octet_length("_text") >= LENGTH)
+    docs = docs.drop("n_bytes", "n_removed", "n_spans", *({into} - {text}))
+    body = F.coalesce(F.col(text), F.lit("")).cast("binary")
+    marks = {"rid": F.xxhash64(key, text), "_order": F.coalesce(F.col(key).cast("bigint"), F.lit(LAST)), "_sha": F.sha2(body, 256), "n_bytes": F.length(body).cast("bigint")}
+    narrow = docs.select(*(F.col(c) for c in docs.columns if c == key), *(v.alias(k) for k, v in marks.items())).filter(F.col("n_bytes") >= LENGTH)
+    firsts = narrow.groupBy("_sha").agg(F.min("_order").alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    copied = narrow.join(firsts, "_sha").filter("_order > _first").select("rid")
+    rows = docs.select(F.xxhash64(key, text).alias("rid"), marks["_order"].alias("_order"), F.col(text).alias("_text")).filter(F.octet_length("_text") >= LENGTH)
     sent = rows.select("rid", "_text").mapInArrow(_send(n), "bucket int, kind int, rids binary, hashes binary")
     again = sent.repartition(n, "bucket").drop("bucket").mapInArrow(_again, "rid bigint, hashes binary").groupBy("rid").agg(F.collect_list("hashes").alias("hashes"))
-    some = cut(rows.withColumn("_order", F.coalesce(F.col(key).cast("bigint"), F.lit(LAST))).join(again, "rid"))
-    met = some.select("rid", "_order", "_text", "hashes").mapInArrow(_stretches(n), "bucket int, kind int, hashes binary, docs binary, rids binary, firsts binary, sizes binary, text binary")
+    again = cut(again.join(copied, "rid", "left_anti"))
+    # both uses of ``some`` take all its columns, so that its exchange of texts is made once
+    some = rows.join(again, "rid")
+    met = some.mapInArrow(_stretches(n), "bucket int, kind int, hashes binary, docs binary, rids binary, firsts binary, sizes binary, text binary")
     gone = met.repartition(n, "bucket").mapInArrow(_first, "rid bigint, runs binary").groupBy("rid").agg(F.collect_list("runs").alias("runs"))
-    return some.select(key, "rid", F.col("_text").alias("text")).join(gone, "rid")
-
-
-def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
 
     def work(batch: pa.RecordBatch) -> list[pa.Array]:
         out = []
-        for text, runs in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("runs").to_pylist(), strict=True):
-            spans = cut_spans(text, runs)
-            rest = kept_bytes(text, spans)
-            out.append((len(text) - len(rest), len(spans), hashlib.sha256(rest).hexdigest()))
-        removed, n, sha = zip(*out, strict=True) if out else ((), (), ())
-        return [pa.array(removed, pa.int64()), pa.array(n, pa.int64()), pa.array(sha, pa.string())]
-
-    lost = append(mark_repeats(docs), {"n_removed": "bigint", "n_spans": "bigint", "sha": "string"}, work, "text", BLOCK, ("text", "runs")).dropDuplicates(["doc_id", "rid"])
-    body = F.coalesce("text", F.lit("")).cast("binary")
-    whole = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), F.length(body).cast("bigint").alias("n_bytes"), F.sha2(body, 256).alias("all"))
-    lost = lost.select(F.col("doc_id").alias("_d"), F.col("rid").alias("_r"), "n_removed", "n_spans", "sha")
-    out = whole.join(lost, (whole.rid == F.col("_r")) & whole.doc_id.eqNullSafe(F.col("_d")), "left")
+        for data, runs in zip(batch.column("_text").cast(pa.binary()).to_pylist(), batch.column("runs").to_pylist(), strict=True):
+            spans = cut_spans(runs)
+            rest = kept_bytes(data, spans)
+            out.append((len(data) - len(rest), len(spans), as_(data, rest)))
+        removed, spans, rest = zip(*out, strict=True) if out else ((), (), ())
+        return [pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(rest, pa.string())]
+
+    lost = append(some.join(gone, "rid"), {"n_removed": "bigint", "n_spans": "bigint", "_rest": "string"}, work, "_text", 1 << 22, ("_text", "runs", "hashes"))
+    lost = lost.unionByName(copied.select("rid", F.lit(LAST).alias("_order"), F.lit(-1).cast("bigint").alias("n_removed"), F.lit(1).cast("bigint").alias("n_spans"), F.lit(as_(b"", b"")).alias("_rest"))).dropDuplicates(["rid"])
+    lost = lost.drop("_order")
+    out = docs.withColumns({"rid": marks["rid"], "n_bytes": marks["n_bytes"], "_whole": F.coalesce(F.col(text), F.lit("")) if whole is None else whole}).drop(text).join(lost, "rid", "left")
     none = F.lit(0).cast("bigint")
-    return out.select("doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("sha", "all").alias("kept_sha256"))
+    removed = F.when(F.col("n_removed") < 0, F.col("n_bytes")).otherwise(F.coalesce("n_removed", none))
+    return out.withColumns({"n_removed": removed, "n_spans": F.coalesce("n_spans", none), into: F.coalesce("_rest", "_whole")}).drop("rid", "_whole", "_rest")
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    sha = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return remove_repeats(docs, into="kept_sha256", as_=digest, whole=sha).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 QUERIES = {"op10_suffix_dedup": op10_suffix_dedup}
