@@ -203,7 +203,7 @@ def _stretches(buckets: int):
             span = np.repeat(lo[k] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum()) if len(k) else np.zeros(0, np.int64)
             parts.append((h[k], doc, rid, (lo[k] - at[text[k]]).astype(np.int32), size.astype(np.int32), data[span]))
             held += len(span)
-            if held >= 8 * HELD:
+            if held >= 2 * HELD:
                 turn += 1 + int(rid[0] & 0xFFFF) if len(rid) else 1
                 if (out := flush(parts, turn)) is not None:
                     yield out
@@ -252,7 +252,7 @@ def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     at = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
     x = 0
     while x < len(begin):
-        y = max(x + 1, int(np.searchsorted(weight[ends], weight[ends[x]] + 8 * HELD, "right")) - 1)
+        y = max(x + 1, int(np.searchsorted(weight[ends], weight[ends[x]] + 2 * HELD, "right")) - 1)
         i = order[ends[x] : ends[y]]
         x = y
         if len(i) < 2:
@@ -339,7 +339,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", int
         removed, spans, rest = zip(*out, strict=True) if out else ((), (), ())
         return [pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(rest, pa.string())]
 
-    lost = append(some.join(gone, "rid"), {"n_removed": "bigint", "n_spans": "bigint", "_rest": "string"}, work, "_text", 1 << 22, ("_text", "runs", "hashes"))
+    lost = append(some.join(gone, "rid"), {"n_removed": "bigint", "n_spans": "bigint", "_rest": "string"}, work, "_text", 1 << 20, ("_text", "runs", "hashes"))
     lost = lost.unionByName(copied.select("rid", F.lit(LAST).alias("_order"), F.lit(-1).cast("bigint").alias("n_removed"), F.lit(1).cast("bigint").alias("n_spans"), F.lit(as_(b"", b"")).alias("_rest"))).dropDuplicates(["rid"])
     lost = lost.drop("_order")
     out = docs.withColumns({"rid": marks["rid"], "n_bytes": marks["n_bytes"], "_whole": F.coalesce(F.col(text), F.lit("")) if whole is None else whole}).drop(text).join(lost, "rid", "left")
