@@ -23,19 +23,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` as a table in the folder that ``spark.checkpoint.dir`` names, which all executors share, and reads it.
+def shared_folder(spark: SparkSession) -> str:
+    """A folder of this application in the one that ``spark.checkpoint.dir`` names, which all executors share.
 
-    What follows starts from files that survive lost executors; unlike checkpoint() it computes ``df`` once. The files
-    go when the application ends. A local folder serves only where the session names none.
+    It goes when the application ends. A local folder serves only where the session names none.
     """
-    spark = df.sparkSession
     top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
     top = f"{top}/weft-{spark.sparkContext.applicationId}"
     path = spark._jvm.org.apache.hadoop.fs.Path(top)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    df.write.option("compression", "zstd").parquet(at := f"{top}/{uuid.uuid4().hex}")
-    return spark.read.schema(df.schema).parquet(at)
+    return top
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes ``df`` as a table in the shared folder and reads it.
+
+    What follows starts from files that survive lost executors; unlike checkpoint() it computes ``df`` once.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -206,6 +206,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     Null keys come last; rows that repeat a key are rows of their own; ties go to the least key; an empty table gives
     no rows; other columns don't matter.
     """
+    return _linked(docs, key, text).select(key, "rid", F.when(F.col("root").isNull(), F.col(key)).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def _linked(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Also ``root``, the same for all rows that hang together; null where the text has no word."""
     rows = docs.select(F.col(key), F.xxhash64(key, text).alias("rid"), F.col(text).alias("_text"))
     work = lambda batch: _signed(batch.column("_text"))
     signed = cut(append(rows, {"class": "binary", "n": "bigint", "path": "binary", "sig": "binary"}, work, "_text", BLOCK, ("_text",)))
@@ -229,9 +234,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     links = found.groupBy("class").agg(F.sum("links").alias("links"))
     known = classes.select("class", "least", "copies").join(links, "class", "left").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = known.groupBy("root").agg(F.min("least").alias("class_id"))
-    known = known.join(least, "root").select("class", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = signed.select(key, "rid", "class").join(known, "class", "left")
-    return out.select(key, "rid", F.when(F.col("class").isNull(), F.col(key)).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    known = known.join(least, "root").select("class", "root", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    return signed.select(key, "rid", "class").join(known, "class", "left").drop("class")
+
+
+def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Of each group of near duplicates one row, that with the least ``key`` (nulls last), then hash of the text.
+
+    Rows without words are groups of their own. Columns stay as they are; ``rid`` may not be among them.
+    """
+    marked = cut(_linked(docs, key, text).filter(F.col("root").isNotNull()))
+    first = marked.groupBy("root").agg(F.min(F.struct(F.col(key).isNull(), key, "rid")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    flags = marked.join(first, "root").select("rid", (F.col("rid") == F.col("first.rid")).alias("stays")).distinct()
+    rows = docs.withColumn("rid", F.xxhash64(key, text)).join(flags, "rid", "left")
+    return rows.filter("stays IS NULL").unionByName(rows.filter("stays").dropDuplicates(["rid"])).select(*docs.columns)
 
 
 def _packed(column: pa.Array) -> pa.Array:

@@ -129,6 +129,16 @@ def copies(docs: DataFrame, key: str = "doc_id", size: str = "size", source: str
     return flew.select(F.col("_k").alias(key), F.col("_n").alias(size), "source_size", "target", (F.col("_whole") + F.round("_p")).cast("bigint").alias("copies"))
 
 
+def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """Every row of ``docs`` as often as the mix of its sources takes it."""
+    sized = docs.withColumns({"_size": word_count(text), "rid": F.xxhash64(key, text, source)})
+    taken = copies(sized, "rid", "_size", source).filter("copies > 0").select("rid", "copies")
+    # rows that are alike in all of this are as many on both sides, and take turns
+    taken = taken.withColumn("_turn", F.row_number().over(Window.partitionBy("rid").orderBy(F.desc("copies"))))
+    rows = sized.withColumn("_turn", F.row_number().over(Window.partitionBy("rid").orderBy("_size")))
+    return rows.join(taken, ["rid", "_turn"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+
+
 def word_count(text: str) -> Column:
     return F.size(words_of(F.col(text))).cast("bigint")
 
