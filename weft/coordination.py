@@ -1,0 +1,166 @@
+"""Queues, variables, events, locks, semaphores and topics that threads of the driver share by name."""
+
+from __future__ import annotations
+
+import queue
+import threading
+import time
+from collections import deque
+from collections.abc import Callable
+from contextlib import contextmanager
+
+
+class Queue:
+    """First in, first out; ``get(batch=True)`` takes all there is, ``get(batch=n)`` waits for n."""
+
+    def __init__(self, most: int = 0):
+        self._items: queue.Queue = queue.Queue(most)
+
+    def put(self, item, timeout: float | None = None) -> None:
+        self._items.put(item, timeout=timeout)
+
+    def get(self, timeout: float | None = None, batch: bool | int = False):
+        if batch is True:
+            out = []
+            while True:
+                try:
+                    out.append(self._items.get_nowait())
+                except queue.Empty:
+                    return out
+        if batch:
+            end = None if timeout is None else time.monotonic() + timeout
+            return [self._items.get(timeout=None if end is None else max(0.0, end - time.monotonic())) for _ in range(batch)]
+        return self._items.get(timeout=timeout)
+
+    def qsize(self) -> int:
+        return self._items.qsize()
+
+
+class Variable:
+    """The latest value; ``get`` waits until there is one."""
+
+    def __init__(self):
+        self._set, self._value = threading.Event(), None
+
+    def set(self, value) -> None:
+        self._value = value
+        self._set.set()
+
+    def get(self, timeout: float | None = None):
+        if not self._set.wait(timeout):
+            raise TimeoutError("the variable has no value")
+        return self._value
+
+    def delete(self) -> None:
+        self._set.clear()
+        self._value = None
+
+
+class Semaphore:
+    """So many leases; those that are not renewed in time fall back."""
+
+    def __init__(self, leases: int = 1, lease_seconds: float = 30.0):
+        self.leases, self.lease_seconds = leases, lease_seconds
+        self._held: dict[int, float] = {}
+        self._next = 0
+        self._ready = threading.Condition()
+
+    def _expire(self) -> None:
+        now = time.monotonic()
+        self._held = {k: t for k, t in self._held.items() if t > now}
+
+    def acquire(self, timeout: float | None = None) -> int | None:
+        end = None if timeout is None else time.monotonic() + timeout
+        with self._ready:
+            while True:
+                self._expire()
+                if len(self._held) < self.leases:
+                    self._next += 1
+                    self._held[self._next] = time.monotonic() + self.lease_seconds
+                    return self._next
+                left = min(self._held.values()) - time.monotonic()
+                if end is not None:
+                    left = min(left, end - time.monotonic())
+                    if end <= time.monotonic():
+                        return None
+                self._ready.wait(max(left, 0.001))
+
+    def renew(self, lease: int) -> None:
+        with self._ready:
+            self._expire()
+            if lease in self._held:
+                self._held[lease] = time.monotonic() + self.lease_seconds
+
+    def release(self, lease: int) -> None:
+        with self._ready:
+            self._expire()
+            if self._held.pop(lease, None) is None:
+                raise RuntimeError("the lease is not held")
+            self._ready.notify_all()
+
+    @contextmanager
+    def held(self):
+        lease = self.acquire()
+        try:
+            yield
+        finally:
+            self.release(lease)
+
+
+class Topic:
+    """The last messages with their times; subscribers get each as it comes."""
+
+    def __init__(self, most: int = 100_000):
+        self.events: deque[tuple[float, object]] = deque(maxlen=most)
+        self.count = 0
+        self._subscribers: list[Callable[[tuple[float, object]], None]] = []
+        self._lock = threading.Lock()
+
+    def log(self, message) -> None:
+        with self._lock:
+            event = (time.time(), message)
+            self.events.append(event)
+            self.count += 1
+            subscribers = list(self._subscribers)
+        for function in subscribers:
+            function(event)
+
+    def subscribe(self, function: Callable[[tuple[float, object]], None]) -> None:
+        with self._lock:
+            self._subscribers.append(function)
+
+    def unsubscribe(self, function: Callable[[tuple[float, object]], None]) -> None:
+        with self._lock:
+            self._subscribers.remove(function)
+
+
+class Registry:
+    """Shared things by kind and name; the first use makes one."""
+
+    def __init__(self):
+        self._made: dict[tuple[type, str], object] = {}
+        self._lock = threading.Lock()
+
+    def get(self, kind: type, name: str, *args, **kwargs):
+        with self._lock:
+            if (kind, name) not in self._made:
+                self._made[kind, name] = kind(*args, **kwargs)
+            return self._made[kind, name]
+
+    def queue(self, name: str, most: int = 0) -> Queue:
+        return self.get(Queue, name, most)
+
+    def variable(self, name: str) -> Variable:
+        return self.get(Variable, name)
+
+    def event(self, name: str) -> threading.Event:
+        return self.get(threading.Event, name)
+
+    def lock(self, name: str) -> Semaphore:
+        return self.get(Semaphore, f"lock {name}", 1)
+
+    def semaphore(self, name: str, leases: int, lease_seconds: float = 30.0) -> Semaphore:
+        return self.get(Semaphore, name, leases, lease_seconds)
+
+    def topic(self, name: str) -> Topic:
+        return self.get(Topic, name)

@@ -1 +1 @@
-
+"""Scalar functions and user functions."""

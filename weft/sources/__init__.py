@@ -1 +1,5 @@
+"""Sources and sinks."""
 
+from weft.sources.readers import conform, from_partitions, read_blocks, read_csv, read_parquet, read_state, table, text_lines, time_series, write_state
+
+__all__ = ["conform", "from_partitions", "read_blocks", "read_csv", "read_parquet", "read_state", "table", "text_lines", "time_series", "write_state"]
