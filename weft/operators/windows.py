@@ -56,6 +56,11 @@ def fill_forward(df: DataFrame, value: str, order: Sequence[str], by: Sequence[s
 def overlapping(df: DataFrame, value: str, order: Sequence[str], by: Sequence[str], depth: int, into: str) -> DataFrame:
     """Array of the values from ``depth`` rows before to ``depth`` after, mirrored at the ends of the group."""
     w = Window.partitionBy(*by).orderBy(*order)
-    back = [F.coalesce(F.lag(value, k).over(w), F.lead(value, k - 1).over(w) if k > 1 else F.col(value)) for k in range(depth, 0, -1)]
-    ahead = [F.coalesce(F.lead(value, k).over(w), F.lag(value, k - 1).over(w) if k > 1 else F.col(value)) for k in range(1, depth + 1)]
+    around = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    backward = Window.partitionBy(*by).orderBy(*(F.desc(c) for c in order)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ends = [F.array(*(F.nth_value(value, k).over(side) for k in range(1, depth + 1))) for side in (around, backward)]
+    before = F.row_number().over(w) - 1
+    after = F.count("*").over(around) - 1 - before
+    back = [F.when(before >= k, F.lag(value, k).over(w)).otherwise(F.get(ends[0], (F.lit(k - 1) - before).cast("int"))) for k in range(depth, 0, -1)]
+    ahead = [F.when(after >= k, F.lead(value, k).over(w)).otherwise(F.get(ends[1], (F.lit(k - 1) - after).cast("int"))) for k in range(1, depth + 1)]
     return df.withColumn(into, F.array(*back, F.col(value), *ahead))
