@@ -16,7 +16,7 @@ from __future__ import annotations
 import heapq
 import itertools
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -30,7 +30,7 @@ from weft.llm.tokens import SPACE, default_model
 
 #: Segmentations of each text; how sharply pieces weigh by rank.
 SAMPLES, SHARPNESS = 2, 1.0
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 _WORD = regex.compile(f"{SPACE}+[^{SPACE}]*")
 
 
@@ -91,8 +91,8 @@ def split_words(text: str) -> list[str]:
 class Lattice:
     """Of distinct words: nodes are places in words, edges are sorted by the node they leave. It grows by new words."""
 
-    #: A worker's lattice is dropped and begun anew beyond so many words (about 100 MB).
-    MOST = 150_000
+    #: A worker's lattice is dropped and begun anew beyond so many words (about 60 MB).
+    MOST = 60_000
 
     def __init__(self, v: Vocabulary):
         self.v = v
@@ -102,7 +102,7 @@ class Lattice:
         # of each edge: nodes, piece id (below 0: minus one minus a character that no piece holds), share among the
         # edges of its node, sum of the shares up to it, log of the share and of that of the others
         self.start, self.to, self.ids = (np.zeros(0, np.int32) for _ in range(3))
-        self.share, self.upto, self.log, self.other = (np.zeros(0) for _ in range(4))
+        self.share, self.upto, self.log, self.other = np.zeros(0, np.float32), np.zeros(0, np.float32), np.zeros(0), np.zeros(0, np.float32)
 
     def grow(self) -> None:
         """Adds the words that have become known."""
@@ -173,7 +173,7 @@ class Lattice:
         with np.errstate(divide="ignore"):
             log = np.where(alone, 0.0, weight + beta[to] - beta[start])
             other = np.where(alone, -np.inf, np.log(np.maximum(1 - share, 1e-300)))
-        return begin, first, is_end, start, to, ids.astype(np.int32), share, upto, log, other
+        return begin, first, is_end, start, to, ids.astype(np.int32), share.astype(np.float32), upto.astype(np.float32), log, other.astype(np.float32)
 
     def choose(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge of each node by its share."""
@@ -245,9 +245,9 @@ def sample(texts: list[str], seeds: np.ndarray, k: int, v: Vocabulary) -> list[l
     def take(d: int, e: np.ndarray, before: np.ndarray, at: int, value: float, skip: tuple[int, ...], turn: int) -> None:
         """Adds a segmentation; the sets it leaves behind, from token ``at`` on, join the front."""
         sums = np.concatenate([[0.0], np.cumsum(lattice.log[e])])
-        rest = sums[at:-1] + lattice.other[e[at:]]
+        rest = sums[at:-1] + lattice.other[e[at:]].astype(np.float64)
         if skip:
-            left = 1 - lattice.share[list(skip)].sum() - lattice.share[e[at]]
+            left = 1 - float(lattice.share[list(skip)].sum(dtype=np.float64)) - float(lattice.share[e[at]])
             node = lattice.start[e[at]]
             all_out = len(skip) + 1 == lattice.first[node + 1] - lattice.first[node]
             rest[0] = sums[at] + np.log(max(left, 1e-300)) if not all_out else -np.inf
@@ -312,16 +312,17 @@ def _ids(ids: np.ndarray, v: Vocabulary) -> np.ndarray:
     return np.concatenate([parts[0], *(y for r, p in zip(raw, parts[1:], strict=True) for y in (r, p[1:]))])
 
 
-def encode(df: DataFrame, key: str, text: str = "text", k: int = SAMPLES, path: str | None = None, drop: tuple[str, ...] = ()) -> DataFrame:
+def encode(df: DataFrame, key: str, text: str = "text", k: int = SAMPLES, path: str | None = None, drop: tuple[str, ...] = (), round_trip: bool = False) -> DataFrame:
     """For each row up to ``k`` rows with ``sample`` (from 0, the highest perturbed first), ``ids`` (16 bits each, little
-    endian), ``n_ids``, ``log_prob``, ``perturbed`` and ``log_inclusion``, seeded by ``key`` alone.
+    endian), ``n_ids``, ``log_prob``, ``perturbed`` and ``log_inclusion``, seeded by ``key`` alone; on request also
+    ``round_trip``: whether decoding the ids gives the text back.
 
     A text has fewer samples only if it has fewer segmentations; null texts are empty, and an empty text has one, of no
     pieces. Texts are segmented whole, whatever their length. Rows that repeat key and text get the same; a null key
     is a seed like others; an empty table stays empty; columns named as an added one are replaced, those in ``drop`` go.
     """
     path = path or default_model()
-    added = {"sample": "int", "ids": "binary", "n_ids": "bigint", "log_prob": "double", "perturbed": "double", "log_inclusion": "double"}
+    added = {"sample": "int", "ids": "binary", "n_ids": "bigint", "log_prob": "double", "perturbed": "double", "log_inclusion": "double"} | ({"round_trip": "boolean"} if round_trip else {})
     df = df.drop(*added).withColumn("_seed", F.xxhash64(key))
     keep = [c for c in df.columns if c not in ("_seed", *drop)]
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in keep), *(f"{n} {t}" for n, t in added.items())])
@@ -330,40 +331,42 @@ def encode(df: DataFrame, key: str, text: str = "text", k: int = SAMPLES, path:
         v = vocabulary(path)
         for batch in slices(batches, text, BLOCK):
             seeds = batch.column("_seed").to_numpy(zero_copy_only=False).astype(np.uint64)
-            got = sample([t or "" for t in batch.column(text).to_pylist()], seeds, k, v)
-            rows = pa.array(np.repeat(np.arange(len(got)), [len(g) for g in got]))
-            flat = [(i, *x) for g in got for i, x in enumerate(g)]
-            n, ids, p, value, inc = zip(*flat, strict=True) if flat else ((),) * 5
+            texts = [t or "" for t in batch.column(text).to_pylist()]
+            got = sample(texts, seeds, k, v)
+            which = np.repeat(np.arange(len(got)), [len(g) for g in got])
+            n, ids, p, value, inc = zip(*((i, *x) for g in got for i, x in enumerate(g)), strict=True) if got else ((),) * 5
             out = [pa.array(n, pa.int32()), pa.array([x.astype("<u2").tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64()), pa.array(p, pa.float64()), pa.array(value, pa.float64()), pa.array(inc, pa.float64())]
+            if round_trip:
+                plain = [t.replace(SPACE, " ") for t in texts]
+                out.append(pa.array([plain[i] == back for i, back in zip(which.tolist(), texts_of(ids, v), strict=True)], pa.bool_()))
+            rows = pa.array(which)
             yield pa.RecordBatch.from_arrays([batch.column(c).take(rows) for c in keep] + out, [*keep, *added])
 
     return df.mapInArrow(work, fields)
 
 
+def texts_of(ids: Sequence[np.ndarray], v: Vocabulary) -> Iterator[str]:
+    for x in ids:
+        size = v.size[x]
+        ends = np.cumsum(size)
+        data = v.bytes[np.repeat(v.start[x] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        yield data[1:].tobytes().decode("utf-8", "replace")  # without the space that was put before
+
+
 def decode(df: DataFrame, ids: str = "ids", into: str = "decoded", path: str | None = None, drop: tuple[str, ...] = ()) -> DataFrame:
-    """Adds the text that ``ids`` stand for. What spaces looked like in the text (U+2581 counts as one) is a space."""
+    """Adds the text that ``ids`` stand for; null ids give an empty one. What looked like a space (U+2581) is a space."""
     path = path or default_model()
 
     def work(batch: pa.RecordBatch) -> list[pa.Array]:
-        v = vocabulary(path)
-        rows = batch.column(ids).to_pylist()
-        every = np.frombuffer(b"".join(r or b"" for r in rows), "<u2").astype(np.int64)
-        size = v.size[every]
-        ends = np.cumsum(size)
-        data = v.bytes[np.repeat(v.start[every] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
-        tokens = np.concatenate([[0], np.cumsum([len(r or b"") // 2 for r in rows])])
-        at = np.concatenate([[0], ends])[tokens]
-        return [pa.array([data[a + 1 : b].tobytes().decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)], pa.string())]
+        rows = [np.frombuffer(r or b"", "<u2").astype(np.int64) for r in batch.column(ids).to_pylist()]
+        return [pa.array(list(texts_of(rows, vocabulary(path))), pa.string())]
 
     return append(df, {into: "string"}, work, ids, BLOCK, drop)
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    plain = F.sha2(F.translate(F.coalesce("text", F.lit("")), SPACE, " ").cast("binary"), 256)
-    df = encode(docs.withColumn("_sha", plain), "doc_id", drop=("text",)).withColumn("ids_sha256", F.sha2("ids", 256))
-    df = decode(df, drop=("ids",)).withColumn("decoded", F.sha2(F.col("decoded").cast("binary"), 256))
-    return df.select("doc_id", "sample", "n_ids", "log_prob", "perturbed", "log_inclusion", "ids_sha256", (F.col("decoded") == F.col("_sha")).alias("round_trip"))
+    return encode(docs, "doc_id", drop=("text",), round_trip=True).withColumn("ids_sha256", F.sha2("ids", 256)).drop("ids")
 
 
 QUERIES = {"op7_sentencepiece": op7_sentencepiece}
