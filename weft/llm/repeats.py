@@ -122,32 +122,50 @@ def _send(buckets: int):
     return work
 
 
-def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows and those of their anchors that occur more than once."""
-    singles = []
-
-    def answer(rid: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
+def _deal(rid: np.ndarray, items: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Answers to rows, items of eight bytes each, as records by bucket of the row."""
+    bucket = mix(rid.astype(np.uint64)) % U(buckets)
+    order = np.argsort(bucket, kind="stable")
+    rid, items, bucket = rid[order], items[order], bucket[order]
+    begin, ends = _split(bucket)
+    cut_ = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(begin, ends[1:], strict=True)], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(bucket[begin].astype(np.int32)), cut_(rid), cut_(items)], ["bucket", "rids", "items"])
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All items of each row of a bucket."""
+    got = [(np.frombuffer(r, np.int64), np.frombuffer(i, np.uint64)) for b in batches for r, i in zip(b.column("rids").to_pylist(), b.column("items").to_pylist(), strict=True)]
+    if got:
+        rid, items = (np.concatenate(x) for x in zip(*got, strict=True))
         order = np.argsort(rid, kind="stable")
-        rid, h = rid[order], h[order]
+        rid, items = rid[order], items[order]
         begin, ends = _split(rid)
-        return pa.RecordBatch.from_arrays([pa.array(rid[begin]), pa.array([h[x:y].tobytes() for x, y in zip(begin, ends[1:], strict=True)], pa.binary())], ["rid", "hashes"])
-
-    for batch in batches:
-        for kind, rids, hashes in zip(*(batch.column(c).to_pylist() for c in ("kind", "rids", "hashes")), strict=True):
-            rid, h = np.frombuffer(rids, np.int64), np.frombuffer(hashes, np.uint64)
-            if kind:
-                yield answer(rid, h)
-            else:
-                singles.append((rid, h))
-    if singles:
-        rid, h = (np.concatenate(x) for x in zip(*singles, strict=True))
-        order = np.argsort(h, kind="stable")
-        rid, h = rid[order], h[order]
-        begin, ends = _split(h & ~U(1))
-        many = (np.diff(ends) > 1) | (h[ends[1:] - 1] & U(1)).astype(bool)
-        keep = np.repeat(many, np.diff(ends))
-        if keep.any():
-            yield answer(rid[keep], h[keep] & ~U(1))
+        yield pa.RecordBatch.from_arrays([pa.array(rid[begin]), pa.array([items[a:b].tobytes() for a, b in zip(begin, ends[1:], strict=True)], pa.binary())], ["rid", "items"])
+
+
+def _again(buckets: int):
+    """Rows and those of their anchors that occur more than once."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        singles = []
+        for batch in batches:
+            for kind, rids, hashes in zip(*(batch.column(c).to_pylist() for c in ("kind", "rids", "hashes")), strict=True):
+                rid, h = np.frombuffer(rids, np.int64), np.frombuffer(hashes, np.uint64)
+                if kind:
+                    yield _deal(rid, h, buckets)
+                else:
+                    singles.append((rid, h))
+        if singles:
+            rid, h = (np.concatenate(x) for x in zip(*singles, strict=True))
+            order = np.argsort(h, kind="stable")
+            rid, h = rid[order], h[order]
+            begin, ends = _split(h & ~U(1))
+            many = (np.diff(ends) > 1) | (h[ends[1:] - 1] & U(1)).astype(bool)
+            keep = np.repeat(many, np.diff(ends))
+            if keep.any():
+                yield _deal(rid[keep], h[keep] & ~U(1), buckets)
+
+    return work
 
 
 def _stretches(buckets: int):
@@ -191,10 +209,9 @@ def _stretches(buckets: int):
             data, at = utf8(batch.column("_text"))
             h, text, lo, hi = anchors(data, at)
             h = h & ~U(1)
-            wanted = batch.column("hashes").to_pylist()
-            sizes = [sum(map(len, w)) // 8 for w in wanted]
-            of = np.repeat(np.arange(len(wanted)), sizes)
-            pairs = mix(np.frombuffer(b"".join(b"".join(w) for w in wanted), np.uint64) ^ mix(of.astype(np.uint64)))
+            wanted = batch.column("items").to_pylist()
+            of = np.repeat(np.arange(len(wanted)), [len(w) // 8 for w in wanted])
+            pairs = mix(np.frombuffer(b"".join(wanted), np.uint64) ^ mix(of.astype(np.uint64)))
             own = mix(h ^ mix(text.astype(np.uint64)))
             k = np.flatnonzero(np.isin(own, pairs))
             rid = batch.column("rid").to_numpy(zero_copy_only=False)[text[k]]
@@ -217,73 +234,75 @@ def _stretches(buckets: int):
 STRETCH = ["bucket", "kind", "hashes", "docs", "rids", "firsts", "sizes", "text"]
 
 
-def _gone(rid: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
+def _gone(rid: np.ndarray, start: np.ndarray, buckets: int) -> pa.RecordBatch:
     """Rows with the runs of starts of removed windows."""
     order = np.lexsort((start, rid))
     rid, start = rid[order], start[order].astype(np.int64)
     edge = np.concatenate([[True], (rid[1:] != rid[:-1]) | (start[1:] > start[:-1] + 1)]) if len(rid) else np.zeros(0, bool)
     a = np.flatnonzero(edge)
     b = np.append(a[1:], len(rid)) - 1 if len(a) else a
-    runs = np.stack([start[a], start[b]], 1).astype(np.int32)
-    begin, ends = _split(rid[a])
-    return pa.RecordBatch.from_arrays([pa.array(rid[a][begin]), pa.array([runs[x:y].tobytes() for x, y in zip(begin, ends[1:], strict=True)], pa.binary())], ["rid", "runs"])
+    return _deal(rid[a], np.stack([start[a], start[b]], 1).astype(np.int32).reshape(-1).view(np.uint64), buckets)
 
 
-def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _first(buckets: int):
     """Windows that are not the first of their kind."""
-    got = []
-    for batch in batches:
-        for kind, *rest in zip(*(batch.column(c).to_pylist() for c in STRETCH[1:]), strict=True):
-            h, doc, rid, first, size, text = (np.frombuffer(x, t) for x, t in zip(rest, (np.uint64, np.int64, np.int64, np.int32, np.int32, np.uint8), strict=True))
-            if kind:
-                n = size.astype(np.int64) - LENGTH + 1
-                k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                yield _gone(np.repeat(rid, n), np.repeat(first, n) + k)
-            else:
-                got.append((h, doc, rid, first, size, text))
-    if not got:
-        return
-    h, doc, rid, first, size, text = (np.concatenate(x) for x in zip(*got, strict=True))
-    del got
-    # anchors with their stretches in parts of bounded size; an anchor's stretches stay together
-    order = np.argsort(h, kind="stable")
-    begin, ends = _split(h[order])
-    weight = np.concatenate([[0], np.cumsum(size[order], dtype=np.int64)])
-    at = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
-    x = 0
-    while x < len(begin):
-        y = max(x + 1, int(np.searchsorted(weight[ends], weight[ends[x]] + 2 * HELD, "right")) - 1)
-        i = order[ends[x] : ends[y]]
-        x = y
-        if len(i) < 2:
-            continue
-        n = size[i].astype(np.int64)
-        off = np.concatenate([[0], np.cumsum(n)])
-        local = text[np.repeat(at[i] - off[:-1], n) + np.arange(off[-1])]
-        m = n - LENGTH + 1
-        owner = np.repeat(np.arange(len(i)), m)
-        k = np.arange(len(owner)) - np.repeat(np.cumsum(m) - m, m)
-        w = Spans(local).of(off[:-1][owner] + k, off[:-1][owner] + k + LENGTH)
-        key, d, r, s = mix(w ^ h[i][owner]), doc[i][owner], rid[i][owner], first[i][owner] + k
-        o = np.argsort(key, kind="stable")
-        o = o[np.repeat(np.diff(_split(key[o])[1]) > 1, np.diff(_split(key[o])[1]))]  # what stands alone is no repeat
-        o = o[np.lexsort((s[o], r[o], d[o], key[o]))]
-        if not len(o):
-            continue
-        key, d, r, s = key[o], d[o], r[o], s[o]
-        kb, ke = _split(key)
-        least = np.repeat(d[kb], np.diff(ke))
-        row = (key[1:] == key[:-1]) & (r[1:] == r[:-1])
-        head = np.maximum.accumulate(np.where(np.concatenate([[True], ~row]), np.arange(len(key)), 0))
-        gone = (d > least) | (s > s[head])  # a smaller document has it, or the row itself before
-        yield _gone(r[gone], s[gone])
-
-
-def cut_spans(runs: list[bytes]) -> list[tuple[int, int]]:
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = []
+        for batch in batches:
+            for kind, *rest in zip(*(batch.column(c).to_pylist() for c in STRETCH[1:]), strict=True):
+                h, doc, rid, first, size, text = (np.frombuffer(x, t) for x, t in zip(rest, (np.uint64, np.int64, np.int64, np.int32, np.int32, np.uint8), strict=True))
+                if kind:
+                    n = size.astype(np.int64) - LENGTH + 1
+                    k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    yield _gone(np.repeat(rid, n), np.repeat(first, n) + k, buckets)
+                else:
+                    got.append((h, doc, rid, first, size, text))
+        if not got:
+            return
+        h, doc, rid, first, size, text = (np.concatenate(x) for x in zip(*got, strict=True))
+        del got
+        # anchors with their stretches in parts of bounded size; an anchor's stretches stay together
+        order = np.argsort(h, kind="stable")
+        begin, ends = _split(h[order])
+        weight = np.concatenate([[0], np.cumsum(size[order], dtype=np.int64)])
+        at = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        x = 0
+        while x < len(begin):
+            y = max(x + 1, int(np.searchsorted(weight[ends], weight[ends[x]] + 2 * HELD, "right")) - 1)
+            i = order[ends[x] : ends[y]]
+            x = y
+            if len(i) < 2:
+                continue
+            n = size[i].astype(np.int64)
+            off = np.concatenate([[0], np.cumsum(n)])
+            local = text[np.repeat(at[i] - off[:-1], n) + np.arange(off[-1])]
+            m = n - LENGTH + 1
+            owner = np.repeat(np.arange(len(i)), m)
+            k = np.arange(len(owner)) - np.repeat(np.cumsum(m) - m, m)
+            w = Spans(local).of(off[:-1][owner] + k, off[:-1][owner] + k + LENGTH)
+            key, d, r, s = mix(w ^ h[i][owner]), doc[i][owner], rid[i][owner], first[i][owner] + k
+            o = np.argsort(key, kind="stable")
+            o = o[np.repeat(np.diff(_split(key[o])[1]) > 1, np.diff(_split(key[o])[1]))]  # what stands alone is no repeat
+            o = o[np.lexsort((s[o], r[o], d[o], key[o]))]
+            if not len(o):
+                continue
+            key, d, r, s = key[o], d[o], r[o], s[o]
+            kb, ke = _split(key)
+            least = np.repeat(d[kb], np.diff(ke))
+            row = (key[1:] == key[:-1]) & (r[1:] == r[:-1])
+            head = np.maximum.accumulate(np.where(np.concatenate([[True], ~row]), np.arange(len(key)), 0))
+            gone = (d > least) | (s > s[head])  # a smaller document has it, or the row itself before
+            yield _gone(r[gone], s[gone], buckets)
+
+    return work
+
+
+def cut_spans(runs: bytes) -> list[tuple[int, int]]:
     """Maximal removed spans of a text, from runs of starts of removed windows."""
     if not runs:
         return []
-    x = np.frombuffer(b"".join(runs), np.int32).reshape(-1, 2).astype(np.int64)
+    x = np.frombuffer(runs, np.int32).reshape(-1, 2).astype(np.int64)
     x = x[np.argsort(x[:, 0], kind="stable")]
     end = np.maximum.accumulate(x[:, 1] + LENGTH)
     new = np.concatenate([[True], x[1:, 0] > end[:-1]])
@@ -314,7 +333,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", int
     nothing; texts of any length are worked on whole. An empty table stays empty; other columns stay, unless one is
     named as an added one. Of equal texts only the first goes on; the others are removed whole.
     """
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n, answers = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket int, rids binary, items binary"
     docs = docs.drop("n_bytes", "n_removed", "n_spans", *({into} - {text}))
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     marks = {"rid": F.xxhash64(key, text), "_order": F.coalesce(F.col(key).cast("bigint"), F.lit(LAST)), "_sha": F.sha2(body, 256), "n_bytes": F.length(body).cast("bigint")}
@@ -323,12 +342,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", int
     copied = narrow.join(firsts, "_sha").filter("_order > _first").select("rid")
     rows = docs.select(F.xxhash64(key, text).alias("rid"), marks["_order"].alias("_order"), F.col(text).alias("_text")).filter(F.octet_length("_text") >= LENGTH)
     sent = rows.select("rid", "_text").mapInArrow(_send(n), "bucket int, kind int, rids binary, hashes binary")
-    again = sent.repartition(n, "bucket").drop("bucket").mapInArrow(_again, "rid bigint, hashes binary").groupBy("rid").agg(F.collect_list("hashes").alias("hashes"))
+    again = sent.repartition(n, "bucket").drop("bucket").mapInArrow(_again(n), answers).repartition(n, "bucket").mapInArrow(_gather, "rid bigint, items binary")
     again = cut(again.join(copied, "rid", "left_anti"))
     # both uses of ``some`` take all its columns, so that its exchange of texts is made once
     some = rows.join(again, "rid")
     met = some.mapInArrow(_stretches(n), "bucket int, kind int, hashes binary, docs binary, rids binary, firsts binary, sizes binary, text binary")
-    gone = met.repartition(n, "bucket").mapInArrow(_first, "rid bigint, runs binary").groupBy("rid").agg(F.collect_list("runs").alias("runs"))
+    gone = met.repartition(n, "bucket").mapInArrow(_first(n), answers).repartition(n, "bucket").mapInArrow(_gather, "rid bigint, items binary").withColumnRenamed("items", "runs")
 
     def work(batch: pa.RecordBatch) -> list[pa.Array]:
         out = []
@@ -339,7 +358,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", int
         removed, spans, rest = zip(*out, strict=True) if out else ((), (), ())
         return [pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(rest, pa.string())]
 
-    lost = append(some.join(gone, "rid"), {"n_removed": "bigint", "n_spans": "bigint", "_rest": "string"}, work, "_text", 1 << 20, ("_text", "runs", "hashes"))
+    lost = append(some.join(gone, "rid"), {"n_removed": "bigint", "n_spans": "bigint", "_rest": "string"}, work, "_text", 1 << 20, ("_text", "runs", "items"))
     lost = lost.unionByName(copied.select("rid", F.lit(LAST).alias("_order"), F.lit(-1).cast("bigint").alias("n_removed"), F.lit(1).cast("bigint").alias("n_spans"), F.lit(as_(b"", b"")).alias("_rest"))).dropDuplicates(["rid"])
     lost = lost.drop("_order")
     out = docs.withColumns({"rid": marks["rid"], "n_bytes": marks["n_bytes"], "_whole": F.coalesce(F.col(text), F.lit("")) if whole is None else whole}).drop(text).join(lost, "rid", "left")
