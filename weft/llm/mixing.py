@@ -2,8 +2,8 @@
 
 A source whose target is r times its size takes every document floor(r) times, and once more with probability
 r - floor(r). The flight phase moves these probabilities along directions that keep the totals of words and of
-documents of each source, until each is 0 or 1 but for two documents. Blocks of a source's documents fly apart from
-each other; what they leave over, two each, flies on together in ever fewer blocks, until the landing phase decides
+documents of each source, until each is 0 or 1 but for a few documents. Blocks of a source's documents fly apart from
+each other; what they leave over, a few each, flies on together in ever fewer blocks, until the landing phase decides
 the last few documents of a source.
 """
 
@@ -23,7 +23,7 @@ from weft.llm.common import U, cut, grouped, mix, table, words_of
 WEIGHTS, SHARE, COPIES = (5, 2, 1), Fraction(3, 2), 2
 #: Rows of a block of the flight; the leftovers of so many blocks come together in the next round.
 ROWS, FAN = 1024, 256
-#: Documents of a source that the landing phase decides, by trying all choices.
+#: Documents that a block leaves over; the landing phase decides the last ones of a source by trying all choices.
 LANDING = 12
 TINY = 1e-9
 
@@ -92,7 +92,7 @@ def _fly(landing: bool):
             chance = (mix(h.astype(np.uint64)) >> U(11)) / float(1 << 53)
             edge = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)]])
             for a, b in zip(edge[:-1], edge[1:], strict=True):
-                q = flight(p[a:b], size[a:b], chance[a:b], LANDING if landing else 2)
+                q = flight(p[a:b], size[a:b], chance[a:b], LANDING)
                 p[a:b] = _land(q, size[a:b]) if landing else q
             yield batch.set_column(batch.schema.get_field_index("_p"), "_p", pa.array(p))
 
