@@ -260,4 +260,16 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op5_ngram_jaccard": op5_ngram_jaccard}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op5_ngram_jaccard": r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT r, doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY ALL),
+h AS (SELECT a, b FROM p JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 5 * shared >= 4 * (x.n + y.n - shared)),
+l AS (SELECT a, b FROM h UNION ALL SELECT b, a FROM h),
+c AS (SELECT a, b FROM l UNION SELECT c.a, l.b FROM c JOIN l ON c.b = l.a),
+k AS (SELECT c.a AS r, min(d.doc_id) AS class_id FROM c JOIN d ON c.b = d.r GROUP BY c.a),
+m AS (SELECT a AS r, count(*) AS n FROM l GROUP BY a)
+SELECT doc_id, coalesce(k.class_id, doc_id) AS class_id, coalesce(m.n, 0) AS n_links FROM d LEFT JOIN k USING (r) LEFT JOIN m USING (r)""",
+}

@@ -374,4 +374,15 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_suffix_dedup": op10_suffix_dedup}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op10_suffix_dedup": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, doc_id, s, substr(h, 2 * s + 1, {2 * LENGTH}) AS g FROM (SELECT r, doc_id, h, unnest(range(0, len(h) // 2 - {LENGTH - 1})) AS s FROM d WHERE len(h) >= {2 * LENGTH})),
+f AS (SELECT r, doc_id, s, min(coalesce(doc_id, {LAST})) OVER (PARTITION BY g) AS lead, row_number() OVER (PARTITION BY g, r ORDER BY s) AS k FROM w),
+x AS (SELECT r, s, CASE WHEN s > lag(s) OVER (PARTITION BY r ORDER BY s) + {LENGTH} THEN 1 ELSE 0 END AS new FROM f WHERE lead < coalesce(doc_id, {LAST}) OR k > 1),
+y AS (SELECT r, s, sum(new) OVER (PARTITION BY r ORDER BY s) AS i FROM x),
+z AS (SELECT r, i, min(s) AS a, max(s) + {LENGTH} AS b FROM y GROUP BY ALL),
+q AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS e FROM z),
+t AS (SELECT q.r, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * e + 1, 2 * (a - e)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept FROM q JOIN d USING (r) GROUP BY q.r)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN t USING (r)""",
+}
