@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from weft.plans.registry import query
-from weft.sources import table
+from weft.sources import shared_folder, table
 from weft.streaming import feeds
 
 #: How late events may come.
@@ -20,9 +20,7 @@ def _stream(spark, d):
 
 
 def _drained(spark, df, mode):
-    name = f"weft_{uuid.uuid4().hex}"
-    feeds.drain(df, name, mode)
-    return spark.table(name)
+    return feeds.drain(df, f"{shared_folder(spark)}/{uuid.uuid4().hex}", mode)
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

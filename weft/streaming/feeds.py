@@ -64,14 +64,22 @@ def actors(df: DataFrame, key: str, step: Callable[[dict, pd.DataFrame], dict],
     return df.groupBy(key).applyInPandasWithState(work, f"{key} {kind}, {fields}", fields, "update", GroupStateTimeout.NoTimeout)
 
 
-def drain(df: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> StreamingQuery:
-    """Runs over all there is and ends; the rows are in the table ``name``. For reports: the table lies in the driver."""
-    writer = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    q = writer.start()
-    q.awaitTermination()
-    return q
+def drain(df: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Runs over all there is and ends; the rows are in tables under ``folder``, which all machines share.
+
+    A batch that is run again replaces its own table. In mode complete the last batch counts, else all do.
+    """
+    spark = df.sparkSession
+    spark.createDataFrame([], df.schema).write.parquet(f"{folder}/rows/batch=-1")
+    last = [-1]
+
+    def keep(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+        last[0] = max(last[0], number)
+
+    df.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.parquet(f"{folder}/rows")
+    return (out.where(F.col("batch") == last[0]) if mode == "complete" else out).drop("batch")
 
 
 def every_batch(df: DataFrame, function: Callable[[DataFrame, int], None], interval: str | None = None, checkpoint: str | None = None) -> StreamingQuery:
