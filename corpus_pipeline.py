@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm import jaccard, langid, mixing, repeats, segments
-from weft.llm.common import crc_mod4, shared_folder, table
+from weft.llm.common import crc_mod4, table
+from weft.sources import shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
