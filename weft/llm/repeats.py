@@ -3,8 +3,10 @@
 A window of ``LENGTH`` bytes is removed where an equal one starts earlier. Every window has an anchor, the
 ``GRAM``-byte string in it whose fingerprint is least, which its content alone decides; so equal windows have equal
 anchors. Anchors that occur once drop out after one exchange of fingerprints. The stretches of windows around the
-others meet by anchor, and in each such meeting the first of equal windows is found. Whatever a task can settle by
-itself it does before it sends anything, so a passage in a third of all documents sends one record a task.
+others meet by anchor. Of the stretches that meet, a run-length index is built: their windows in the order of their
+bytes, the runs of the Burrows-Wheeler transform, and a sample for each run, its first place in the corpus. Windows
+that match an earlier one over their whole length are marked by the samples. Whatever a task can settle by itself it
+does before it sends anything, so a passage in a third of all documents sends one record a task.
 """
 
 from __future__ import annotations
@@ -244,6 +246,34 @@ def _gone(rid: np.ndarray, start: np.ndarray, buckets: int) -> pa.RecordBatch:
     return _deal(rid[a], np.stack([start[a], start[b]], 1).astype(np.int32).reshape(-1).view(np.uint64), buckets)
 
 
+def run_index(text: np.ndarray, start: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of ``LENGTH`` bytes at ``start``, in the order of their bytes; where the runs of the Burrows-Wheeler
+    transform of that order begin; and where the groups of equal windows do.
+
+    Ranks of 8 bytes double up to 64, and two ranks of 64 overlap to ``LENGTH``. A run is a stretch of equal windows
+    with the same byte before them (none unless ``inner``): copies of a passage share it, however many there are.
+    """
+    n = len(text)
+    padded = np.concatenate([text, np.zeros(LENGTH, np.uint8)]).astype(np.uint64)
+    key = np.zeros(n, np.uint64)
+    for j in range(8):
+        key = (key << U(8)) | padded[j : j + n]
+    width = 8
+    while True:
+        rank = np.unique(key, return_inverse=True)[1].astype(np.uint64)
+        if width == 64:
+            break
+        key = (rank << U(32)) | np.concatenate([rank[width:], np.zeros(min(width, n), np.uint64)])
+        width *= 2
+    key = (rank[start] << U(32)) | rank[start + (LENGTH - width)]
+    order = np.argsort(key, kind="stable")
+    before = np.where(inner, text[start - 1].astype(np.int16), -1)[order]
+    key = key[order]
+    group = np.concatenate([[True], key[1:] != key[:-1]])
+    run = group | np.concatenate([[True], before[1:] != before[:-1]])
+    return order, np.flatnonzero(run), np.flatnonzero(group)
+
+
 def _first(buckets: int):
     """Windows that are not the first of their kind."""
 
@@ -280,19 +310,20 @@ def _first(buckets: int):
             m = n - LENGTH + 1
             owner = np.repeat(np.arange(len(i)), m)
             k = np.arange(len(owner)) - np.repeat(np.cumsum(m) - m, m)
-            w = Spans(local).of(off[:-1][owner] + k, off[:-1][owner] + k + LENGTH)
-            key, d, r, s = mix(w ^ h[i][owner]), doc[i][owner], rid[i][owner], first[i][owner] + k
-            o = np.argsort(key, kind="stable")
-            o = o[np.repeat(np.diff(_split(key[o])[1]) > 1, np.diff(_split(key[o])[1]))]  # what stands alone is no repeat
-            o = o[np.lexsort((s[o], r[o], d[o], key[o]))]
-            if not len(o):
-                continue
-            key, d, r, s = key[o], d[o], r[o], s[o]
-            kb, ke = _split(key)
-            least = np.repeat(d[kb], np.diff(ke))
-            row = (key[1:] == key[:-1]) & (r[1:] == r[:-1])
-            head = np.maximum.accumulate(np.where(np.concatenate([[True], ~row]), np.arange(len(key)), 0))
-            gone = (d > least) | (s > s[head])  # a smaller document has it, or the row itself before
+            d, r, s = doc[i][owner], rid[i][owner], first[i][owner] + k
+            windows, runs, groups = run_index(local, off[:-1][owner] + k, k > 0)
+            place = np.empty(len(d), np.int64)  # in the order of documents, rows and starts
+            place[by := np.lexsort((s, r, d))] = np.arange(len(d))
+            sample = np.minimum.reduceat(place[windows], runs)  # the first place of each run
+            lead = by[np.repeat(np.minimum.reduceat(sample, np.searchsorted(runs, groups)), np.diff(np.append(groups, len(d))))]
+            d, r, s, lead_d, lead_r, lead_s = d[windows], r[windows], s[windows], d[lead], r[lead], s[lead]
+            gone = (d > lead_d) | ((r == lead_r) & (s > lead_s))  # a smaller document has it, or the row itself before
+            other = np.flatnonzero((d == lead_d) & (r != lead_r))  # another row of the least document looks at itself
+            if len(other):
+                g = np.searchsorted(groups, other, "right")
+                other = other[o := np.lexsort((s[other], r[other], g))]
+                new = np.concatenate([[True], (g[o][1:] != g[o][:-1]) | (r[other][1:] != r[other][:-1])])
+                gone[other] = s[other] > s[other][np.maximum.accumulate(np.where(new, np.arange(len(other)), 0))]
             yield _gone(r[gone], s[gone], buckets)
 
     return work
