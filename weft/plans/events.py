@@ -198,3 +198,58 @@ def approx_distinct(spark, d):
 def quantiles(spark, d):
     q = F.percentile_approx("value", [0.05, 0.25, 0.5, 0.75, 0.95], 10_000)
     return table(spark, d, "events").groupBy("event_type").agg(q.alias("quantiles"))
+
+
+@query("SELECT page_id, url_encode(url) AS url FROM pages")
+def url_escape(spark, d):
+    return table(spark, d, "pages").select("page_id", F.url_encode("url").alias("url"))
+
+
+@query("SELECT event_type, CAST(to_json({'n': count(*), 'users': count(DISTINCT user_id)}) AS VARCHAR) AS js FROM events GROUP BY ALL")
+def json_counts(spark, d):
+    counts = table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
+    return counts.select("event_type", F.to_json(F.struct("n", "users")).alias("js"))
+
+
+@query("""WITH o AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS p, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+k AS (SELECT event_id, user_id, p, n, unnest(range(-2, 3)) AS k FROM o), m AS (SELECT event_id, user_id, k, CASE WHEN p + k < 0 THEN -(p + k) - 1 WHEN p + k >= n THEN 2 * n - 1 - (p + k) ELSE p + k END AS q FROM k)
+SELECT m.event_id, string_agg(CAST(o.event_id AS VARCHAR), ',' ORDER BY k) AS around FROM m JOIN o ON m.user_id = o.user_id AND m.q = o.p GROUP BY m.event_id""")
+def map_overlap(spark, d):
+    df = windows.overlapping(table(spark, d, "events").select("event_id", "user_id"), "event_id", ["event_id"], ["user_id"], 2, "w")
+    return df.select("event_id", F.array_join(F.transform("w", lambda x: x.cast("string")), ",").alias("around"))
+
+
+@query(f"SELECT i, j, round(v, 9) AS v FROM {_CELLS} UNION ALL SELECT i + 64, j, round(v, 9) FROM {_CELLS}")
+def array_concatenate(spark, d):
+    a = _cells(spark, d)
+    return arrays.concatenate([(a, 64), (a, 64)]).withColumn("v", F.round("v", 9))
+
+
+@query("SELECT user_id % 2 AS odd, string_agg(CAST(user_id AS VARCHAR), ',' ORDER BY user_id) AS members FROM (SELECT DISTINCT user_id FROM events) GROUP BY ALL")
+def bag_groupby(spark, d):
+    users = table(spark, d, "events").select("user_id", (F.col("user_id") % 2).alias("odd")).distinct()
+    df = agg.collect_groups(users, ["odd"], ["user_id"], "user_id", "members")
+    return df.select("odd", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"))
+
+
+@query(f"""WITH s AS ({_SPAN}) SELECT event_id, round((start + stop) / 2, 3) AS mid, CAST(dense_rank() OVER (ORDER BY f) - 1 AS INTEGER) AS lane FROM (SELECT *, min(event_id) OVER (PARTITION BY user_id) AS f FROM s)""")
+def task_rectangles(spark, d):
+    df = telemetry.rectangles(spans(spark, d), "user_id", "start", "stop", "event_id")
+    return df.select("event_id", F.round("mid", 3).alias("mid"), "lane")
+
+
+@query("SELECT event_id, CASE WHEN value > 0 THEN CAST(least(greatest(round_even(log2(value) + 6, 0), 0), 14) AS INTEGER) ELSE 0 END AS level FROM events")
+def log2_levels(spark, d):
+    return table(spark, d, "events").select("event_id", scalar.log2_level(F.col("value")).alias("level"))
+
+
+@query("SELECT event_id, event_type, user_id FROM events WHERE event_type = 'error' OR user_id = 7 ORDER BY event_id")
+def story(spark, d):
+    log = table(spark, d, "events").withColumn("user", F.concat(F.lit("user-"), "user_id"))
+    return telemetry.story(log, ["error", "user-7"], "event_type", "user", "event_id").select("event_id", "event_type", "user_id")
+
+
+@query("WITH RECURSIVE e AS (SELECT event_id AS id, CASE WHEN event_id > 0 THEN event_id // 4 END AS parent FROM events WHERE event_id < 300), t AS (SELECT id AS root, id AS node FROM e UNION ALL SELECT t.root, e.id FROM t JOIN e ON e.parent = t.node) SELECT root, count(*) AS n FROM t GROUP BY root")
+def span_tree(spark, d):
+    e = table(spark, d, "events").where("event_id < 300").select(F.col("event_id").alias("span_id"), F.when(F.col("event_id") > 0, F.floor(F.col("event_id") / 4)).alias("parent_id"))
+    return telemetry.descendants(e).groupBy("root").agg(F.count("*").alias("n"))
