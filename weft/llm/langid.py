@@ -17,7 +17,8 @@ from weft.llm.common import U, append, crc_mod4, table
 SUBWORDS, BUCKETS, DIM = 4, 1 << 16, 16
 #: The sample: at most so many labelled texts of each language, from each a long and a short window of so many characters.
 TEXTS_EACH, WINDOWS = 1500, (400, 60)
-EPOCHS, RATE = 3, 0.5
+#: Times that the sample is gone through, and least number of steps; rate of the first step.
+EPOCHS, STEPS, RATE = 3, 12_000, 0.5
 #: Rejected are at most this share of the calibration windows that are labelled right, and only as far as it takes
 #: to have this precision among the rest.
 MOST_REJECTED, PRECISION = 0.002, 0.995
@@ -100,8 +101,9 @@ def fit(rows: list[tuple[str, str, bool]]) -> Model:
             grams, n = np.unique(np.concatenate(list(subwords(codes, at, 0, len(codes)))), return_counts=True)
             grams, n = (grams[:-1], n[:-1]) if grams[-1] == BUCKETS else (grams, n)
             data.append((grams, (n / n.sum()).astype(np.float32), langs.index(y)))
-    steps = EPOCHS * len(data)
-    for k, i in enumerate(np.concatenate([rng.permutation(len(data)) for _ in range(EPOCHS)]) if data else []):
+    epochs = max(EPOCHS, -(-STEPS // max(1, len(data))))
+    steps = epochs * len(data)
+    for k, i in enumerate(np.concatenate([rng.permutation(len(data)) for _ in range(epochs)]) if data else []):
         grams, share, y = data[i]
         rows_ = e[grams]
         hidden = share @ rows_
@@ -135,7 +137,8 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     """
     df = df.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("y"))
     rate = df.groupBy("y").agg(F.least(F.lit(1.0), 1.2 * TEXTS_EACH / F.count("*")).alias("rate"))
-    df = df.withColumn("h", F.shiftrightunsigned(F.xxhash64("t"), 34)).join(rate, "y").filter(F.col("h") < F.col("rate") * (1 << 30))
+    # a row for each language, as the model has a column for each
+    df = df.withColumn("h", F.shiftrightunsigned(F.xxhash64("t"), 34)).join(F.broadcast(rate), "y").filter(F.col("h") < F.col("rate") * (1 << 30))
     n, h = F.length("t"), F.col("h")
     window = lambda size, salt: F.substr("t", (F.pmod(h * salt, F.greatest(n - size + 1, F.lit(1))) + 1).cast("int"), F.lit(size))
     got = df.select("y", "h", *(window(size, 2 * i + 1).alias(f"w{i}") for i, size in enumerate(WINDOWS))).toPandas()
