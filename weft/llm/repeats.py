@@ -170,6 +170,26 @@ def _again(buckets: int):
     return work
 
 
+def _settle(h: np.ndarray, print_: np.ndarray, doc: np.ndarray, rid: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of stretches with equal anchor and content: those to go on with, and those of which all windows are repeated.
+
+    The earliest goes on. What another document or the same row has before is repeated; another row of the least
+    document is not.
+    """
+    order = np.lexsort((first, rid, doc, print_, h))
+    same = np.zeros(len(h), bool)
+    same[1:] = (h[order][1:] == h[order][:-1]) & (print_[order][1:] == print_[order][:-1])
+    lead = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(h))))]
+    gone = same & ((doc[order] > doc[lead]) | (rid[order] == rid[lead]) & (first[order] > first[lead]))
+    return order[~gone], order[gone]
+
+
+def _windows(rid: np.ndarray, first: np.ndarray, size: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """All windows of stretches as removed ones."""
+    n = size.astype(np.int64) - LENGTH + 1
+    return _gone(np.repeat(rid, n), np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n), buckets)
+
+
 def _stretches(buckets: int):
     """Stretches of windows around repeated anchors, as records by bucket.
 
@@ -183,14 +203,7 @@ def _stretches(buckets: int):
             return None
         at = np.concatenate([[0], np.cumsum(size)])
         print_ = Spans(text).of(at[:-1], at[1:])
-        order = np.lexsort((first, rid, doc, print_, h))
-        same = np.zeros(len(h), bool)
-        same[1:] = (h[order][1:] == h[order][:-1]) & (print_[order][1:] == print_[order][:-1])
-        head = np.maximum.accumulate(np.where(same, 0, np.arange(len(h))))
-        lead = order[head]
-        # later is what another document or the same row has before; another row of the least document is no repeat
-        gone = same & ((doc[order] > doc[lead]) | (rid[order] == rid[lead]) & (first[order] > first[lead]))
-        keep, drop = order[~gone], order[gone]
+        keep, drop = _settle(h, print_, doc, rid, first)
         rows = []
         if len(drop):
             d = drop[np.lexsort((first[drop], rid[drop]))]
@@ -283,20 +296,21 @@ def _first(buckets: int):
             for kind, *rest in zip(*(batch.column(c).to_pylist() for c in STRETCH[1:]), strict=True):
                 h, doc, rid, first, size, text = (np.frombuffer(x, t) for x, t in zip(rest, (np.uint64, np.int64, np.int64, np.int32, np.int32, np.uint8), strict=True))
                 if kind:
-                    n = size.astype(np.int64) - LENGTH + 1
-                    k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    yield _gone(np.repeat(rid, n), np.repeat(first, n) + k, buckets)
+                    yield _windows(rid, first, size, buckets)
                 else:
-                    got.append((h, doc, rid, first, size, text))
+                    at = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+                    got.append((h, doc, rid, first, size, Spans(text).of(at[:-1], at[1:]), text))
         if not got:
             return
-        h, doc, rid, first, size, text = (np.concatenate(x) for x in zip(*got, strict=True))
+        h, doc, rid, first, size, print_, text = (np.concatenate(x) for x in zip(*got, strict=True))
         del got
+        at = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        order, drop = _settle(h, print_, doc, rid, first)
+        if len(drop):
+            yield _windows(rid[drop], first[drop], size[drop], buckets)
         # anchors with their stretches in parts of bounded size; an anchor's stretches stay together
-        order = np.argsort(h, kind="stable")
         begin, ends = _split(h[order])
         weight = np.concatenate([[0], np.cumsum(size[order], dtype=np.int64)])
-        at = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
         x = 0
         while x < len(begin):
             y = max(x + 1, int(np.searchsorted(weight[ends], weight[ends[x]] + 2 * HELD, "right")) - 1)
