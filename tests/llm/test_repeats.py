@@ -83,3 +83,46 @@ def test_text_form_keeps_characters(spark):
 
 def test_empty_table(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def crowd_rows(n, seed=5):
+    """A shared passage and a shared short string, each between other bytes in every document."""
+    rng = random.Random(seed)
+    passage, short = words(rng, 180), words(rng, 60)
+    return [(i, words(rng, 90) + passage + words(rng, 90) + short + words(rng, 90)) for i in range(n)]
+
+
+def test_crowded_anchor_is_no_single_group(monkeypatch):
+    import pyarrow as pa
+
+    def deal(batches, key):
+        """Batches by bucket, as an exchange makes them."""
+        all_ = pa.Table.from_batches(list(batches))
+        return [all_.filter(pa.compute.equal(all_.column(key), b)).combine_chunks().to_batches() for b in range(4)]
+
+    rows = crowd_rows(12000)
+    texts = pa.RecordBatch.from_pydict({"rid": pa.array([i for i, _ in rows]), "_order": pa.array([i for i, _ in rows]), "_text": pa.array([t for _, t in rows])})
+    most, index = [0], repeats.run_index
+    monkeypatch.setattr(repeats, "run_index", lambda text, *a: most.append(len(text)) or index(text, *a))
+    sent = deal(repeats._send(4)(iter([texts])), "bucket")
+    again = deal((b for x in sent for b in repeats._again(4, repeats.CROWD)(iter(x))), "bucket")
+    items = {r: i for x in again for b in repeats._gather(iter(x)) for r, i in zip(*(b.column(c).to_pylist() for c in ("rid", "items")), strict=True)}
+    hot = np.sort(np.frombuffer(items.pop(repeats.ALL), np.uint64))
+    assert len(hot)
+    some = texts.append_column("items", pa.array([items.get(i, b"") for i, _ in rows], pa.binary()))
+    met = deal(repeats._stretches(4, hot)(iter([some])), "bucket")
+    gone = [b for x in met for b in repeats._first(4)(iter(x))]
+    assert gone and max(most) <= 2 * repeats.HELD
+
+
+def test_crowded_anchors_by_brute_force(spark):
+    rng = random.Random(6)
+    rows = crowd_rows(300)
+    line = words(rng, 130)
+    rows += [(5, rows[7][1][:200] + rows[9][1]), (5, rows[11][1] * 2), (None, line * 30), (400, line * 3 + rows[0][1])]
+    want = brute(rows)
+    sha = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    for crowd in (0, 1, 64):
+        out = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), into="sha", as_=repeats.digest, whole=sha, crowd=crowd)
+        got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.sha) for r in out.collect()), key=str)
+        assert got == sorted(((k, *want[k, t]) for k, t in rows), key=str)

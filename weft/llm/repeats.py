@@ -7,6 +7,10 @@ others meet by anchor. Of the stretches that meet, a run-length index is built:
 bytes, the runs of the Burrows-Wheeler transform, and a sample for each run, its first place in the corpus. Windows
 that match an earlier one over their whole length are marked by the samples. Whatever a task can settle by itself it
 does before it sends anything, so a passage in a third of all documents sends one record a task.
+
+Near the edge of a shared passage, or in a short shared string, an anchor has another stretch in every document. The
+windows of anchors that occur more than ``CROWD`` times are therefore dealt by anchor and fingerprint, each settled by
+its sender first; so no anchor is ever one group.
 """
 
 from __future__ import annotations
@@ -28,6 +32,9 @@ STARTS = LENGTH - GRAM + 1
 #: Bytes of texts worked on at once, anchors or bytes of stretches held before they are sent.
 BLOCK, HELD = 1 << 17, 1 << 19
 LAST = np.iinfo(np.int64).max
+#: The lowest bits of an anchor's fingerprint hold its count, as a power of two. Anchors above ``CROWD`` are dealt by
+#: window; the list of them is sent as the answer to row ``ALL``.
+COUNT, BITS, CROWD, ALL = U(31), U(5), 2048, np.iinfo(np.int64).min
 
 
 def _slide(x: np.ndarray, k: int, pick: np.ufunc) -> np.ndarray:
@@ -81,25 +88,26 @@ def _split(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _send(buckets: int):
     """Anchors of documents as records by bucket: fingerprints with the rows that have them.
 
-    The lowest bit of a fingerprint is set where more occurrences are known to the sender. Those it knows to be
+    The lowest bits of a fingerprint tell how many occurrences are known to the sender. Those it knows to be
     repeated need no answer: they go as kind 1, to any bucket, and in their bucket one record stands for them.
     """
 
     def flush(parts: list[tuple[np.ndarray, np.ndarray]], turn: int) -> pa.RecordBatch:
         h, rid = (np.concatenate(x) for x in zip(*parts, strict=True))
-        h &= ~U(1)
+        h &= ~COUNT
         order = np.lexsort((rid, h))
         h, rid = h[order], rid[order]
         begin, ends = _split(h)
         many = np.repeat(np.diff(ends) > 1, np.diff(ends))
+        power = np.log2(np.diff(ends)).astype(np.uint64)
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (rid[1:] != rid[:-1])
         rows = []
         known = np.flatnonzero(many & new)
         rows += [(turn % buckets, 1, rid[known], h[known])] if len(known) else []
         lone = begin
-        bucket = (h[lone] >> U(1)) % U(buckets)
-        sent = h[lone] | many[lone].astype(np.uint64)
+        bucket = (h[lone] >> BITS) % U(buckets)
+        sent = h[lone] | np.minimum(power, COUNT)
         order = np.argsort(bucket, kind="stable")
         lone, bucket, sent = lone[order], bucket[order], sent[order]
         b, e = _split(bucket)
@@ -145,8 +153,8 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(rid[begin]), pa.array([items[a:b].tobytes() for a, b in zip(begin, ends[1:], strict=True)], pa.binary())], ["rid", "items"])
 
 
-def _again(buckets: int):
-    """Rows and those of their anchors that occur more than once."""
+def _again(buckets: int, crowd: int):
+    """Rows and those of their anchors that occur more than once; row ``ALL`` and those that occur above ``crowd`` times."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         singles = []
@@ -161,11 +169,14 @@ def _again(buckets: int):
             rid, h = (np.concatenate(x) for x in zip(*singles, strict=True))
             order = np.argsort(h, kind="stable")
             rid, h = rid[order], h[order]
-            begin, ends = _split(h & ~U(1))
-            many = (np.diff(ends) > 1) | (h[ends[1:] - 1] & U(1)).astype(bool)
+            begin, ends = _split(h & ~COUNT)
+            many = (np.diff(ends) > 1) | (h[ends[1:] - 1] & COUNT).astype(bool)
             keep = np.repeat(many, np.diff(ends))
             if keep.any():
-                yield _deal(rid[keep], h[keep] & ~U(1), buckets)
+                yield _deal(rid[keep], h[keep] & ~COUNT, buckets)
+            # a count is known to less than twice its power of two
+            if len(hot := h[begin][2 * np.add.reduceat(U(1) << (h & COUNT), begin) > crowd] & ~COUNT):
+                yield _deal(np.full(len(hot), ALL), hot, buckets)
 
     return work
 
@@ -174,13 +185,14 @@ def _settle(h: np.ndarray, print_: np.ndarray, doc: np.ndarray, rid: np.ndarray,
     """Of stretches with equal anchor and content: those to go on with, and those of which all windows are repeated.
 
     The earliest goes on. What another document or the same row has before is repeated; another row of the least
-    document is not.
+    document is not, where it is first in that row.
     """
     order = np.lexsort((first, rid, doc, print_, h))
-    same = np.zeros(len(h), bool)
+    same, own = np.zeros(len(h), bool), np.zeros(len(h), bool)
     same[1:] = (h[order][1:] == h[order][:-1]) & (print_[order][1:] == print_[order][:-1])
-    lead = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(h))))]
-    gone = same & ((doc[order] > doc[lead]) | (rid[order] == rid[lead]) & (first[order] > first[lead]))
+    own[1:] = same[1:] & (rid[order][1:] == rid[order][:-1])
+    lead, mine = (order[np.maximum.accumulate(np.where(x, 0, np.arange(len(h))))] for x in (same, own))
+    gone = same & ((doc[order] > doc[lead]) | (first[order] > first[mine]))
     return order[~gone], order[gone]
 
 
@@ -190,11 +202,21 @@ def _windows(rid: np.ndarray, first: np.ndarray, size: np.ndarray, buckets: int)
     return _gone(np.repeat(rid, n), np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n), buckets)
 
 
-def _stretches(buckets: int):
+def _runs(rid: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows as stretches: row, first start and size of each run of starts."""
+    order = np.lexsort((start, rid))
+    rid, start = rid[order], start[order]
+    a = np.flatnonzero(np.concatenate([[True], (rid[1:] != rid[:-1]) | (start[1:] > start[:-1] + 1)]))
+    b = np.append(a[1:], len(rid)) - 1
+    return rid[a], start[a], start[b] - start[a] + np.int32(LENGTH)
+
+
+def _stretches(buckets: int, hot: np.ndarray):
     """Stretches of windows around repeated anchors, as records by bucket.
 
     Equal stretches that one sender has are sent once, for the earliest; the windows of the others are known to be
-    repeated, unless they belong to another row of the same least document, and go as kind 1.
+    repeated, unless they belong to another row of the same least document, and go as kind 1. Stretches of the anchors
+    in ``hot``, which is sorted, go as kind 2: window by window, with fingerprints for text, by anchor and fingerprint.
     """
 
     def flush(parts: list[tuple], turn: int) -> pa.RecordBatch | None:
@@ -208,7 +230,22 @@ def _stretches(buckets: int):
         if len(drop):
             d = drop[np.lexsort((first[drop], rid[drop]))]
             rows.append((turn % buckets, 1, h[:0], doc[:0], rid[d], first[d], size[d], b""))
-        bucket = (h[keep] >> U(1)) % U(buckets)
+        crowded = np.isin(h[keep], hot)
+        keep, i = keep[~crowded], keep[crowded]
+        if len(i):
+            n = size[i].astype(np.int64) - LENGTH + 1
+            i, k = np.repeat(i, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            hw, dw, rw, sw = h[i], doc[i], rid[i], first[i] + k.astype(np.int32)
+            window = Spans(text).of(at[i] + k, at[i] + k + LENGTH)
+            on, drop = _settle(hw, window, dw, rw, sw)
+            if len(drop):
+                rows.append((turn % buckets, 1, h[:0], doc[:0], *_runs(rw[drop], sw[drop]), b""))
+            bucket = mix(hw[on] ^ window[on]) % U(buckets)
+            on = on[np.argsort(bucket, kind="stable")]
+            bucket = np.sort(bucket, kind="stable")
+            b, e = _split(bucket)
+            rows += [(int(bucket[x]), 2, hw[o := on[x:y]], dw[o], rw[o], sw[o], size[:0], window[o].tobytes()) for x, y in zip(b, e[1:], strict=True)]
+        bucket = (h[keep] >> BITS) % U(buckets)
         keep = keep[np.argsort(bucket, kind="stable")]
         bucket = np.sort(bucket, kind="stable")
         b, e = _split(bucket)
@@ -223,7 +260,7 @@ def _stretches(buckets: int):
         for batch in slices(batches, "_text", BLOCK):
             data, at = utf8(batch.column("_text"))
             h, text, lo, hi = anchors(data, at)
-            h = h & ~U(1)
+            h = h & ~COUNT
             wanted = batch.column("items").to_pylist()
             of = np.repeat(np.arange(len(wanted)), [len(w) // 8 for w in wanted])
             pairs = mix(np.frombuffer(b"".join(wanted), np.uint64) ^ mix(of.astype(np.uint64)))
@@ -291,15 +328,23 @@ def _first(buckets: int):
     """Windows that are not the first of their kind."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = []
+        got, single = [], []
         for batch in batches:
             for kind, *rest in zip(*(batch.column(c).to_pylist() for c in STRETCH[1:]), strict=True):
                 h, doc, rid, first, size, text = (np.frombuffer(x, t) for x, t in zip(rest, (np.uint64, np.int64, np.int64, np.int32, np.int32, np.uint8), strict=True))
-                if kind:
+                if kind == 1:
                     yield _windows(rid, first, size, buckets)
+                elif kind == 2:
+                    single.append((h, text.view(np.uint64), doc, rid, first))
                 else:
                     at = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
                     got.append((h, doc, rid, first, size, Spans(text).of(at[:-1], at[1:]), text))
+        if single:
+            h, window, doc, rid, first = (np.concatenate(x) for x in zip(*single, strict=True))
+            del single
+            _, drop = _settle(h, window, doc, rid, first)
+            if len(drop):
+                yield _gone(rid[drop], first[drop], buckets)
         if not got:
             return
         h, doc, rid, first, size, print_, text = (np.concatenate(x) for x in zip(*got, strict=True))
@@ -308,7 +353,7 @@ def _first(buckets: int):
         order, drop = _settle(h, print_, doc, rid, first)
         if len(drop):
             yield _windows(rid[drop], first[drop], size[drop], buckets)
-        # anchors with their stretches in parts of bounded size; an anchor's stretches stay together
+        # anchors with their stretches in parts of bounded size; an anchor's stretches, up to CROWD, stay together
         begin, ends = _split(h[order])
         weight = np.concatenate([[0], np.cumsum(size[order], dtype=np.int64)])
         x = 0
@@ -369,14 +414,16 @@ def plain(text: bytes, rest: bytes) -> str:
     return rest.decode("utf-8", "ignore")
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", into: str = "rest", as_: Callable[[bytes, bytes], str] = plain, whole: Column | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", into: str = "rest", as_: Callable[[bytes, bytes], str] = plain, whole: Column | None = None, crowd: int = CROWD) -> DataFrame:
     """Adds ``n_bytes``, ``n_removed``, ``n_spans`` and ``into`` to the columns of ``docs`` but ``text``.
 
     ``into`` is ``as_`` of a text and of what is left of it, or ``whole`` (the text itself by default) where all is
     left. Rows are in the order of ``key``, nulls last. Rows that repeat a key don't count as earlier than each other;
     each looks back at itself and at all smaller keys. Null texts are empty; shorter texts than ``LENGTH`` lose
     nothing; texts of any length are worked on whole. An empty table stays empty; other columns stay, unless one is
-    named as an added one. Of equal texts only the first goes on; the others are removed whole.
+    named as an added one. Of equal texts only the first goes on; the others are removed whole. Anchors that occur
+    above ``crowd`` times (counted within a factor of two) are dealt by window; the list of them, 8 bytes each, passes
+    through the driver.
     """
     n, answers = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket int, rids binary, items binary"
     docs = docs.drop("n_bytes", "n_removed", "n_spans", *({into} - {text}))
@@ -387,11 +434,13 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", int
     copied = narrow.join(firsts, "_sha").filter("_order > _first").select("rid")
     rows = docs.select(F.xxhash64(key, text).alias("rid"), marks["_order"].alias("_order"), F.col(text).alias("_text")).filter(F.octet_length("_text") >= LENGTH)
     sent = rows.select("rid", "_text").mapInArrow(_send(n), "bucket int, kind int, rids binary, hashes binary")
-    again = sent.repartition(n, "bucket").drop("bucket").mapInArrow(_again(n), answers).repartition(n, "bucket").mapInArrow(_gather, "rid bigint, items binary")
+    again = sent.repartition(n, "bucket").drop("bucket").mapInArrow(_again(n, crowd), answers).repartition(n, "bucket").mapInArrow(_gather, "rid bigint, items binary")
     again = cut(again.join(copied, "rid", "left_anti"))
+    hot = again.filter(F.col("rid") == ALL).select("items").collect()
+    hot = np.sort(np.frombuffer(b"".join(r["items"] for r in hot), np.uint64))
     # both uses of ``some`` take all its columns, so that its exchange of texts is made once
     some = rows.join(again, "rid")
-    met = some.mapInArrow(_stretches(n), "bucket int, kind int, hashes binary, docs binary, rids binary, firsts binary, sizes binary, text binary")
+    met = some.mapInArrow(_stretches(n, hot), "bucket int, kind int, hashes binary, docs binary, rids binary, firsts binary, sizes binary, text binary")
     gone = met.repartition(n, "bucket").mapInArrow(_first(n), answers).repartition(n, "bucket").mapInArrow(_gather, "rid bigint, items binary").withColumnRenamed("items", "runs")
 
     def work(batch: pa.RecordBatch) -> list[pa.Array]:
