@@ -41,3 +41,12 @@ def test_templates_go(spark, most):
 
 def test_empty_table(spark):
     assert html.main_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+@pytest.mark.parametrize("block", ["<div>Notice <b>one</b></div>", "<p>Notice one</p>", "<h2>Notice one</h2>", "<blockquote>Notice one</blockquote>", "<ul><li>Notice one</ul>", "<span>Notice one</span><br>", "<a href=/>Notice <i>one</i></a>", "<div><h1>Notice one</h1></div>"])
+def test_template_of_a_section_goes(spark, block):
+    """Six of 300 pages have it, some among other items."""
+    story = lambda i: f"<h1>Title {i}</h1><p>Story {i} of <a>many</a></p>"
+    rows = [(i, f"http://host/{i}", f"<body>{block if i < 6 else ''}<div>{story(i)}</div></body>") for i in range(300)]
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Title {i}\nStory {i} of many" for i in range(300)}

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from weft.llm.common import append, table
 
-#: A subtree is part of the template of a host if it is on so many of its pages, and on this share of them.
-LEAST_PAGES, LEAST_SHARE = 5, 0.05
+#: A subtree is part of the template of a host if it is on so many of its pages of different content.
+LEAST_PAGES = 5
 #: Up to so many template subtrees (8 bytes each) go to all tasks as one broadcast; more are joined to their pages.
 MOST_BROADCAST = 200_000
 BLOCK = 2 << 20
@@ -50,6 +50,8 @@ NOT_ARTICLE = frozenset(
 )
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 KEEP_WHOLE = frozenset("html body article main".split())
+#: Elements that may be a template: blocks, but no cells or rows of a table, whose values recur.
+BLOCKS = BREAKS - KEEP_WHOLE - VOID - frozenset("head tbody td tfoot th thead tr legend option summary".split())
 
 
 #: Inside an article these hold its title.
@@ -149,13 +151,32 @@ class Page:
         return out, roots["article"] or roots["main"] or [0]
 
     def subtrees(self, host: str) -> dict[int, int]:
-        """Hashes of what may be a template: containers that hold no article. Host and source decide them."""
+        """Hashes of what may be a template. Host and source decide them.
+
+        That is blocks that hold no article, and other elements that have a line of the page to themselves.
+        """
         holds = np.zeros(len(self.tag), bool)
         for k in range(len(self.tag) - 1, 0, -1):
-            if holds[k] or self.tag[k] in ("article", "main", "h1", "body"):
+            if holds[k] or self.tag[k] in ("article", "main", "body"):
                 holds[self.parent[k]] = holds[k] = True
+        may = {k for k in range(1, len(self.tag)) if self.tag[k] in BLOCKS} | self._alone()
         salt = xxhash.xxh64_intdigest(host.encode("utf-8", "replace"))
-        return {k: xxhash.xxh64_intdigest(" ".join(self.source[self.start[k] : self.end[k]].split()).encode("utf-8", "replace"), salt) - (1 << 63) for k in range(1, len(self.tag)) if self.tag[k] in CONTAINERS and not holds[k]}
+        return {k: xxhash.xxh64_intdigest(" ".join(self.source[self.start[k] : self.end[k]].split()).encode("utf-8", "replace"), salt) - (1 << 63) for k in sorted(may) if not holds[k]}
+
+    def _alone(self) -> set[int]:
+        """Elements other than blocks that have all the text between two breaks to themselves."""
+        out, line = set(), set()
+        for k, a, b in [*self.flow, (0, -1, -1)]:
+            if a < 0:
+                if len(line) == 1:
+                    out |= line
+                line = set()
+            elif not self.source[a:b].isspace():
+                top = 0  # text that lies in a block itself
+                while k and self.tag[k] not in BREAKS:
+                    top, k = k, self.parent[k]
+                line.add(top)
+        return out - {0}
 
     def text(self, templates: Callable[[np.ndarray], np.ndarray] | None = None, host: str = "") -> str:
         out, roots = self.marks()
@@ -196,9 +217,13 @@ def _parts(batch: pa.RecordBatch) -> list[pa.Array]:
 def templates(pages: DataFrame) -> DataFrame:
     """``tree``, the hashes of the subtrees that are templates of their host, from columns ``_html`` and ``_host``."""
     parts = append(pages.select("_html", "_host"), {"trees": "array<bigint>", "body": "bigint"}, _parts, "_html", BLOCK, ("_html",))
-    bodies = parts.select("_host", "body").distinct().groupBy("_host").agg(F.count("*").alias("n"))
-    seen = parts.select("_host", "body", F.explode("trees").alias("tree")).distinct().groupBy("_host", "tree").agg(F.count("*").alias("on")).filter(F.col("on") >= LEAST_PAGES)
-    return seen.join(bodies, "_host").filter(F.col("on") >= LEAST_SHARE * F.col("n")).select("tree")
+    seen = parts.select("_host", "body", F.explode("trees").alias("tree")).distinct().groupBy("_host", "tree").agg(F.count("*").alias("on"))
+    return seen.filter(F.col("on") >= LEAST_PAGES).select("tree")
+
+
+def _among(trees: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which are in a sorted array; np.isin would go through all of it for each page."""
+    return np.searchsorted(ordered, trees, "right") > np.searchsorted(ordered, trees, "left")
 
 
 def main_text(pages: DataFrame, url: str = "url", html: str = "html", into: str = "text", most_broadcast: int = MOST_BROADCAST) -> DataFrame:
@@ -214,7 +239,7 @@ def main_text(pages: DataFrame, url: str = "url", html: str = "html", into: str
     some = found.limit(most_broadcast + 1).toArrow().column("tree").to_numpy()
     if len(some) <= most_broadcast:
         shared = spark.sparkContext.broadcast(np.sort(some))
-        known = lambda trees, _: np.isin(trees, shared.value)
+        known = lambda trees, _: _among(trees, shared.value)
     else:
         work = lambda batch: [_parts(batch)[0]]
         pages = pages.withColumn("_page", F.xxhash64("_host", "_html"))
