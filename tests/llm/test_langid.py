@@ -52,3 +52,13 @@ def test_rejection_is_calibrated():
     clean = [t for t, _ in corpus(300, 6)]
     _, score, accepted = model.predict(clean)
     assert accepted.mean() > 0.97 and ((score >= 0) & (score <= 1)).all()
+
+
+def test_unlearned_language_is_rejected():
+    rng = random.Random(8)
+    syllables = {"aa": ["ka", "ki", "ku", "zo"], "bb": ["ble", "the", "ing", "er"], "cc": ["sha", "lom", "ovo", "ny"], "dd": ["tak", "mak", "ak", "zap"]}
+    text = lambda y: "".join(rng.choice(syllables[y]) + (" " if rng.random() < 0.3 else "") for _ in range(rng.randint(20, 100)))
+    model = langid.fit([(text(y), y, k % 5 == 0) for k, y in enumerate(["aa", "bb", "cc"] * 200)])
+    clean = model.predict([text(y) for y in ["aa", "bb", "cc"] * 100])[2]
+    langs, score, other = model.predict([text("dd") for _ in range(200)])
+    assert clean.mean() > 0.95 and other.mean() < 0.1, (clean.mean(), other.mean(), score.mean())

@@ -22,6 +22,9 @@ EPOCHS, STEPS, RATE = 3, 12_000, 0.5
 #: Rejected are at most this share of the calibration windows that are labelled right, and only as far as it takes
 #: to have this precision among the rest.
 MOST_REJECTED, PRECISION = 0.002, 0.995
+#: Languages are left out in turn in so many groups at most; to tell them apart, at most this share of the calibration
+#: windows that are labelled right is lost besides.
+FOLDS, MOST_LOST = 4, 0.01
 BLOCK, STARTS = 2 << 20, 1 << 18
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -54,6 +57,7 @@ class Model:
     bias: np.ndarray
     heat: float = 1.0
     least: float = 0.0
+    floor: float = -np.inf  # least strength: the greatest logit, which is low where few subwords were learned
 
     def logits(self, texts: list[str]) -> np.ndarray:
         """Of whole texts, in blocks of starts."""
@@ -75,10 +79,11 @@ class Model:
         known = np.array([bool(t and _LETTER.search(t)) and bool(self.langs) for t in texts], bool)
         if not self.langs:
             return [UNKNOWN] * len(texts), np.zeros(len(texts)), known
-        p = softmax(self.logits([t or "" for t in texts]) / self.heat)
+        x = self.logits([t or "" for t in texts])
+        p = softmax(x / self.heat)
         best = p.argmax(1)
         score = np.where(known, p.max(1), 0.0)
-        return [self.langs[k] if ok else UNKNOWN for k, ok in zip(best, known, strict=True)], score, known & (score >= self.least)
+        return [self.langs[k] if ok else UNKNOWN for k, ok in zip(best, known, strict=True)], score, known & (score >= self.least) & (x.max(1) >= self.floor)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -86,7 +91,40 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
+def _negatives(rows: list[tuple[str, str, bool]], model: Model) -> np.ndarray:
+    """Strengths of calibration windows scored by a model that was trained without their languages, on the scale of ``model``.
+
+    None if that would leave less than two languages: a model of one has nothing to learn.
+    """
+    held, n = [(t, y) for t, y, h in rows if h and _LETTER.search(t)], min(FOLDS, len(model.langs))
+    usual = lambda m, texts: np.median(m.logits(texts).max(1))
+    scale, out = usual(model, [t for t, _ in held]), [np.zeros(0)]
+    for left_out in (set(model.langs[k::n]) for k in range(n) if len(model.langs) > 2):
+        inside, outside = ([t for t, y in held if (y in left_out) is x] for x in (False, True))
+        if inside and outside:
+            other = train([r for r in rows if r[1] not in left_out])
+            out.append(other.logits(outside).max(1) * (scale / usual(other, inside)))
+    return np.sort(np.concatenate(out))
+
+
 def fit(rows: list[tuple[str, str, bool]]) -> Model:
+    """The trained model with its temperature and the bounds of rejection, from windows as for ``train``.
+
+    The least strength is the one that sets left-out languages best apart from the windows that are labelled right; it
+    loses no more than ``MOST_LOST`` of these. With one or two languages there is none.
+    """
+    model = train(rows)
+    held = [(t, y) for t, y, h in rows if h and _LETTER.search(t)]
+    if held:
+        x, y = model.logits([t for t, _ in held]), np.array([model.langs.index(v) for _, v in held])
+        clean, strange = np.sort(x.max(1)[x.argmax(1) == y]), _negatives(rows, model)
+        if len(clean) and len(strange):
+            lost = np.arange(int(MOST_LOST * len(clean)) + 1)  # as many are below each of these strengths
+            model.floor = float(clean[(np.searchsorted(strange, clean[lost]) / len(strange) - lost / len(clean)).argmax()])
+    return model
+
+
+def train(rows: list[tuple[str, str, bool]]) -> Model:
     """From windows (text, language, whether it serves to calibrate), by stochastic gradient descent with a fixed seed."""
     langs = sorted({y for _, y, _ in rows})
     if not langs:
