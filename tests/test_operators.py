@@ -284,3 +284,12 @@ def test_stream_of_batches(spark, tmp_path):
     q = feeds.every_batch(feeds.follow(spark, src, spark.read.parquet(src).schema, files_at_once=1), lambda df, n: seen.append(df.count()))
     q.awaitTermination()
     assert seen == [10, 10, 10]
+
+
+def test_descendants_at_any_depth(spark):
+    spans = spark.createDataFrame([(i, i - 1 if i else None) for i in range(41)], "span_id long, parent_id long")
+    got = telemetry.descendants(spans)
+    assert got.where("root = 0").count() == 41 and got.agg({"level": "max"}).first()[0] == 40
+    ring = spark.createDataFrame([(0, 2), (1, 0), (2, 1)], "span_id long, parent_id long")
+    with pytest.raises(ValueError):
+        telemetry.descendants(ring)

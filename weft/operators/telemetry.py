@@ -15,16 +15,21 @@ def states(df: DataFrame, by: Sequence[str], state: str, names: Sequence[str]) -
     return df.groupBy(*by).agg(*(F.count_if(F.col(state) == n).alias(n) for n in names))
 
 
-def descendants(spans: DataFrame, id_: str = "span_id", parent: str = "parent_id", depth: int = 32) -> DataFrame:
-    """``root node level`` for every span and all below it, by levels of joins until one is empty."""
-    edges = spans.where(F.col(parent).isNotNull()).select(F.col(parent).alias("_p"), F.col(id_).alias("_c"))
-    level = spans.select(F.col(id_).alias("root"), F.col(id_).alias("node"), F.lit(0).alias("level"))
-    out = level
-    for k in range(1, depth):
-        level = level.join(edges, level.node == edges._p).select("root", F.col("_c").alias("node"), F.lit(k).alias("level"))
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
+def descendants(spans: DataFrame, id_: str = "span_id", parent: str = "parent_id") -> DataFrame:
+    """``root node level`` for every span and all below it, at any depth; spans in a ring are an error.
+
+    Pairs below twice the depth are joined from those known and those at that depth, until none is so deep.
+    """
+    jump = spans.where(F.col(parent).isNotNull()).select(F.col(parent).alias("_p"), F.col(id_).alias("_c"))
+    out = spans.select(F.col(id_).alias("root"), F.col(id_).alias("node"), F.lit(0).alias("level"))
+    depth = 1
+    while not jump.isEmpty():
+        deeper = out.join(jump, out.node == jump._p).select("root", F.col("_c").alias("node"), (F.col("level") + depth).alias("level"))
+        if not deeper.where("root = node").isEmpty():
+            raise ValueError("spans are above themselves")
+        out = out.unionByName(deeper)
+        jump = jump.alias("a").join(jump.alias("b"), F.col("a._c") == F.col("b._p")).select("a._p", "b._c")
+        depth *= 2
     return out
 
 
