@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from weft.llm import jaccard
@@ -64,6 +66,19 @@ def test_buckets_in_blocks(spark, monkeypatch):
     assert run(spark, docs) == brute(docs)
 
 
+def test_blocks_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SET_BYTES", 4000)
+    docs = list(enumerate(near_copies(3, groups=2, copies=30)))
+    assert run(spark, docs) == brute(docs)
+
+
+def test_clashing_columns_stay(spark):
+    t = " ".join(f"w{k}" for k in range(30))
+    df = spark.createDataFrame([(1, t, 5, "s", 6), (2, t, 7, "s", 8), (3, None, 9, "s", 1)], "doc_id long, text string, rid int, stays string, class int")
+    assert sorted(map(tuple, jaccard.keep_first(df).collect())) == [(1, t, 5, "s", 6), (3, None, 9, "s", 1)]
+    assert sorted(map(tuple, jaccard.near_duplicates(df).collect())) == [(1, 1, 1), (2, 1, 1), (3, 3, 0)]
+
+
 def test_repeated_and_null_keys(spark):
     t = " ".join(f"w{k}" for k in range(30))
     rows = spark.createDataFrame([(7, t), (7, t), (3, t + " x"), (None, t), (9, "else where is it all")], "doc_id long, text string")
@@ -79,9 +94,26 @@ def test_keep_first_takes_one_of_equal_rows(spark):
     assert sorted(map(tuple, jaccard.keep_first(df).collect())) == [(1, t, "s"), (4, "", "s"), (4, "", "s")]
 
 
-def test_recall_of_the_forest():
-    k = jaccard.prefix_length()
-    assert 1 - (1 - 0.8**k) ** jaccard.TREES >= jaccard.RECALL and 1 - (1 - 0.8 ** (k + 1)) ** jaccard.TREES < jaccard.RECALL
+def test_descent_reaches_the_recall_and_leaves_crowded_nodes_deep():
+    rng = np.random.default_rng(1)
+    sizes = np.sort(rng.integers(1, 5000, (200, jaccard.TREES, jaccard.DEPTH - jaccard.SHORTEST + 1)), 2)[:, :, ::-1].astype(float)
+    sizes[:, :4] = 1  # no company in four trees
+    depth = jaccard.descend(sizes)
+    assert (jaccard.missed(depth) <= np.log1p(-jaccard.RECALL)).all()
+    assert (depth[:, :4] == jaccard.SHORTEST).all() and (depth[:, 4:] > jaccard.SHORTEST).any()
+
+
+def test_measured_recall_of_the_forest():
+    rng, texts = random.Random(5), []
+    for g in range(1500):  # pairs of similarity 0.8 to 0.84
+        w = [f"g{g}w{k}" for k in range(49)]
+        texts += [" ".join(w), " ".join(w[:-5] + [f"x{rng.random()}" for _ in range(5)])]
+    sets = [shingles(t) for t in texts]
+    assert all(0.8 <= len(a & b) / len(a | b) <= 0.84 for a, b in zip(sets[::2], sets[1::2], strict=True))
+    sig = np.frombuffer(b"".join(jaccard._signed(pa.array(texts))[2].to_pylist()), np.uint16).reshape(len(texts), jaccard.TREES, jaccard.DEPTH)
+    depth = jaccard.descend(np.full((1500, jaccard.TREES, jaccard.DEPTH - jaccard.SHORTEST + 1), 2.0))
+    same = np.minimum.accumulate(sig[::2] == sig[1::2], 2).sum(2)
+    assert (same >= depth).any(1).mean() >= 0.999
 
 
 def test_components_of_a_long_chain(spark):

@@ -89,8 +89,18 @@ def append(df: DataFrame, added: dict[str, str], work: Callable[[pa.RecordBatch]
     return df.select(*(c for c in df.columns if c == text or c not in added)).mapInArrow(run, schema)
 
 
+def _whole(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """One batch of all parts. Offsets get 64 bits: with 32, pyarrow deals a column of over 2 GiB to several batches."""
+    large = {pa.binary(): pa.large_binary(), pa.string(): pa.large_string()}
+    schema = pa.schema([(f.name, large.get(f.type, f.type)) for f in parts[0].schema])
+    batches = pa.Table.from_batches(parts).cast(schema).combine_chunks().to_batches()
+    if len(batches) != 1:
+        raise ValueError("a group doesn't fit one batch")
+    return batches[0]
+
+
 def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
-    """Whole groups out of rows sorted by ``key``, many small groups to a batch."""
+    """Whole groups out of rows sorted by ``key``, many small groups to a batch; texts and bytes get 64-bit offsets."""
     rest: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
@@ -98,11 +108,28 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBa
         keys = batch.column(key).to_numpy(zero_copy_only=False)
         last = int(np.searchsorted(keys, keys[-1], "left"))
         if last or (rest and rest[-1].column(key)[-1].as_py() != keys[0]):
-            yield pa.Table.from_batches([*rest, batch.slice(0, last)]).combine_chunks().to_batches()[0] if rest or last else batch
+            yield _whole([*rest, batch.slice(0, last)])
             rest = []
         rest.append(batch.slice(last))
     if rest:
-        yield pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
+        yield _whole(rest)
+
+
+def narrow(batch: pa.RecordBatch, schema: pa.Schema, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """The batch in parts with the types of ``schema``, as Spark takes them."""
+    for a in range(0, batch.num_rows, rows):
+        part = batch.slice(a, rows)
+        yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(part.columns, schema, strict=True)], schema=schema)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores put before it until no column of ``df`` has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
 
 
 def crc_mod4(key: str) -> Column:

@@ -1,10 +1,17 @@
 """Near duplicates by the Jaccard similarity of word n-grams: a MinHash LSH forest, then exact verification.
 
-Texts with the same set of shingles form a class; only classes are compared. The forest's trees are sorted prefix
-tries of the classes' signatures. A pair of similarity s shares a prefix of k values in one of t trees with
-probability 1 - (1 - s**k)**t; the prefix is shortened from the full depth until that reaches the target recall at
-the least similarity. What shares a prefix is compared by signature, then by its sets, both inside tasks: no row is
-ever made for a pair. A pair that meets in several trees counts in the first.
+Texts with the same set of shingles form a class; only classes are compared. Each of the forest's trees is the sorted
+prefix trie of the classes' labels, which are stretches of their MinHash signatures. A class looks for company in each
+tree in one node of its own path. It begins with the deepest nodes, and where that doesn't reach the target recall it
+shortens its matched prefixes one value at a time, always where the recall gained costs the fewest further members:
+nodes without company are free, crowded nodes stay deep. A pair of similarity s meets in a tree where it shares a
+prefix of k values with probability s**k, so trees of depths k(1), k(2) ... miss it with the product of 1 - s**k(t);
+the descent ends when that is at most 1 - ``RECALL`` for the least similarity.
+
+What meets in a node is compared by signature, then by its sets, both inside tasks and in blocks of bounded bytes: no
+row is ever made for a pair, and a node of M members, all different texts, is sent M / ``MEMBERS`` times. The links
+among M different texts that are all alike are M * M / 2, and each is verified. A pair that meets in several trees
+counts in the first.
 """
 
 from __future__ import annotations
@@ -14,28 +21,49 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import Spans, U, append, cut, grouped, mix, table, utf8, word_spans
+from weft.llm.common import Spans, U, append, cut, fresh, grouped, mix, table, utf8, word_spans
 
 #: Words of a shingle; least similarity, as a fraction.
 SHINGLE, LEAST = 5, (4, 5)
-#: Trees of the forest, values in a tree's path, and the share of pairs of the least similarity to be found.
-TREES, DEPTH, RECALL = 16, 6, 0.9995
+#: Trees of the forest; shortest prefix, and values of a label; share of pairs of the least similarity to be found.
+TREES, SHORTEST, DEPTH, RECALL = 16, 3, 6, 0.9997
 #: Pairs are dropped unseen when their signatures agree in fewer of TREES * DEPTH values: at the least similarity
 #: that is six standard deviations below the mean.
 AGREE = int(TREES * DEPTH * LEAST[0] / LEAST[1] - 6 * (TREES * DEPTH * LEAST[0] / LEAST[1] * (1 - LEAST[0] / LEAST[1])) ** 0.5)
-#: Members of a bucket are compared in blocks of this many, each pair of blocks a group of its own.
-MEMBERS = 1024
+#: Members of a node are compared in blocks of so many and of sets of so many bytes, each pair of blocks a group.
+MEMBERS, SET_BYTES = 2048, 16 << 20
 BLOCK = 1 << 20
 STEP = U(0xD1342543DE82EF95)
 SALTS = mix(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15)) | U(1)
 
 
-def prefix_length() -> int:
-    """The longest prefix that finds a pair of the least similarity with the target recall."""
-    return next((k for k in range(DEPTH, 1, -1) if 1 - (1 - (LEAST[0] / LEAST[1]) ** k) ** TREES >= RECALL), 1)
+def missed(depth: np.ndarray) -> np.ndarray:
+    """Logarithm of the chance that a pair of the least similarity shares no prefix of these lengths; trees are the last axis."""
+    return np.log1p(-((LEAST[0] / LEAST[1]) ** np.asarray(depth, float))).sum(-1)
+
+
+def descend(sizes: np.ndarray) -> np.ndarray:
+    """Lengths of the prefixes that each class looks up in each tree, given the members (class, tree, ``SHORTEST`` to
+    ``DEPTH``) of the nodes on its paths.
+
+    From the full depth they are shortened where the recall gained costs least, to the target recall or the shortest.
+    """
+    depth = np.full(sizes.shape[:2], DEPTH, np.int64)
+    gain = np.array([0.0] * (SHORTEST + 1) + [missed([k]) - missed([k - 1]) for k in range(SHORTEST + 1, DEPTH + 1)])
+    open_ = np.arange(len(sizes))
+    while len(open_ := open_[missed(depth[open_]) > np.log1p(-RECALL)]):
+        k = depth[open_]
+        here = np.take_along_axis(sizes[open_], k[..., None] - SHORTEST, 2)[..., 0]
+        more = np.take_along_axis(sizes[open_], np.maximum(k - 1 - SHORTEST, 0)[..., None], 2)[..., 0] - here
+        price = np.where(k > SHORTEST, (more + 1e-3) / np.maximum(gain[k], 1e-9), np.inf)
+        tree = price.argmin(1)
+        rest = np.isfinite(price[np.arange(len(open_)), tree])
+        open_, tree = open_[rest], tree[rest]
+        depth[open_, tree] -= 1
+    return depth
 
 
 def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -64,11 +92,8 @@ def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return h[new], np.searchsorted(doc[new], np.arange(len(n) + 1))
 
 
-
-
-
 def _signed(batch_column: pa.Array) -> list[pa.Array]:
-    """Class, number of shingles, path hash in each tree, and one byte of each value of the signature."""
+    """Class, number of shingles, and signature: the labels of all trees, two bytes of each value."""
     h, at = shingle_sets(batch_column)
     n = np.diff(at)
     some = np.flatnonzero(n)
@@ -81,13 +106,9 @@ def _signed(batch_column: pa.Array) -> list[pa.Array]:
             x = h * SALTS[j]
             values[some, j] = np.minimum.reduceat(x ^ (x >> U(32)), at[some])
     values = mix(values)
-    k = prefix_length()
-    path = np.zeros((len(n), TREES), np.uint64)
-    for j in range(k):
-        path = mix(path * STEP + values[:, j::DEPTH] + np.arange(TREES, dtype=np.uint64))
     null = n == 0
     pack = lambda x: pa.array([None if e else v.tobytes() for v, e in zip(x, null, strict=True)], pa.binary())
-    return [pack(classes), pa.array(n), pack((path & U(0xFFFFFFFF)).astype(np.uint32)), pack((values & U(255)).astype(np.uint8))]
+    return [pack(classes), pa.array(n), pack((values & U(0xFFFF)).astype(np.uint16))]
 
 
 def _runs(keys: np.ndarray) -> list[tuple[int, int]]:
@@ -95,28 +116,60 @@ def _runs(keys: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True))
 
 
+def _chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The prefix lengths of each class, one byte a tree, from the nodes on its paths that have company."""
+    for batch in batches:
+        nodes = batch.column("nodes").to_pylist()
+        sizes = np.ones((len(nodes), TREES, DEPTH - SHORTEST + 1))
+        for x, of in enumerate(nodes):
+            for n in of:
+                sizes[x, n["t"], n["k"] - SHORTEST] = n["m"]
+        depth = descend(sizes).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array([d.tobytes() for d in depth], pa.binary()), pa.array(depth.astype(np.int32).tolist(), pa.list_(pa.int32()))], ["class", "depth", "looks"])
+
+
+def _array(column: pa.Array, kind: type, width: int) -> np.ndarray:
+    """Rows of equal size."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), width)
+
+
+def _first_tree(sig_x: np.ndarray, sig_y: np.ndarray, depth_x: np.ndarray, depth_y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first tree in which pairs meet, and the length of the prefix of that node."""
+    same = np.minimum.accumulate((sig_x == sig_y).reshape(-1, TREES, DEPTH), 2).sum(2)
+    need = np.minimum(depth_x, depth_y)  # either looks the other up
+    tree = (same >= need).argmax(1)
+    return tree, need[np.arange(len(tree)), tree]
+
+
+def _sides(lo: int, hi: int, i: np.ndarray, j: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of both sides of a group: of a block with itself, or of two blocks."""
+    return (np.arange(lo, hi),) * 2 if i[lo] == j[lo] else (lo + np.flatnonzero(b[lo:hi] == i[lo]), lo + np.flatnonzero(b[lo:hi] == j[lo]))
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members of groups (bucket and pair of blocks) that have a promising partner in them."""
+    """Members of groups (node and pair of blocks) that have a promising partner in them."""
+    names = ["g", "i", "j", "b", "t", "k", "class"]
     for batch in grouped(batches, "g"):
-        g, i, j, b, t = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("g", "i", "j", "b", "t"))
-        path = np.frombuffer(b"".join(batch.column("path").to_pylist()), np.uint32).reshape(-1, TREES)
-        sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(-1, TREES * DEPTH)
+        g, i, j, b, t, k = (batch.column(c).to_numpy(zero_copy_only=False) for c in names[:-1])
+        sig, depth = _array(batch.column("sig"), np.uint16, TREES * DEPTH), _array(batch.column("depth"), np.uint8, TREES)
         hit = np.zeros(len(g), bool)
         for lo, hi in _runs(g):
             if hi - lo < 2:
                 continue
-            left, right = (np.arange(lo, hi),) * 2 if i[lo] == j[lo] else (lo + np.flatnonzero(b[lo:hi] == i[lo]), lo + np.flatnonzero(b[lo:hi] == j[lo]))
-            step = max(1, (1 << 22) // max(1, len(right) * TREES * DEPTH))
+            left, right = _sides(lo, hi, i, j, b)
+            step = max(1, (1 << 21) // max(1, len(right) * TREES * DEPTH))
             for a in range(0, len(left), step):
                 row = left[a : a + step]
                 agree = (sig[row][:, None] == sig[right][None]).sum(2, dtype=np.int32) >= AGREE
                 agree &= row[:, None] != right[None]
                 x, y = np.nonzero(agree)
+                x, y = row[x], right[y]
                 if len(x):
-                    first = (path[row[x]] == path[right[y]]).argmax(1) == t[lo]  # the pair's first common tree
-                    hit[row[x[first]]] = True
-                    hit[right[y[first]]] = True
-        yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(hit)) for c in ("g", "i", "j", "b", "t", "class", "path")], ["g", "i", "j", "b", "t", "class", "path"])
+                    tree, prefix = _first_tree(sig[x], sig[y], depth[x], depth[y])
+                    here = (tree == t[lo]) & (prefix == k[lo])
+                    hit[x[here]] = hit[y[here]] = True
+        some = np.flatnonzero(hit)
+        yield pa.RecordBatch.from_arrays([*(pa.array(x[some]) for x in (g, i, j, b, t, k)), batch.column("class").take(pa.array(some)).cast(pa.binary())], names)
 
 
 def _components(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -138,9 +191,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     num, den = LEAST
     for batch in grouped(batches, "g"):
         batch = batch.take(pc.sort_indices(batch, [("g", "ascending"), ("class", "ascending")]))
-        g, i, j, b, t, copies = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("g", "i", "j", "b", "t", "copies"))
-        names = batch.column("class").to_pylist()
-        path = np.frombuffer(b"".join(batch.column("path").to_pylist()), np.uint32).reshape(-1, TREES)
+        g, i, j, b, t, k, copies = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("g", "i", "j", "b", "t", "k", "copies"))
+        sig, depth = _array(batch.column("sig"), np.uint16, TREES * DEPTH), _array(batch.column("depth"), np.uint8, TREES)
         sets = [np.frombuffer(x, np.uint64) for x in batch.column("set").to_pylist()]
         links, hub = np.zeros(len(g), np.int64), np.arange(len(g))
         for lo, hi in _runs(g):
@@ -152,7 +204,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             owner = np.repeat(np.arange(m), size)
             shared = times[code] > 1  # what one member alone has is in no intersection
             owner, code = owner[shared], code[shared]
-            left, right = (np.arange(m),) * 2 if i[lo] == j[lo] else (np.flatnonzero(b[lo:hi] == i[lo]), np.flatnonzero(b[lo:hi] == j[lo]))
+            left, right = (x - lo for x in _sides(lo, hi, i, j, b))
             common = np.zeros((len(left), len(right)), np.float32)
             _, code = np.unique(code, return_inverse=True)
             width = int(code.max()) + 1 if len(code) else 0
@@ -164,17 +216,25 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 dense = np.zeros((m, min(step, width - a)), np.float32)
                 dense[owner[s:e], code[s:e] - a] = 1
                 common += dense[left] @ dense[right].T
-            near = common * (den + num) >= num * (size[left][:, None] + size[right][None]) - 0.5
-            near &= left[:, None] != right[None]
-            x, y = np.nonzero(near)
-            first = (path[lo + left[x]] == path[lo + right[y]]).argmax(1) == t[lo]
-            x, y = left[x[first]], right[y[first]]
-            np.add.at(links, lo + x, copies[lo + y])
-            if i[lo] != j[lo]:
-                np.add.at(links, lo + y, copies[lo + x])
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+            for a in range(0, len(left), 64):
+                part = left[a : a + 64]
+                near = common[a : a + 64] * (den + num) >= num * (size[part][:, None] + size[right][None]) - 0.5
+                near &= part[:, None] != right[None]
+                x, y = np.nonzero(near)
+                x, y = part[x], right[y]
+                tree, prefix = _first_tree(sig[lo + x], sig[lo + y], depth[lo + x], depth[lo + y])
+                here = (tree == t[lo]) & (prefix == k[lo])
+                x, y = x[here], y[here]
+                np.add.at(links, lo + x, copies[lo + y])
+                if i[lo] != j[lo]:
+                    np.add.at(links, lo + y, copies[lo + x])
+                found.append((np.arange(m), _components(m, x, y)))
+            x, y = (np.concatenate(z) for z in zip(*found, strict=True))
             hub[lo:hi] = lo + _components(m, x, y)
         some = np.flatnonzero(links)
-        yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in some], pa.binary()), pa.array(links[some]), pa.array([names[hub[k]] for k in some], pa.binary())], ["class", "links", "hub"])
+        label = batch.column("label")
+        yield pa.RecordBatch.from_arrays([label.take(pa.array(some)), pa.array(links[some]), label.take(pa.array(hub[some]))], ["label", "links", "hub"])
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -198,56 +258,74 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: ``key``, ``rid``, ``class_id`` and ``n_links``.
+    """One row for each row of ``docs``: ``key``, ``class_id`` and ``n_links``.
 
     ``n_links`` is the number of other rows whose text is a near duplicate of this one's (equal sets of shingles
     included), ``class_id`` the least ``key`` it is linked with, directly or not. A text of one to four words counts
-    as one shingle; null texts and such without a word are linked with nothing. ``rid`` is a hash of key and text.
-    Null keys come last; rows that repeat a key are rows of their own; ties go to the least key; an empty table gives
-    no rows; other columns don't matter.
+    as one shingle; null texts and such without a word are linked with nothing. Texts of any length are compared
+    whole. Null keys come last; rows that repeat a key are rows of their own; ties go to the least key; an empty table
+    gives no rows; other columns don't matter, whatever their names.
     """
-    return _linked(docs, key, text).select(key, "rid", F.when(F.col("root").isNull(), F.col(key)).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return _linked(docs, key, text).select(F.col("key").alias(key), F.when(F.col("root").isNull(), F.col("key")).otherwise(F.col("root.key")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def _node(t: Column, k: Column, label: Column) -> Column:
+    """Hash of the node of a tree that holds a label's first ``k`` values."""
+    return F.xxhash64(t, k, F.substring(label, F.lit(1), k * 2))
 
 
 def _linked(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Also ``root``, the same for all rows that hang together; null where the text has no word."""
-    rows = docs.select(F.col(key), F.xxhash64(key, text).alias("rid"), F.col(text).alias("_text"))
+    """``key rid n_links root`` of each row. ``rid`` is a hash of key and text, ``root`` the first row (``last key rid``)
+    of those that hang together; null where the text has no word."""
+    rows = docs.select(F.col(key).alias("key"), F.xxhash64(key, text).alias("rid"), F.col(text).alias("_text"))
     work = lambda batch: _signed(batch.column("_text"))
-    signed = cut(append(rows, {"class": "binary", "n": "bigint", "path": "binary", "sig": "binary"}, work, "_text", BLOCK, ("_text",)))
-    classes = cut(signed.filter("n > 0").groupBy("class").agg(F.min(key).alias("least"), F.min(F.struct(F.col(key).isNull(), key, "rid")).alias("row"), F.count("*").alias("copies"), F.first("path").alias("path"), F.first("sig").alias("sig")))
-    where = F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("t"), F.xxhash64(t, F.substring("path", t * 4 + 1, F.lit(4))).alias("bucket"))))
-    members = classes.select("class", where.alias("w")).select("class", "w.t", "w.bucket")
-    full = members.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1")
-    company = members.join(full, "bucket").join(classes.select("class", "path", "sig"), "class")
-    blocks = F.ceil(F.col("m") / MEMBERS).cast("int")
-    company = company.withColumns({"n": blocks, "b": F.pmod(F.xxhash64("class"), blocks).cast("int")})
-    company = company.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    company = company.withColumns({"i": F.least("b", "o"), "j": F.greatest("b", "o")}).withColumn("g", F.xxhash64("bucket", "i", "j"))
-    met = company.select("g", "i", "j", "b", "t", "class", "path", "sig").repartition("g").sortWithinPartitions("g").mapInArrow(_meet, "g bigint, i int, j int, b int, t int, class binary, path binary")
-    met = cut(met)
+    signed = cut(append(rows, {"class": "binary", "n": "bigint", "sig": "binary"}, work, "_text", BLOCK, ("_text",)))
+    # a class is named by its first row, so that the least name of what hangs together tells its least key
+    name = F.struct(F.col("key").isNull().alias("last"), "key", "rid")
+    classes = cut(signed.filter("n > 0").groupBy("class").agg(F.min(name).alias("label"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")))
+    trees = F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("t"), F.substring("sig", t * (2 * DEPTH) + 1, F.lit(2 * DEPTH)).alias("path"))))
+    paths = classes.select("class", "n", trees.alias("w")).select("class", "n", "w.t", "w.path")
+    # nodes at the shortest prefix that have company; only paths through them go deeper
+    paths = paths.withColumn("node", _node(F.col("t"), F.lit(SHORTEST), F.col("path")))
+    company = paths.groupBy("node").agg(F.count("*").alias("m")).filter("m > 1")
+    paths = cut(paths.join(company, "node").select("class", "n", "t", "path"))
+    deep = F.explode(F.transform(F.sequence(F.lit(SHORTEST), F.lit(DEPTH)), lambda k: F.struct(k.alias("k"), _node(F.col("t"), k, F.col("path")).alias("node"))))
+    nodes = paths.select("class", "n", "t", deep.alias("w")).select("class", "n", "t", "w.k", "w.node")
+    crowd = nodes.groupBy("node").agg(F.count("*").alias("m"), F.sum("n").alias("all")).filter("m > 1")
+    nodes = cut(nodes.join(crowd, "node"))
+    depths = nodes.groupBy("class").agg(F.collect_list(F.struct("t", "k", "m")).alias("nodes")).mapInArrow(_chosen, "class binary, depth binary, looks array<int>")
+    depths = cut(depths)
+    wanted = nodes.join(depths, "class").filter(F.col("k") == F.get("looks", F.col("t"))).select("node").distinct()
+    depths = depths.drop("looks")
+    blocks = F.greatest(F.ceil(F.col("m") / MEMBERS), F.ceil(F.col("all") * 8 / SET_BYTES)).cast("int")
+    members = nodes.join(wanted, "node", "left_semi").withColumn("blocks", blocks)
+    members = members.withColumn("b", F.pmod(F.xxhash64("class"), "blocks").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    members = members.withColumns({"i": F.least("b", "o"), "j": F.greatest("b", "o")}).withColumn("g", F.xxhash64("node", "i", "j"))
+    signs = classes.select("class", "sig").join(depths, "class")
+    members = members.select("g", "i", "j", "b", "t", "k", "class").join(signs, "class")
+    met = cut(members.repartition("g").sortWithinPartitions("g").mapInArrow(_meet, "g bigint, i int, j int, b int, t int, k int, class binary"))
     # the sets of those that have a promising partner, from the text of one row of the class
-    wanted = met.select("class").distinct().join(classes.select("class", "copies", F.col("row.rid").alias("rid")), "class")
+    needed = met.select("class").distinct().join(classes.select("class", "label", "copies", F.col("label.rid").alias("rid"), "sig"), "class").join(depths, "class")
     sets = lambda batch: [_packed(batch.column("_text"))]
-    wanted = append(rows.select("rid", "_text").join(wanted, "rid").dropDuplicates(["rid"]), {"set": "binary"}, sets, "_text", BLOCK, ("_text", "rid"))
-    found = cut(met.join(wanted, "class").repartition("g").sortWithinPartitions("g").mapInArrow(_verify, "class binary, links bigint, hub binary"))
-    roots = components(found.select(F.col("class").alias("a"), F.col("hub").alias("b")))
-    links = found.groupBy("class").agg(F.sum("links").alias("links"))
-    known = classes.select("class", "least", "copies").join(links, "class", "left").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    least = known.groupBy("root").agg(F.min("least").alias("class_id"))
-    known = known.join(least, "root").select("class", "root", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return signed.select(key, "rid", "class").join(known, "class", "left").drop("class")
+    needed = append(rows.select("rid", "_text").join(needed, "rid").dropDuplicates(["rid"]), {"set": "binary"}, sets, "_text", BLOCK, ("_text", "rid"))
+    kind = classes.schema["label"].dataType.simpleString()
+    found = cut(met.join(needed, "class").repartition("g").sortWithinPartitions("g").mapInArrow(_verify, f"label {kind}, links bigint, hub {kind}"))
+    roots = components(found.select(F.col("label").alias("a"), F.col("hub").alias("b")))
+    links = found.groupBy("label").agg(F.sum("links").alias("links"))
+    known = classes.select("class", "label", "copies").join(links, "label", "left").join(roots.withColumnRenamed("node", "label"), "label", "left")
+    known = known.select("class", F.coalesce("root", "label").alias("root"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    return signed.select("key", "rid", "class").join(known, "class", "left").drop("class")
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Of each group of near duplicates one row, that with the least ``key`` (nulls last), then hash of the text.
 
-    Rows without words are groups of their own. Columns stay as they are; ``rid`` may not be among them.
+    Rows without words are groups of their own. Columns stay as they are, whatever their names.
     """
-    marked = cut(_linked(docs, key, text).filter(F.col("root").isNotNull()))
-    first = marked.groupBy("root").agg(F.min(F.struct(F.col(key).isNull(), key, "rid")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    flags = marked.join(first, "root").select("rid", (F.col("rid") == F.col("first.rid")).alias("stays")).distinct()
-    rows = docs.withColumn("rid", F.xxhash64(key, text)).join(flags, "rid", "left")
-    return rows.filter("stays IS NULL").unionByName(rows.filter("stays").dropDuplicates(["rid"])).select(*docs.columns)
+    rid, stays = fresh(docs, "rid", "stays")
+    flags = cut(_linked(docs, key, text).filter("n_links > 0").select(F.col("rid").alias(rid), (F.col("rid") == F.col("root.rid")).alias(stays))).distinct()
+    rows = docs.withColumn(rid, F.xxhash64(key, text)).join(flags, rid, "left")
+    return rows.filter(F.col(stays).isNull()).unionByName(rows.filter(stays).dropDuplicates([rid])).select(*docs.columns)
 
 
 def _packed(column: pa.Array) -> pa.Array:
@@ -256,7 +334,7 @@ def _packed(column: pa.Array) -> pa.Array:
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("rid")
+    return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {"op5_ngram_jaccard": op5_ngram_jaccard}

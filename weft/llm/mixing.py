@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weft.llm.common import U, cut, grouped, mix, table, words_of
+from weft.llm.common import U, cut, fresh, grouped, mix, narrow, table, words_of
 
 #: Weights of the sources in the order of their names, repeating; words to mix as a share of all; most copies of a document.
 WEIGHTS, SHARE, COPIES = (5, 2, 1), Fraction(3, 2), 2
@@ -85,16 +85,18 @@ def _land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def _fly(landing: bool):
+    small = {pa.large_binary(): pa.binary(), pa.large_string(): pa.string()}
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in grouped(batches, "_block"):
             block, p, size, h = (batch.column(c).to_numpy() for c in ("_block", "_p", "_n", "_h"))
-            p = p.copy()
+            p, schema = p.copy(), pa.schema([(f.name, small.get(f.type, f.type)) for f in batch.schema])
             chance = (mix(h.astype(np.uint64)) >> U(11)) / float(1 << 53)
             edge = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)]])
             for a, b in zip(edge[:-1], edge[1:], strict=True):
                 q = flight(p[a:b], size[a:b], chance[a:b], LANDING)
                 p[a:b] = _land(q, size[a:b]) if landing else q
-            yield batch.set_column(batch.schema.get_field_index("_p"), "_p", pa.array(p))
+            yield from narrow(batch.set_column(batch.schema.get_field_index("_p"), "_p", pa.array(p)), schema)
 
     return work
 
@@ -130,13 +132,18 @@ def copies(docs: DataFrame, key: str = "doc_id", size: str = "size", source: str
 
 
 def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """Every row of ``docs`` as often as the mix of its sources takes it."""
-    sized = docs.withColumns({"_size": word_count(text), "rid": F.xxhash64(key, text, source)})
-    taken = copies(sized, "rid", "_size", source).filter("copies > 0").select("rid", "copies")
+    """Every row of ``docs`` as often as the mix of its sources takes it; all columns stay, whatever their names.
+
+    Nulls, ties, repeated rows and empty tables are as in ``copies``; a null text has no words and is not taken more
+    often than by its chance.
+    """
+    rid, size, number, turn, copy = fresh(docs, "rid", "size", "copies", "turn", "copy")
+    sized = docs.withColumns({size: word_count(text), rid: F.xxhash64(key, text, source)})
+    taken = copies(sized, rid, size, source).filter("copies > 0").select(F.col(rid), F.col("copies").alias(number))
     # rows that are alike in all of this are as many on both sides, and take turns
-    taken = taken.withColumn("_turn", F.row_number().over(Window.partitionBy("rid").orderBy(F.desc("copies"))))
-    rows = sized.withColumn("_turn", F.row_number().over(Window.partitionBy("rid").orderBy("_size")))
-    return rows.join(taken, ["rid", "_turn"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    taken = taken.withColumn(turn, F.row_number().over(Window.partitionBy(rid).orderBy(F.desc(number))))
+    rows = sized.withColumn(turn, F.row_number().over(Window.partitionBy(rid).orderBy(size)))
+    return rows.join(taken, [rid, turn]).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(number)))).select(*docs.columns)
 
 
 def word_count(text: str) -> Column:
