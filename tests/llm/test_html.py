@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from weft.llm import html
@@ -50,3 +52,83 @@ def test_template_of_a_section_goes(spark, block):
     rows = [(i, f"http://host/{i}", f"<body>{block if i < 6 else ''}<div>{story(i)}</div></body>") for i in range(300)]
     got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: f"Title {i}\nStory {i} of many" for i in range(300)}
+
+
+AD = "<div class='ad-{}'>Buy {} now</div>"
+
+
+def mixed_site(n, host="host"):
+    """Pages whose menu, advert and footer say something else each time, with articles that recur in shape."""
+    nav = lambda i: "<ul>" + "".join(f"<li><a href=/{i}/{k}>Item {i} {k}</a></li>" for k in range(3 + i % 4)) + "</ul>"
+    body = lambda i: f"<article><h1>Title {i}</h1><p>Yes.</p><p>Story {i} of <b>many</b></p><div class=share>Share this</div><p>No.</p></article>"
+    return [(i, f"http://{host}/{i}", f"<html><head><title>T{i}</title></head><body>{nav(i)}{AD.format(i, i)}{body(i)}<div class=below>&copy; {host} {i}</div></body></html>") for i in range(n)]
+
+
+def test_templates_alone_find_what_varies(spark):
+    """Without names: menus, adverts and footers of hosts with many pages go, articles stay whole; few pages tell nothing."""
+    rows = mixed_site(8) + [(100 + i, u, h) for i, u, h in mixed_site(3, "small")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: (r.text, r.n) for r in html.main_text(df, names=False, deleted="n").collect()}
+    assert all(got[i] == (f"Title {i}\nYes.\nStory {i} of many\nNo.", 4) for i in range(8))
+    assert all("Buy" in got[100 + i][0] and "Share" in got[100 + i][0] and got[100 + i][1] == 0 for i in range(3))
+    named = {r.page_id: r.text for r in html.main_text(df).collect()}
+    assert named == {i: f"Title {i % 100}\nYes.\nStory {i % 100} of many\nNo." for i in [*range(8), 100, 101, 102]}
+
+
+def count_plainly(rows):
+    """Pages of different content by subtree, in plain Python: the subtree written out, with and without its text."""
+
+    def parts(page, k):
+        said, kinds, words = [], [], False
+        for x in page.parts[k]:
+            if isinstance(x, int):
+                c, s = parts(page, x)
+                said.append(c)
+                kinds += [s] if s not in kinds else []
+            elif t := " ".join(page.source[x[0] : x[1]].split()):
+                said.append(t)
+                words = True
+        names = tuple(sorted({w for w in html._words(page.attrs[k]) if not w.isdigit()}))
+        return (page.tag[k], " ".join(page.attrs[k].split()), tuple(said)), (page.tag[k], names, words, tuple(kinds))
+
+    on = {}
+    for _, url, source in rows:
+        page, host = html.Page(source), url.split("/")[2]
+        contents, shapes = page.subtrees(host, page.marks()[2])
+        for kind, those in ((0, contents), (1, shapes)):
+            for k in those:
+                on.setdefault((host, kind, parts(page, k)[kind]), set()).add(page.text())
+    return sum(len(v) >= html.LEAST_PAGES for v in on.values())
+
+
+def test_templates_by_a_plain_counter(spark):
+    rows = mixed_site(9) + mixed_site(2, "b") + [(50 + i, u, h) for i, u, h in site()] + mixed_site(9)[:4]
+    df = spark.createDataFrame([(h, u.split("/")[2]) for _, u, h in rows], "_html string, _host string")
+    got = [r.tree for r in html.templates(df).collect()]
+    assert len(got) == len(set(got)) == count_plainly(rows) > 5
+
+
+def test_paragraphs_of_near_copies_stay(spark):
+    """Six articles that share most of their paragraphs are no template of their host."""
+    same = "".join(f"<p>Paragraph {k} of the text that they share</p>" for k in range(4))
+    rows = [(i, f"http://host/{i}", f"<body><article><h1>Title</h1>{same}<p>Ending {i}</p></article></body>") for i in range(6)]
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i].count("\n") == 5 and got[i].endswith(f"Ending {i}") for i in range(6))
+
+
+@pytest.mark.parametrize("source", ["<div>" * 8000 + "</span>" * 8000, "<b>" * 8000 + "<div></div>" * 8000, "<ul>" + "<div>" * 8000 + "<li></li>" * 8000, "<dl><dt><ul>" + "<b>" * 8000 + "</dt>" * 8000, "<div class=x>" * 20_000 + "text"])
+def test_broken_nesting_takes_no_time(source):
+    began = time.process_time()
+    page = html.Page(source)
+    page.subtrees("host", page.marks()[2])
+    page.text()
+    assert time.process_time() - began < 2
+
+
+def test_clashing_columns_stay(spark):
+    rows = [(i, u, h, 1, 2) for i, u, h in mixed_site(6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, _host int, _trees int")
+    for most in (html.MOST_BROADCAST, 0):
+        got = html.main_text(df, most_broadcast=most)
+        assert got.columns == ["page_id", "url", "_host", "_trees", "text"]
+        assert sorted((r.page_id, r._host, r._trees, r.text) for r in got.collect()) == [(i, 1, 2, f"Title {i}\nYes.\nStory {i} of many\nNo.") for i in range(6)]
