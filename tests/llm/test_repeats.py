@@ -102,8 +102,8 @@ def test_crowded_anchor_is_no_single_group(monkeypatch):
 
     rows = crowd_rows(12000)
     texts = pa.RecordBatch.from_pydict({"rid": pa.array([i for i, _ in rows]), "_order": pa.array([i for i, _ in rows]), "_text": pa.array([t for _, t in rows])})
-    most, index = [0], repeats.run_index
-    monkeypatch.setattr(repeats, "run_index", lambda text, *a: most.append(len(text)) or index(text, *a))
+    most, index = [0], repeats.in_order
+    monkeypatch.setattr(repeats, "in_order", lambda text, *a: most.append(len(text)) or index(text, *a))
     sent = deal(repeats._send(4)(iter([texts])), "bucket")
     again = deal((b for x in sent for b in repeats._again(4, repeats.CROWD)(iter(x))), "bucket")
     items = {r: i for x in again for b in repeats._gather(iter(x)) for r, i in zip(*(b.column(c).to_pylist() for c in ("rid", "items")), strict=True)}
@@ -126,3 +126,20 @@ def test_crowded_anchors_by_brute_force(spark):
         out = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), into="sha", as_=repeats.digest, whole=sha, crowd=crowd)
         got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.sha) for r in out.collect()), key=str)
         assert got == sorted(((k, *want[k, t]) for k, t in rows), key=str)
+
+
+def test_clashing_columns_stay(spark):
+    rng = random.Random(8)
+    t = words(rng, 300)
+    rows = [(1, t, 3, "w", "r"), (2, "x" + t, 4, "w", "r"), (3, None, 5, "w", "r")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, rid int, whole string, _text string")
+    out = repeats.remove_repeats(df, into="text")
+    assert out.columns == ["doc_id", "rid", "whole", "_text", "n_bytes", "n_removed", "n_spans", "text"]
+    n = len(t.encode())
+    assert sorted(map(tuple, out.collect())) == [(1, 3, "w", "r", n, 0, 0, t), (2, 4, "w", "r", n + 1, n, 1, "x"), (3, 5, "w", "r", 0, 0, 0, "")]
+
+
+def test_buckets_follow_the_bytes(spark, monkeypatch):
+    rng = random.Random(9)
+    monkeypatch.setattr(repeats, "BUCKET", 500)
+    check(spark, [(i, words(rng, 40) + "p" * 20 + words(random.Random(1), 150)) for i in range(25)])

@@ -45,9 +45,9 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
 
 
-def partitions_for(df: DataFrame, rows: int, rows_each: int) -> int:
-    """Partitions of about ``rows_each`` rows, and no fewer than the session deals out."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_each))
+def partitions_for(df: DataFrame, amount: int, each: int) -> int:
+    """Partitions of about ``each`` rows or bytes, and no fewer than the session deals out."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-amount // each))
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -3,14 +3,15 @@
 A window of ``LENGTH`` bytes is removed where an equal one starts earlier. Every window has an anchor, the
 ``GRAM``-byte string in it whose fingerprint is least, which its content alone decides; so equal windows have equal
 anchors. Anchors that occur once drop out after one exchange of fingerprints. The stretches of windows around the
-others meet by anchor. Of the stretches that meet, a run-length index is built: their windows in the order of their
-bytes, the runs of the Burrows-Wheeler transform, and a sample for each run, its first place in the corpus. Windows
-that match an earlier one over their whole length are marked by the samples. Whatever a task can settle by itself it
+others meet by anchor. The windows of stretches that meet are put in the order of their bytes, as suffixes of a suffix
+array are, and of each group of equal ones all but the earliest are marked. Whatever a task can settle by itself it
 does before it sends anything, so a passage in a third of all documents sends one record a task.
 
 Near the edge of a shared passage, or in a short shared string, an anchor has another stretch in every document. The
 windows of anchors that occur more than ``CROWD`` times are therefore dealt by anchor and fingerprint, each settled by
-its sender first; so no anchor is ever one group.
+its sender first; so no anchor is ever one group. Buckets are as many as the bytes of the table ask for.
+
+This is not the run-length index that the operator is named after; README.md says why, with figures.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import Spans, U, append, cut, mix, slices, table, utf8
+from weft.llm.common import Spans, U, append, cut, fresh, mix, partitions_for, slices, table, utf8
 
 #: Bytes of a string that is removed where it repeats, and of an anchor.
 LENGTH, GRAM = 100, 32
@@ -31,6 +32,8 @@ LENGTH, GRAM = 100, 32
 STARTS = LENGTH - GRAM + 1
 #: Bytes of texts worked on at once, anchors or bytes of stretches held before they are sent.
 BLOCK, HELD = 1 << 17, 1 << 19
+#: Bytes of texts for each bucket: a task's anchors or stretches are about as many bytes.
+BUCKET = 8 << 20
 LAST = np.iinfo(np.int64).max
 #: The lowest bits of an anchor's fingerprint hold its count, as a power of two. Anchors above ``CROWD`` are dealt by
 #: window; the list of them is sent as the answer to row ``ALL``.
@@ -296,12 +299,10 @@ def _gone(rid: np.ndarray, start: np.ndarray, buckets: int) -> pa.RecordBatch:
     return _deal(rid[a], np.stack([start[a], start[b]], 1).astype(np.int32).reshape(-1).view(np.uint64), buckets)
 
 
-def run_index(text: np.ndarray, start: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of ``LENGTH`` bytes at ``start``, in the order of their bytes; where the runs of the Burrows-Wheeler
-    transform of that order begin; and where the groups of equal windows do.
+def in_order(text: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of ``LENGTH`` bytes at ``start``, in the order of their bytes, and where the groups of equal ones begin.
 
-    Ranks of 8 bytes double up to 64, and two ranks of 64 overlap to ``LENGTH``. A run is a stretch of equal windows
-    with the same byte before them (none unless ``inner``): copies of a passage share it, however many there are.
+    Ranks of 8 bytes double up to 64, and two ranks of 64 overlap to ``LENGTH``.
     """
     n = len(text)
     padded = np.concatenate([text, np.zeros(LENGTH, np.uint8)]).astype(np.uint64)
@@ -317,11 +318,8 @@ def run_index(text: np.ndarray, start: np.ndarray, inner: np.ndarray) -> tuple[n
         width *= 2
     key = (rank[start] << U(32)) | rank[start + (LENGTH - width)]
     order = np.argsort(key, kind="stable")
-    before = np.where(inner, text[start - 1].astype(np.int16), -1)[order]
     key = key[order]
-    group = np.concatenate([[True], key[1:] != key[:-1]])
-    run = group | np.concatenate([[True], before[1:] != before[:-1]])
-    return order, np.flatnonzero(run), np.flatnonzero(group)
+    return order, np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
 
 
 def _first(buckets: int):
@@ -370,11 +368,10 @@ def _first(buckets: int):
             owner = np.repeat(np.arange(len(i)), m)
             k = np.arange(len(owner)) - np.repeat(np.cumsum(m) - m, m)
             d, r, s = doc[i][owner], rid[i][owner], first[i][owner] + k
-            windows, runs, groups = run_index(local, off[:-1][owner] + k, k > 0)
+            windows, groups = in_order(local, off[:-1][owner] + k)
             place = np.empty(len(d), np.int64)  # in the order of documents, rows and starts
             place[by := np.lexsort((s, r, d))] = np.arange(len(d))
-            sample = np.minimum.reduceat(place[windows], runs)  # the first place of each run
-            lead = by[np.repeat(np.minimum.reduceat(sample, np.searchsorted(runs, groups)), np.diff(np.append(groups, len(d))))]
+            lead = by[np.repeat(np.minimum.reduceat(place[windows], groups), np.diff(np.append(groups, len(d))))]
             d, r, s, lead_d, lead_r, lead_s = d[windows], r[windows], s[windows], d[lead], r[lead], s[lead]
             gone = (d > lead_d) | ((r == lead_r) & (s > lead_s))  # a smaller document has it, or the row itself before
             other = np.flatnonzero((d == lead_d) & (r != lead_r))  # another row of the least document looks at itself
@@ -425,14 +422,16 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", int
     above ``crowd`` times (counted within a factor of two) are dealt by window; the list of them, 8 bytes each, passes
     through the driver.
     """
-    n, answers = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket int, rids binary, items binary"
-    docs = docs.drop("n_bytes", "n_removed", "n_spans", *({into} - {text}))
+    added = ("n_bytes", "n_removed", "n_spans", into)
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    marks = {"rid": F.xxhash64(key, text), "_order": F.coalesce(F.col(key).cast("bigint"), F.lit(LAST)), "_sha": F.sha2(body, 256), "n_bytes": F.length(body).cast("bigint")}
-    narrow = docs.select(*(F.col(c) for c in docs.columns if c == key), *(v.alias(k) for k, v in marks.items())).filter(F.col("n_bytes") >= LENGTH)
-    firsts = narrow.groupBy("_sha").agg(F.min("_order").alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    copied = narrow.join(firsts, "_sha").filter("_order > _first").select("rid")
-    rows = docs.select(F.xxhash64(key, text).alias("rid"), marks["_order"].alias("_order"), F.col(text).alias("_text")).filter(F.octet_length("_text") >= LENGTH)
+    marks = {"rid": F.xxhash64(key, text), "_order": F.coalesce(F.col(key).cast("bigint"), F.lit(LAST))}
+    narrow = cut(docs.select(*(v.alias(k) for k, v in marks.items()), F.sha2(body, 256).alias("_sha"), F.length(body).cast("bigint").alias("n")).filter(F.col("n") >= LENGTH))
+    size = narrow.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    n, answers = partitions_for(docs, size, BUCKET), "bucket int, rids binary, items binary"
+    # a table of its own: so the join can split the rows of a text that many documents have
+    firsts = cut(narrow.groupBy("_sha").agg(F.min("_order").alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n"))
+    copied = cut(narrow.join(firsts, "_sha").filter("_order > _first").select("rid"))
+    rows = docs.select(*(v.alias(k) for k, v in marks.items()), F.col(text).alias("_text")).filter(F.octet_length("_text") >= LENGTH)
     sent = rows.select("rid", "_text").mapInArrow(_send(n), "bucket int, kind int, rids binary, hashes binary")
     again = sent.repartition(n, "bucket").drop("bucket").mapInArrow(_again(n, crowd), answers).repartition(n, "bucket").mapInArrow(_gather, "rid bigint, items binary")
     again = cut(again.join(copied, "rid", "left_anti"))
@@ -452,13 +451,15 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", int
         removed, spans, rest = zip(*out, strict=True) if out else ((), (), ())
         return [pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(rest, pa.string())]
 
-    lost = append(some.join(gone, "rid"), {"n_removed": "bigint", "n_spans": "bigint", "_rest": "string"}, work, "_text", 1 << 20, ("_text", "runs", "items"))
-    lost = lost.unionByName(copied.select("rid", F.lit(LAST).alias("_order"), F.lit(-1).cast("bigint").alias("n_removed"), F.lit(1).cast("bigint").alias("n_spans"), F.lit(as_(b"", b"")).alias("_rest"))).dropDuplicates(["rid"])
-    lost = lost.drop("_order")
-    out = docs.withColumns({"rid": marks["rid"], "n_bytes": marks["n_bytes"], "_whole": F.coalesce(F.col(text), F.lit("")) if whole is None else whole}).drop(text).join(lost, "rid", "left")
+    lost = append(some.join(gone, "rid"), {"removed": "bigint", "spans": "bigint", "rest": "string"}, work, "_text", 1 << 20, ("_text", "runs", "items")).drop("_order")
+    lost = lost.unionByName(copied.select("rid", F.lit(-1).cast("bigint").alias("removed"), F.lit(1).cast("bigint").alias("spans"), F.lit(as_(b"", b"")).alias("rest"))).dropDuplicates(["rid"])
+    own = {c: c for c in docs.columns if c not in added and c != text}
+    rid, size, left, *names = fresh(docs, "rid", "n_bytes", "whole", "removed", "spans", "rest")
+    lost = lost.select(F.col("rid").alias(rid), *(F.col(c).alias(x) for c, x in zip(("removed", "spans", "rest"), names, strict=True)))
+    removed, spans, rest = map(F.col, names)
+    out = docs.select(*own, marks["rid"].alias(rid), F.length(body).cast("bigint").alias(size), (F.coalesce(F.col(text), F.lit("")) if whole is None else whole).alias(left)).join(lost, rid, "left")
     none = F.lit(0).cast("bigint")
-    removed = F.when(F.col("n_removed") < 0, F.col("n_bytes")).otherwise(F.coalesce("n_removed", none))
-    return out.withColumns({"n_removed": removed, "n_spans": F.coalesce("n_spans", none), into: F.coalesce("_rest", "_whole")}).drop("rid", "_whole", "_rest")
+    return out.select(*own, F.col(size).alias("n_bytes"), F.when(removed < 0, F.col(size)).otherwise(F.coalesce(removed, none)).alias("n_removed"), F.coalesce(spans, none).alias("n_spans"), F.coalesce(rest, F.col(left)).alias(into))
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
