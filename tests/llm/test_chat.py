@@ -3,8 +3,10 @@ import re
 
 from hypothesis import given
 from hypothesis import strategies as st
+from sentencepiece import SentencePieceProcessor
 
 from weft.llm import chat
+from weft.llm.tokens import default_model
 
 SCHEMA = "conv_id long, turn long, role string, text string, window string"
 
@@ -65,3 +67,19 @@ def test_windows(spark):
 def test_empty_table(spark):
     df = frame(spark, CONVS).limit(0)
     assert chat.digest(chat.format_windows(df)).collect() == []
+
+
+def test_no_window_is_over_the_budget_by_the_library(spark, data):
+    library = SentencePieceProcessor(model_file=default_model())
+    long_system = [(0, "system", "rule " * 300), (1, "system", "more " * 400), *((k, "assistant" if k % 2 else "user", f"turn {k} " * 30) for k in range(2, 40))]
+    tables = [frame(spark, CONVS | {7: long_system}), spark.read.parquet(f"{data}/conversations.parquet")]
+    for df in tables:
+        rows = chat.format_windows(df).collect()
+        assert all(r.tokens == len(library.encode(r.formatted)) for r in rows)
+        for r in rows:
+            turns = chat.read_back(r.formatted)
+            system = [x for x in turns if x[0] == "system"]
+            assert r.tokens <= chat.BUDGET or len(turns) - len(system) <= 1, (r.conv_id, r.window)
+    rows = [r for r in chat.format_windows(tables[0]).collect() if r.conv_id == 7]
+    assert len(rows) > 3 and all("rule rule" in r.formatted for r in rows) and sum("more more" in r.formatted for r in rows) == 1
+    assert all(r.tokens <= chat.BUDGET for r in rows)

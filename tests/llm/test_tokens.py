@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -51,3 +52,18 @@ def test_pieces_with_inner_spaces_are_refused():
 def test_counts_add_up(library):
     texts = ["one two three", "", "four"]
     assert np.array_equal(tokens.token_counts(texts, PATH), [tokens.token_counts([t], PATH)[0] for t in texts])
+
+
+@pytest.mark.parametrize("char", "-=_*#.a é中\n")
+def test_a_megabyte_of_one_character_takes_no_time(library, char):
+    assert tokens.token_counts([char * 20_000], PATH)[0] == len(library.encode(char * 20_000))
+    began = time.process_time()
+    tokens.token_counts([char * (1 << 20)], PATH)
+    assert time.process_time() - began < 2
+
+
+def test_long_words_that_dont_settle(library):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(["-" * rng.randint(1, 200), "=" * rng.randint(1, 99), "foo"]) for _ in range(300)) for _ in range(4)]
+    texts += ["".join(rng.choice("-=_ab") for _ in range(20_000)), ("-" * 500 + "x") * 50 + " tail"]
+    assert tokens.token_counts(texts, PATH).tolist() == [len(library.encode(t)) for t in texts]

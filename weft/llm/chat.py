@@ -3,6 +3,9 @@
 A conversation's turns stream by in order. Prefix sums of their tokens choose the spans: a window keeps the leading
 system turns, repeats whole turns of history up to a limit, and takes new turns while they fit. Loss falls on the
 texts of assistant turns where they are new; repeated ones are masked.
+
+The tokens of a turn are those of the turn as it is formatted, marks and escapes included. A turn ends with a line end,
+which no piece of the model holds, so the tokens of a window are the sum of those of its turns: the model's own count.
 """
 
 from __future__ import annotations
@@ -17,15 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import slices, table
+from weft.llm.common import append, slices, table
 from weft.llm.tokens import default_model, token_counts
 
-#: Tokens of a window, and of the turns it may repeat from before; a turn that is longer alone has its own window.
-BUDGET, HISTORY = 1024, 256
-#: Tokens that a turn's marks are counted as.
-MARKS = 8
+#: Tokens of a window, of the turns it may repeat from before, and of the leading system turns that each window keeps.
+BUDGET, HISTORY, SYSTEM = 1024, 256, 512
 BLOCK = 1 << 20
-OPEN, CLOSE, TARGET = "<|turn:{}|>", "<|end|>", "assistant"
+OPEN, CLOSE, TARGET = "<|turn:{}|>", "<|end|>\n", "assistant"
 #: What follows ``<`` or ``[`` in the control strings of common templates and of this one.
 _CONTROL = r"(?=\||/?s>|/?SYS>>|/?INST\])"
 _ESCAPE, _UNESCAPE = re.compile(r"([<\[]\\*)" + _CONTROL), re.compile(r"([<\[]\\*)\\" + _CONTROL)
@@ -57,21 +58,26 @@ class _Windows:
 
     def __init__(self, conv: int | None):
         self.conv, self.index, self.turns = conv, 0, 0
-        self.system: list[tuple[str, str]] = []
+        self.system: list[tuple[str, str, int]] = []  # role, text, by how many tokens it is longer where a window begins
         self.leading = True
-        self.past: list[tuple[str, str]] = []  # turns since the leading system turns, their prefix sums of tokens
+        self.past: list[tuple[str, str, int]] = []  # turns since the leading system turns, their prefix sums of tokens
         self.sums = [0]
         self.first = 0  # the first new turn among them
-        self.fixed = 0
+        self.fixed = 0  # tokens of the leading system turns
+
+    def _used(self, begin: int) -> int:
+        """Tokens of a window that shows the past from ``begin`` on."""
+        lead = self.system[0] if self.system else self.past[begin] if begin < len(self.past) else None
+        return self.fixed + self.sums[-1] - self.sums[begin] + (lead[2] if lead else 0)
 
     def close(self) -> tuple | None:
         n = len(self.past)
         if n == self.first and (self.index or not self.system):
             return None
-        used = self.fixed + self.sums[n] - self.sums[self.first]
-        limit = self.sums[self.first] - min(HISTORY, max(0, BUDGET - used))
-        begin = int(np.searchsorted(self.sums[: self.first + 1], limit, "left"))  # whole turns of history that fit
-        shown = [*((r, t, self.index == 0) for r, t in self.system), *((r, t, i >= self.first) for i, (r, t) in enumerate(self.past) if i >= begin)]
+        begin = int(np.searchsorted(self.sums[: self.first + 1], self.sums[self.first] - HISTORY, "left"))
+        while begin < self.first and self._used(begin) > BUDGET:
+            begin += 1  # whole turns of history that fit
+        shown = [*((r, t, self.index == 0) for r, t, _ in self.system), *((r, t, i >= self.first) for i, (r, t, _) in enumerate(self.past) if i >= begin)]
         parts, at, loss = [], 0, []
         for role, text, new in shown:
             turn, a, b = turn_text(role, text)
@@ -80,24 +86,33 @@ class _Windows:
             parts.append(turn)
             at += len(turn)
         new = len(self.past) - self.first + (len(self.system) if not self.index else 0)
-        out = (self.conv, self.index, self.turns - new, new, used + self.sums[self.first] - self.sums[begin], loss, "".join(parts))
+        out = (self.conv, self.index, self.turns - new, new, self._used(begin), loss, "".join(parts))
         self.index += 1
         keep = int(np.searchsorted(self.sums, self.sums[n] - HISTORY, "left"))  # no later window repeats more
         self.past, self.sums, self.first = self.past[keep:], [x - self.sums[keep] for x in self.sums[keep:]], n - keep
         return out
 
-    def add(self, role: str, text: str, tokens: int) -> Iterator[tuple]:
-        if self.leading and role == "system":
-            self.system.append((role, text))
-            self.fixed += tokens
-        else:
-            self.leading = False
-            if len(self.past) > self.first and self.fixed + self.sums[-1] - self.sums[self.first] + tokens > BUDGET:
-                out = self.close()
-                if out:
-                    yield out
-            self.past.append((role, text))
+    def _take(self, role: str, text: str, tokens: int, ahead: int) -> Iterator[tuple]:
+        self.past.append((role, text, ahead))
+        self.sums.append(self.sums[-1] + tokens)
+        if len(self.past) - 1 > self.first and self._used(self.first) > BUDGET:
+            self.past.pop(), self.sums.pop()
+            out = self.close()
+            if out:
+                yield out
+            self.past.append((role, text, ahead))
             self.sums.append(self.sums[-1] + tokens)
+
+    def add(self, role: str, text: str, tokens: int, first: int) -> Iterator[tuple]:
+        """``tokens`` of the turn inside a window, ``first`` if the window begins with it."""
+        if self.leading and role == "system" and self.fixed + tokens <= SYSTEM:
+            self.system.append((role, text, first - tokens))
+            self.fixed += tokens
+            self.turns += 1
+            return
+        self.leading = False
+        for out in self._take(role, text, tokens, first - tokens):
+            yield out
         self.turns += 1
 
 
@@ -111,25 +126,31 @@ def format_windows(turns: DataFrame, path: str | None = None) -> DataFrame:
 
     ``turns`` has ``conv_id turn role text``; others don't matter. Turns go by ``turn`` (null last), then role and text;
     repeated rows are turns of their own. Null texts and roles are empty; null conversations are one. An empty table
-    gives no windows. The rows of a conversation lie together, in the order of the windows. A turn is never split:
-    one that doesn't fit gets a window of its own beyond the budget.
+    gives no windows. The rows of a conversation lie together, in the order of the windows. No window has more than
+    ``BUDGET`` tokens, unless a turn alone, with the system turns, has: a turn is never split. Leading system turns are
+    kept by every window up to ``SYSTEM`` tokens; from the one that goes beyond on they are turns like others. A
+    conversation is one stream, held a window at a time; its tokens are counted before, wherever its rows lie.
     """
     path = path or default_model()
     empty = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     turns = turns.select(F.col("conv_id").cast("bigint"), "turn", empty("role"), empty("text"))
 
+    def sized(batch: pa.RecordBatch) -> list[pa.Array]:
+        whole = [turn_text(r, t)[0] for r, t in zip(batch.column("role").to_pylist(), batch.column("text").to_pylist(), strict=True)]
+        return [pa.array(token_counts(whole, path, begin)) for begin in (False, True)]
+
+    turns = append(turns, {"tokens": "bigint", "first": "bigint"}, sized, "text", BLOCK)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: _Windows | None = None
         rows: list[tuple] = []
         held = 0
         for batch in slices(batches, "text", BLOCK):
-            texts = batch.column("text").to_pylist()
-            tokens = token_counts([escape(t) for t in texts], path) + MARKS
-            for conv, role, text, n in zip(batch.column("conv_id").to_pylist(), batch.column("role").to_pylist(), texts, tokens.tolist(), strict=True):
+            for conv, role, text, n, first in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text", "tokens", "first")), strict=True):
                 if now is None or now.conv != conv:
                     rows += [w] if now and (w := now.close()) else []
                     now = _Windows(conv)
-                rows += now.add(role, text, n)
+                rows += now.add(role, text, n, first)
                 held += len(text)
                 if held > BLOCK:
                     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_ARROW)], schema=_ARROW)

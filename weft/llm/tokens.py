@@ -4,6 +4,11 @@ The transducer reads one character at a time. A transition says by how many toke
 grows (it can shrink, when a longer piece takes over). Its state holds what later characters can depend on: the end
 of the text that may still grow into a longer piece, with the last token and the relative token count before each
 of its characters. Transitions are compiled as texts call for them and kept by the Python worker.
+
+Words start at the root. Longer ones are cut into chunks, each with a map from the states it can be entered in to exit
+state and tokens. Maps hold the states that occur: the root, and whatever chunks in front leave, until nothing new
+turns up; equal chunks share a map. A prefix scan composes them: maps merge pairwise up a tree, and entry states come
+down it.
 """
 
 from __future__ import annotations
@@ -16,8 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weft.llm.common import U, append, mix, table, utf8
 
-#: Characters of a chunk; a longer word is cut, and the state maps of its chunks are composed.
-CHUNK = 48
+#: Characters of a chunk; a longer word is cut, and the state maps of its chunks are composed, so many cells at once.
+CHUNK, CELLS = 48, 1 << 21
 #: The worker's transitions are dropped and compiled anew beyond this many (about 100 MB).
 MOST_TRANSITIONS = 2_000_000
 #: Texts are worked on in blocks of about this many bytes.
@@ -40,6 +45,8 @@ class Transducer:
         self._clear()
 
     def _clear(self) -> None:
+        self._pairs.clear()
+        self._whole.clear()
         # A state: the end that may still grow, and (last token, tokens) before each of its characters and after it.
         self._ids: dict[tuple, int] = {}
         self._states: list[tuple] = []
@@ -150,6 +157,52 @@ class Transducer:
         back[order] = np.arange(len(order))
         return state[back], count[back]
 
+    def _maps(self, codes: np.ndarray, start: np.ndarray, length: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """State maps of chunks, ``head`` of which begin words: of each chunk and place in its list of entry states, the
+        place of the exit state in the list of the next chunk, and the tokens; and the number of the chunk's list."""
+        n = len(start)
+        text = np.full((n, CHUNK), -1, np.int32)
+        inside = np.arange(CHUNK) < length[:, None]
+        text[inside] = codes[(start[:, None] + np.arange(CHUNK))[inside]]
+        _, sample, kind = np.unique(text.view(f"V{4 * CHUNK}").reshape(-1), return_index=True, return_inverse=True)
+        pairs = np.unique(np.stack([kind[:-1], kind[1:]], 1)[~head[1:]], axis=0) if n > 1 else np.zeros((0, 2), np.int64)
+        after = pairs[np.argsort(pairs[:, 0], kind="stable")]  # which chunks follow which
+        first = np.searchsorted(after[:, 0], np.arange(len(sample) + 1))
+        where: dict[tuple[int, int], int] = {}  # chunk and entry state to the place in its list
+        lists: list[list[tuple[int, int]]] = [[] for _ in sample]  # exit state and tokens
+        new = np.stack([np.arange(len(sample)), np.zeros(len(sample), np.int64)], 1)
+        while len(new):
+            leave, count = self._run(codes, start[sample[new[:, 0]]], length[sample[new[:, 0]]], new[:, 1])
+            for c, s, out, k in zip(new[:, 0].tolist(), new[:, 1].tolist(), leave.tolist(), count.tolist(), strict=True):
+                where[c, s] = len(lists[c])
+                lists[c].append((out, k))
+            many = first[new[:, 0] + 1] - first[new[:, 0]]
+            next_ = after[np.repeat(first[new[:, 0]] - np.cumsum(many) + many, many) + np.arange(many.sum()), 1]
+            reached = np.unique(np.stack([next_, np.repeat(leave, many)], 1), axis=0)
+            new = np.array([r for r in reached.tolist() if tuple(r) not in where], np.int64).reshape(-1, 2)
+        width = max(map(len, lists))
+        exits, tokens = np.zeros((len(sample), width), np.int64), np.zeros((len(sample), width), np.int64)
+        for c, x in enumerate(lists):
+            exits[c, : len(x)], tokens[c, : len(x)] = zip(*x, strict=True)
+        place = np.zeros((n, width), np.int32)
+        follow = np.flatnonzero(~head[1:])
+        _, one, of = np.unique(kind[follow] * len(sample) + kind[follow + 1], return_index=True, return_inverse=True)
+        known = [[where.get((c1, s), 0) for s in exits[c0].tolist()] for c0, c1 in zip(kind[follow[one]].tolist(), kind[follow[one] + 1].tolist(), strict=True)]
+        if len(follow):
+            place[follow] = np.array(known, np.int32)[of]
+        return place, tokens, kind
+
+    def _long(self, codes: np.ndarray, start: np.ndarray, length: np.ndarray, head: np.ndarray) -> np.ndarray:
+        """Tokens of each chunk of words that were cut."""
+        out, a = np.zeros(len(start), np.int64), 0
+        heads = np.flatnonzero(head)
+        while a < len(start):  # whole words, as many as come with the first ones
+            b = int(np.append(heads, len(start))[np.searchsorted(heads, a + CELLS // 64)])
+            place, tokens, kind = self._maps(codes, start[a:b], length[a:b], head[a:b])
+            out[a:b] = tokens[kind, _entries(place)]
+            a = b
+        return out
+
     def counts(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Tokens of each text, given the code points of all of them, spaces as ``SPACE``, and where each begins."""
         if self._used > MOST_TRANSITIONS:
@@ -167,21 +220,37 @@ class Transducer:
         k = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         start = np.repeat(words, pieces) + k * CHUNK
         length = np.minimum(np.repeat(words + size, pieces) - start, CHUNK)
-        entry = np.zeros(len(start), np.int64)
-        leave, count = self._run(codes, start, length, entry)
-        inner = k > 0
-        while True:  # compose the maps: each chunk enters where the one before it leaves; most maps are constant
-            want = np.where(inner, np.concatenate([[0], leave[:-1]]), 0)
-            wrong = np.flatnonzero(want != entry)
-            if not len(wrong):
-                break
-            entry[wrong] = want[wrong]
-            leave[wrong], count[wrong] = self._run(codes, start[wrong], length[wrong], entry[wrong])
-        upto = np.concatenate([[0], np.cumsum(count)])  # the scan over chunks
+        long_ = np.repeat(pieces > 1, pieces)
+        count = np.zeros(len(start), np.int64)
+        count[~long_] = self._run(codes, start[~long_], length[~long_], np.zeros(int((~long_).sum()), np.int64))[1]
+        if long_.any():
+            count[long_] = self._long(codes, start[long_], length[long_], k[long_] == 0)
+        upto = np.concatenate([[0], np.cumsum(count)])
         ends = np.searchsorted(start, at)
         return upto[ends[1:]] - upto[ends[:-1]]
 
 
+def _entries(place: np.ndarray) -> np.ndarray:
+    """The place of each chunk's entry state, by a scan over maps (chunk, place of the entry, place of the next entry).
+
+    What begins a word is entered at the root, which is the first place of each list.
+    """
+    levels = [place]
+    while len(levels[-1]) > 1:
+        x = levels[-1]
+        even, odd = x[: len(x) // 2 * 2 : 2], x[1::2]
+        both = np.take_along_axis(odd, even, 1)
+        levels.append(np.concatenate([both, x[-1:]]) if len(x) % 2 else both)
+    entry = np.zeros(1, np.int64)
+    for x in reversed(levels[:-1]):
+        down = np.zeros(len(x), np.int64)
+        down[::2] = entry
+        half = len(x) // 2
+        down[1::2] = x[: 2 * half : 2][np.arange(half), entry[:half]]
+        entry = down
+    return entry
+
+
 @lru_cache(maxsize=2)
 def pieces(path: str) -> Transducer:
     """The transducer of a piece model."""
@@ -198,9 +267,10 @@ def _normal(text: str) -> str:
     return SPACE + text.replace(" ", SPACE) if text else ""
 
 
-def token_counts(texts: list[str | None], path: str) -> np.ndarray:
+def token_counts(texts: list[str | None], path: str, begin: bool = True) -> np.ndarray:
+    """Tokens of each text; without ``begin`` as they are inside a longer one, after a character that no piece holds."""
     counter = pieces(path)
-    whole = [_normal(t or "") for t in texts]
+    whole = [_normal(t or "") if begin else (t or "").replace(" ", SPACE) for t in texts]
     at = np.concatenate([[0], np.cumsum([len(t) for t in whole])]).astype(np.int64)
     return counter.counts(np.frombuffer("".join(whole).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64), at)
 
