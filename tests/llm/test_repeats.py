@@ -2,9 +2,11 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from weft.llm import repeats
+from weft.llm.common import Spans
 
 N = repeats.LENGTH
 
@@ -93,8 +95,6 @@ def crowd_rows(n, seed=5):
 
 
 def test_crowded_anchor_is_no_single_group(monkeypatch):
-    import pyarrow as pa
-
     def deal(batches, key):
         """Batches by bucket, as an exchange makes them."""
         all_ = pa.Table.from_batches(list(batches))
@@ -143,3 +143,24 @@ def test_buckets_follow_the_bytes(spark, monkeypatch):
     rng = random.Random(9)
     monkeypatch.setattr(repeats, "BUCKET", 500)
     check(spark, [(i, words(rng, 40) + "p" * 20 + words(random.Random(1), 150)) for i in range(25)])
+
+
+def test_long_texts_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "BLOCK", 300)
+    monkeypatch.setattr(repeats, "PIECE", 700)
+    rng = random.Random(10)
+    p = words(rng, 900)
+    sent = [(1, words(rng, 4000) + p), (2, p[:450] + words(rng, 2500) + p), (3, words(rng, 1500) + p[:99]), (4, p * 3), (5, "z" * 2500)]
+    check(spark, sent)
+    assert sum(1 for _ in repeats._pieces(iter([pa.RecordBatch.from_pydict({"_text": [t for _, t in sent]})]))) > 10
+
+
+def test_fingerprints_of_spans_are_those_of_their_bytes():
+    rng = np.random.default_rng(1)
+    data = rng.integers(0, 256, 600_000).astype(np.uint8)
+    whole = Spans(data)
+    for a, b in [(0, 5), (4090, 4100), (262_140, 262_150), (524_000, 600_000), (7, 599_999)]:
+        assert whole.of(np.array([a]), np.array([b]))[0] == Spans(data[a:b].copy()).of(np.array([0]), np.array([b - a]))[0]
+    every = whole.every(32)
+    assert len(every) == len(data) - 31 and all(every[a] == Spans(data[a : a + 32].copy()).every(32)[0] for a in (0, 4095, 262_143, 262_144, len(every) - 1))
+    assert len(Spans(data[:10]).every(32)) == 0 and Spans(data[:0]).sums.tolist() == [0]

@@ -145,29 +145,45 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class Spans:
-    """64-bit fingerprints of any spans of a byte array, from prefix sums of a polynomial modulo 2**64."""
+    """64-bit fingerprints of any spans of a byte array, from prefix sums of a polynomial modulo 2**64.
+
+    Of the powers only those below ``W`` and the multiples of ``W`` are held.
+    """
 
     BASE = 0x9E3779B97F4A7C15 | 1
     BACK = pow(BASE, -1, 1 << 64)
-    _pow = _ipow = np.ones(1, np.uint64)
     BYTE = mix(np.arange(1, 257, dtype=np.uint64) * U(0xD1342543DE82EF95))
+    W = 4096
+    LOW, ILOW = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(4095, b, np.uint64)]), dtype=np.uint64) for b in (BASE, BACK))
+    #: Bytes worked on at once.
+    BLOCK = 1 << 18
 
     def __init__(self, data: np.ndarray):
-        n = len(data) + 1
-        if len(Spans._pow) < n:
-            m = 1 << (n - 1).bit_length()
-            Spans._pow, Spans._ipow = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(m, b, np.uint64)]), dtype=np.uint64) for b in (Spans.BASE, Spans.BACK))
-        self.sums = np.zeros(n, np.uint64)
-        np.cumsum(Spans.BYTE[data] * Spans._pow[: n - 1], out=self.sums[1:])
+        n = len(data)
+        self.high, self.ihigh = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n // self.W + 1, pow(b, self.W, 1 << 64), np.uint64)]), dtype=np.uint64) for b in (self.BASE, self.BACK))
+        self.sums = np.zeros(n + 1, np.uint64)
+        for a in range(0, n, self.BLOCK):
+            part = self.BYTE[data[a : a + self.BLOCK]]
+            part *= self._powers(self.high, self.LOW, a, a + len(part))
+            np.cumsum(part, out=self.sums[a + 1 : a + 1 + len(part)])
+            self.sums[a + 1 : a + 1 + len(part)] += self.sums[a]
+
+    def _powers(self, high: np.ndarray, low: np.ndarray, a: int, b: int) -> np.ndarray:
+        """From ``a``, a multiple of ``W``, to ``b``."""
+        k = a // self.W
+        return (high[k : -(-b // self.W), None] * low).reshape(-1)[: b - a]
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * Spans._ipow[start] + (end - start).astype(np.uint64))
+        back = self.ihigh[start // self.W] * self.ILOW[start % self.W]
+        return mix((self.sums[end] - self.sums[start]) * back + (end - start).astype(np.uint64))
 
     def every(self, k: int) -> np.ndarray:
         """Of the ``k`` bytes from each place on."""
-        if len(self.sums) <= k:
-            return np.zeros(0, np.uint64)
-        return mix((self.sums[k:] - self.sums[:-k]) * Spans._ipow[: len(self.sums) - k])
+        out = np.zeros(max(0, len(self.sums) - k), np.uint64)
+        for a in range(0, len(out), self.BLOCK):
+            b = min(a + self.BLOCK, len(out))
+            out[a:b] = mix((self.sums[a + k : b + k] - self.sums[a:b]) * self._powers(self.ihigh, self.ILOW, a, b))
+        return out
 
 
 def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -30,8 +30,8 @@ from weft.llm.common import Spans, U, append, cut, fresh, mix, partitions_for, s
 LENGTH, GRAM = 100, 32
 #: Starts of anchors in a window.
 STARTS = LENGTH - GRAM + 1
-#: Bytes of texts worked on at once, anchors or bytes of stretches held before they are sent.
-BLOCK, HELD = 1 << 17, 1 << 19
+#: Bytes of texts worked on at once, and of a piece of a longer text; anchors or bytes of stretches held before they are sent.
+BLOCK, PIECE, HELD = 1 << 17, 1 << 19, 1 << 19
 #: Bytes of texts for each bucket: a task's anchors or stretches are about as many bytes.
 BUCKET = 8 << 20
 LAST = np.iinfo(np.int64).max
@@ -88,6 +88,19 @@ def _split(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin, np.append(begin, len(keys))
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, int]]:
+    """Batches with their bytes and where each text begins in them. A long text comes in pieces, alone, with the place
+    of the piece in it; pieces share bytes, so that each window lies in one, whole."""
+    for batch in slices(batches, "_text", BLOCK):
+        data, at = utf8(batch.column("_text"))
+        if len(data) <= PIECE or batch.num_rows > 1:
+            yield batch, data, at, 0
+            continue
+        for a in range(0, len(data) - LENGTH + 1, PIECE):
+            part = data[a : a + PIECE + LENGTH - 1]
+            yield batch, part, np.array([0, len(part)]), a
+
+
 def _send(buckets: int):
     """Anchors of documents as records by bucket: fingerprints with the rows that have them.
 
@@ -119,8 +132,7 @@ def _send(buckets: int):
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held, turn = [], 0, 0
-        for batch in slices(batches, "_text", BLOCK):
-            data, at = utf8(batch.column("_text"))
+        for batch, data, at, _ in _pieces(batches):
             h, text, _, _ = anchors(data, at)
             rid = batch.column("rid").to_numpy(zero_copy_only=False)[text]
             parts.append((h, rid))
@@ -260,8 +272,7 @@ def _stretches(buckets: int, hot: np.ndarray):
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held, turn = [], 0, 0
-        for batch in slices(batches, "_text", BLOCK):
-            data, at = utf8(batch.column("_text"))
+        for batch, data, at, offset in _pieces(batches):
             h, text, lo, hi = anchors(data, at)
             h = h & ~COUNT
             wanted = batch.column("items").to_pylist()
@@ -273,7 +284,7 @@ def _stretches(buckets: int, hot: np.ndarray):
             doc = batch.column("_order").to_numpy(zero_copy_only=False)[text[k]]
             size = hi[k] - lo[k] + LENGTH
             span = np.repeat(lo[k] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum()) if len(k) else np.zeros(0, np.int64)
-            parts.append((h[k], doc, rid, (lo[k] - at[text[k]]).astype(np.int32), size.astype(np.int32), data[span]))
+            parts.append((h[k], doc, rid, (lo[k] - at[text[k]] + offset).astype(np.int32), size.astype(np.int32), data[span]))
             held += len(span)
             if held >= 2 * HELD:
                 turn += 1 + int(rid[0] & 0xFFFF) if len(rid) else 1
