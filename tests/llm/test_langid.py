@@ -1,4 +1,6 @@
 import random
+import unicodedata
+import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -62,3 +64,49 @@ def test_unlearned_language_is_rejected():
     clean = model.predict([text(y) for y in ["aa", "bb", "cc"] * 100])[2]
     langs, score, other = model.predict([text("dd") for _ in range(200)])
     assert clean.mean() > 0.95 and other.mean() < 0.1, (clean.mean(), other.mean(), score.mean())
+
+
+def plain_score(model, text):
+    """Averaged embeddings and softmax, one subword after the other."""
+    text, sums, n = text.lower(), np.zeros(len(model.langs)), 0
+    for i in range(len(text)):
+        value = 0
+        for c in text[i : i + langid.SUBWORDS]:
+            value = (value * int(langid.STEP) + ord(c) + 1) % 2**64
+            sums += model.table[(value * int(langid.SPREAD) % 2**64) * langid.BUCKETS // 2**64]
+            n += 1
+    x = (sums / max(n, 1) + model.bias) / model.heat
+    p = np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    return model.langs[int(p.argmax())], float(p.max())
+
+
+def test_query_by_a_plain_score(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    model = langid.learn(docs.filter(langid.crc_mod4("doc_id") != 2).select("text", "lang"))
+    text = {r.doc_id: r.text for r in docs.collect()}
+    rows = langid.op3_language_id(spark, data).collect()
+    assert len(rows) == len(text)
+    for r in rows:
+        t = text[r.doc_id]
+        want = plain_score(model, t) if t and any(unicodedata.category(c)[0] == "L" for c in t) else ("und", 0.0)
+        assert r.lang_pred == want[0] and abs(r.score - want[1]) < 1e-9
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
+def test_letters_by_category(spark):
+    model = langid.fit([(t, y, k % 5 == 0) for k, (t, y) in enumerate(corpus(200, 3))])
+    odd = ["½", "²", "①", "Ⅳ", "_", "٣", "ª", "日", "é"]
+    assert [langs == "und" for langs in model.predict(odd)[0]] == [not any(unicodedata.category(c)[0] == "L" for c in t) for t in odd]
+
+
+def test_copies_count_once_in_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(langid, "TEXTS_EACH", 40)
+    rows = corpus(300, 9)
+    seen = {}
+    monkeypatch.setattr(langid, "fit", lambda windows: seen.update(w=windows))
+    langid.learn(spark.createDataFrame([*rows, *[rows[0]] * 3000, *[(rows[0][0], "cc")] * 50], "text string, lang string"))
+    by = {}
+    for w, y, _ in seen["w"]:
+        by.setdefault(y, []).append(w)
+    assert {y: len(w) <= 80 for y, w in by.items()} == {"aa": True, "bb": True, "cc": True} and len(by["cc"]) == 2
+    assert all(len(set(by[y])) > 60 for y in ("aa", "bb"))

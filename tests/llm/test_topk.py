@@ -53,3 +53,20 @@ def test_what_takes_part(spark):
 def test_few_rows(spark, rows):
     df = spark.createDataFrame([(i, u, [float(a) for a in x]) for u, (i, x) in enumerate(rows)], "id long, u long, v array<double>")
     assert topk.nearest(df, df).collect() == []
+
+
+def test_scores_beyond_64_bits(spark):
+    rows = [(50, [1e18, 1e18]), (1, [1e18, 0.0]), (2, [-1e18, -1e18]), (3, [1e-3, 0.0]), (4, [1e307, 1.0]), (5, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = topk.quantise(df).selectExpr("vec_id AS id", "monotonically_increasing_id() AS u", "v").cache()
+    got = sorted(map(tuple, topk.nearest(q.filter("id = 50"), q).collect()))
+    most = (1 << 63) - 1
+    assert got == [(50, 1, 1, most), (50, 2, 4, most), (50, 3, 3, 0), (50, 4, 2, -most - 1)]
+
+
+def test_seeds_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SAMPLE", 20)
+    monkeypatch.setattr(topk, "ROWS_LEAST", 16)
+    rng = np.random.default_rng(4)
+    got, want = run(spark, [(i, rng.integers(-3, 3, 5).tolist()) for i in range(200)])
+    assert got == want

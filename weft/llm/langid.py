@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import regex
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weft.llm.common import U, append, crc_mod4, table
+from weft.llm.common import U, append, crc_mod4, cut, table
 
 #: Lengths of the subwords, in characters; buckets of their hashes (a power of two); size of an embedding.
 SUBWORDS, BUCKETS, DIM = 4, 1 << 16, 16
@@ -26,8 +26,10 @@ MOST_REJECTED, PRECISION = 0.002, 0.995
 #: windows that are labelled right is lost besides.
 FOLDS, MOST_LOST = 4, 0.01
 BLOCK, STARTS = 2 << 20, 1 << 18
+#: Sampling rates go to all tasks as a broadcast for up to so many languages.
+MOST_BROADCAST = 10_000
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 #: Fixed odd multipliers of the hashes.
 STEP, SPREAD = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
 
@@ -170,17 +172,20 @@ def train(rows: list[tuple[str, str, bool]]) -> Model:
 def learn(df: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     """Fits the model on a sample of bounded size, the same in each run, of the rows whose text and language aren't null.
 
-    Rows are sampled by a hash of their text at a rate that follows the count of their language. Only windows of
-    the sampled texts come to the driver: ``TEXTS_EACH`` texts a language, ``sum(WINDOWS)`` characters a text.
+    Texts are sampled by their hash at a rate that follows the number of different texts of their language; copies of
+    a text count once. Only windows of the sampled texts come to the driver: at most ``TEXTS_EACH`` texts a language,
+    ``sum(WINDOWS)`` characters a text.
     """
     df = df.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("y"))
-    rate = df.groupBy("y").agg(F.least(F.lit(1.0), 1.2 * TEXTS_EACH / F.count("*")).alias("rate"))
+    df = df.withColumn("h", F.shiftrightunsigned(F.xxhash64("t"), 34))
     # a row for each language, as the model has a column for each
-    df = df.withColumn("h", F.shiftrightunsigned(F.xxhash64("t"), 34)).join(F.broadcast(rate), "y").filter(F.col("h") < F.col("rate") * (1 << 30))
+    rate = cut(df.groupBy("y").agg(F.least(F.lit(1.0), 1.2 * TEXTS_EACH / F.approx_count_distinct("h", 0.02)).alias("rate")))
+    df = df.join(F.broadcast(rate) if rate.count() <= MOST_BROADCAST else rate, "y").filter(F.col("h") < F.col("rate") * (1 << 30))
     n, h = F.length("t"), F.col("h")
     window = lambda size, salt: F.substr("t", (F.pmod(h * salt, F.greatest(n - size + 1, F.lit(1))) + 1).cast("int"), F.lit(size))
-    got = df.select("y", "h", *(window(size, 2 * i + 1).alias(f"w{i}") for i, size in enumerate(WINDOWS))).toPandas()
-    got = got.sort_values(["y", "h", "w0"]).groupby("y", sort=True).head(TEXTS_EACH)
+    some = df.select("y", "h", *(window(size, 2 * i + 1).alias(f"w{i}") for i, size in enumerate(WINDOWS))).groupBy("y", "h").agg(*(F.min(f"w{i}").alias(f"w{i}") for i in range(len(WINDOWS))))
+    some = some.withColumn("k", F.row_number().over(Window.partitionBy("y").orderBy("h"))).filter(F.col("k") <= TEXTS_EACH).drop("k")
+    got = some.toPandas().sort_values(["y", "h"])
     return fit([(w, r.y, r.h % 5 == 0) for r in got.itertuples() for w in (r.w0, r.w1)])
 
 
