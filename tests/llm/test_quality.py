@@ -41,3 +41,11 @@ def test_thresholds_follow_language_and_source(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
     assert quality.judge(df).collect() == []
+
+
+def test_clashing_columns_stay(spark):
+    text = " ".join(f"w{k}" for k in range(80))
+    names = "n_lines hi_symbols lo_mean_length m_repeated _words words v b metric x k0 u0 total"
+    df = spark.createDataFrame([(i, text, "en", "s", *range(13)) for i in range(3)], "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} int" for n in names.split()))
+    rows = quality.judge(df).collect()
+    assert len(rows) == 3 and all(r.kept and [r[n] for n in names.split()] == list(range(13)) for r in rows)

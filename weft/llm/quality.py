@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weft.llm.common import cut, let, table, words_of
+from weft.llm.common import cut, fresh, let, table, words_of
 
 #: Fewest words, and the highest share in percent of words in repeated three-word windows.
 MIN_WORDS, MAX_REPEATED = 50, 50
@@ -13,6 +13,7 @@ MIN_WORDS, MAX_REPEATED = 50, 50
 METRICS = (("mean_length", 1000, True), ("symbols", 250, False), ("dup_lines", 300, False), ("repeated", 250, False))
 #: Fences lie this many interquartile ranges beyond the quartiles.
 REACH = 3
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: A sketch of fewer texts is too thin; the next wider one serves: source and language, language, all.
 LEAST = 50
 
@@ -33,20 +34,24 @@ def _repeated(grams: Column) -> Column:
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the counts of each whole text: ``n_words word_chars n_symbols n_lines n_dup_lines n_repeat_words``."""
+    """Adds the counts of each whole text: ``n_words word_chars n_symbols n_lines n_dup_lines n_repeat_words``.
+
+    A text of any length is counted whole, in one row; it takes about 50 bytes a word. Columns of these names are replaced.
+    """
     body = F.coalesce(F.col(text), F.lit(""))
-    df = docs.withColumns({"_words": words_of(F.col(text)), "_lines": F.filter(F.split(body, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))})
-    n = F.size("_words")
-    grams = F.transform(F.slice("_words", F.lit(1), F.greatest(n - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get("_words", i + 1), F.get("_words", i + 2)))
-    df = df.withColumn("_grams", grams)
+    words, lines, triples = fresh(docs, "words", "lines", "grams")
+    df = docs.withColumns({words: words_of(F.col(text)), lines: F.filter(F.split(body, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))})
+    n = F.size(words)
+    grams = F.transform(F.slice(words, F.lit(1), F.greatest(n - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
+    df = df.withColumn(triples, grams)
     return df.withColumns({
         "n_words": n.cast("long"),
-        "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+        "word_chars": F.length(F.array_join(words, "")).cast("long"),
         "n_symbols": F.regexp_count(body, F.lit("[#*$%&|<>]")).cast("long"),
-        "n_lines": F.size("_lines").cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "n_repeat_words": _repeated(F.col("_grams")).cast("long"),
-    }).drop("_words", "_lines", "_grams")
+        "n_lines": F.size(lines).cast("long"),
+        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
+        "n_repeat_words": _repeated(F.col(triples)).cast("long"),
+    }).drop(words, lines, triples)
 
 
 def bin_of(v: Column) -> Column:
@@ -95,30 +100,36 @@ def thresholds(measured: DataFrame, keys: tuple[str, str] = ("lang", "source"))
 
 
 def judge(docs: DataFrame, keys: tuple[str, str] = ("lang", "source"), text: str = "text") -> DataFrame:
-    """Adds counts, ``base_failed`` and ``kept`` to every row of ``docs``.
+    """Adds counts (``COUNTS``), ``base_failed`` and ``kept`` to the columns of ``docs`` but ``text``.
 
     A text fails the base rules with under 50 words or over half of its words in repeated three-word windows. The
     sketches hold the texts that pass them. A text is kept if it passes and no metric lies beyond the fences of its
-    language and source. Null text counts as empty (base_failed); null keys form groups of their own; an empty table
-    gives no rows; repeated rows are judged each alike; other columns stay, unless named as one of those added.
+    language and source; where a sketch has fewer than ``LEAST`` texts, the fences of its language serve, and those of
+    all texts where that has too few as well. Null text counts as empty (base_failed); null keys form groups of their
+    own; an empty table gives no rows; repeated rows are judged each alike; texts of any length are judged whole.
+    Other columns stay, whatever their names, unless named as one of those added.
     """
-    df = measure(docs, text)
+    # columns go by number meanwhile, so none can be taken for one of the operator's own
+    own = {c: f"u{i}" for i, c in enumerate(docs.columns)}
+    stay = [c for c in docs.columns if c not in (*COUNTS, "base_failed", "kept") and (c != text or text in keys)]
+    df = measure(docs.select(*(F.col(c).alias(u) for c, u in own.items())), own[text])
+    by = (own[keys[0]], own[keys[1]])
     per = lambda a, b: F.when(F.col(b) > 0, F.floor(F.col(a) * 1000 / F.col(b))).otherwise(F.lit(0)).cast("long")
     df = df.withColumns({
         "m_mean_length": per("word_chars", "n_words"), "m_symbols": per("n_symbols", "n_words"), "m_dup_lines": per("n_dup_lines", "n_lines"), "m_repeated": per("n_repeat_words", "n_words"),
         "base_failed": (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEATED),
     })
-    df = cut(df.drop(text)) if text not in keys else cut(df)
-    limits = thresholds(df.filter(~F.col("base_failed")), keys)
-    limits = limits.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)), *(c for c in limits.columns if c not in keys))
-    on = F.col(keys[0]).eqNullSafe(F.col("_k0")) & F.col(keys[1]).eqNullSafe(F.col("_k1"))
+    df = cut(df.select(*dict.fromkeys([*(own[c] for c in stay), *by]), *COUNTS, "base_failed", *(f"m_{m}" for m, _, _ in METRICS)))
+    limits = thresholds(df.filter(~F.col("base_failed")), by)
+    limits = limits.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(by)), *(c for c in limits.columns if c not in by))
+    on = F.col(by[0]).eqNullSafe(F.col("k0")) & F.col(by[1]).eqNullSafe(F.col("k1"))
     fine = F.lit(True)
     for m, _, low in METRICS:
         fine &= F.col(f"m_{m}") <= F.col(f"hi_{m}")
         if low:
             fine &= F.col(f"m_{m}") >= F.col(f"lo_{m}")
     df = df.join(limits, on, "left").withColumn("kept", ~F.col("base_failed") & F.coalesce(fine, F.lit(False)))
-    return df.drop("_k0", "_k1", "n_lines", *(c for c in limits.columns if c[:3] in ("hi_", "lo_")), *(f"m_{m}" for m, _, _ in METRICS))
+    return df.select(*(F.col(own[c]).alias(c) for c in stay), *COUNTS, "base_failed", "kept")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
