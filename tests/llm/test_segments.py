@@ -78,3 +78,45 @@ def test_growing_lattice_is_dropped(v, monkeypatch):
     monkeypatch.setattr(segments.Lattice, "MOST", 2)
     one = [segments.sample([t], np.array([5], np.uint64), 2, v) for t in ("a b c d", "e f g h", "a b c d")]
     assert all(np.array_equal(x[0], y[0]) for x, y in zip(one[0][0], one[2][0]))
+
+
+def test_long_words_are_cut_where_no_piece_crosses(v, monkeypatch):
+    rng = np.random.default_rng(2)
+    words = ["".join(rng.choice(list("abcdefgh日本é-=\n"), 5000)), "x" * 500, "日" * 1000, "\n" * 300]
+    sp = SentencePieceProcessor(model_file=PATH)
+    pieces = {sp.id_to_piece(int(i)) for i in v.ids}
+    longest = max(map(len, pieces))
+    for word in words:
+        parts = v.parts(word)
+        assert "".join(parts) == word
+        at = 0
+        for part in parts[:-1]:
+            at += len(part)
+            assert len(part) >= segments.LONG
+            assert not any(word[a:b] in pieces for a in range(max(0, at - longest), at) for b in range(at + 1, min(len(word), a + longest) + 1))
+    assert len(v.parts(words[0])) > 20 and len(v.parts(words[1])) == 1
+    # the same distribution: cut or not, log-probabilities of the segmentations agree
+    monkeypatch.setattr(segments, "LONG", 8)
+    cut = segments.sample([words[0][:60]], np.array([3], np.uint64), 3, v)[0]
+    assert len({tuple(ids) for ids, *_ in cut}) == 3 and all(p < 0 for _, p, _, _ in cut)
+    v.lattice = None
+    monkeypatch.setattr(segments, "LONG", 10_000)
+    lattice = segments.Lattice(v)
+    lattice.known[segments.SPACE + words[0][:60]]
+    lattice.grow()
+    logs = dict(zip(zip(lattice.start.tolist(), lattice.ids.tolist()), lattice.log.tolist()))
+    for ids, p, *_ in cut:
+        text, total, at = "", 0.0, 0
+        raw = [sp.id_to_piece(int(i)) for i in ids]
+        k = 0
+        while k < len(raw):
+            if sp.is_byte(int(ids[k])):
+                c = (segments.SPACE + words[0][:60])[at]
+                total += logs[at, -1 - ord(c)]
+                k += len(c.encode())
+                at += 1
+            else:
+                total += logs[at, int(ids[k])]
+                at += len(raw[k])
+                k += 1
+        assert total == pytest.approx(p, abs=1e-4)

@@ -8,7 +8,7 @@ it. The set with the highest key is split: one segmentation gets the key, the ot
 of it, with keys from Gumbels that are cut off at the parent's.
 
 No piece goes beyond a word, so lattices are made once for each distinct word of a block of texts, and all words of
-the block are walked in step.
+the block are walked in step. A long word is cut where no piece of its lattice crosses.
 """
 
 from __future__ import annotations
@@ -25,11 +25,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import U, append, mix, slices, table
+from weft.llm.common import U, append, fresh, mix, slices, table
 from weft.llm.tokens import SPACE, default_model
 
 #: Segmentations of each text; how sharply pieces weigh by rank.
 SAMPLES, SHARPNESS = 2, 1.0
+#: Longer words are cut into parts of at least so many characters.
+LONG = 64
 BLOCK = 1 << 20
 _WORD = regex.compile(f"{SPACE}+[^{SPACE}]*")
 
@@ -71,11 +73,42 @@ class Vocabulary:
         texts = [b""] * sp.get_piece_size()
         for i in range(len(texts)):
             texts[i] = bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else sp.id_to_piece(i).replace(SPACE, " ").encode()
+        #: What a piece's number takes in the results.
+        self.kind = "<u2" if len(texts) <= 1 << 16 else "<u4"
+        self.bytes_of: dict[int, np.ndarray] = {}
         self.size = np.array([len(t) for t in texts], np.int64)
         self.start = np.concatenate([[0], np.cumsum(self.size)])
         self.bytes = np.frombuffer(b"".join(texts), np.uint8)
 
 
+    def parts(self, word: str) -> list[str]:
+        """The word cut where no piece crosses: its segmentations are those of the parts, one after another."""
+        codes = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        n = len(codes)
+        crossed = np.zeros(n + 1, np.int32)
+        for a in range(0, n, 1 << 16):
+            here, depth = np.arange(a, min(a + (1 << 16), n)), 1
+            trie = self.root[np.minimum(codes[here], len(self.root) - 1)]
+            here, trie = here[trie > 0], trie[trie > 0]
+            while len(here):
+                has = here[self.piece[trie] >= 0]
+                if depth > 1:
+                    np.add.at(crossed, has + 1, 1)
+                    np.add.at(crossed, has + depth, -1)
+                more = here + depth < n
+                here, trie = here[more], trie[more]
+                key = (trie << 21) | codes[here + depth]
+                k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                ok = self.keys[k] == key
+                here, trie, depth = here[ok], self.child[k[ok]], depth + 1
+        free = np.flatnonzero(np.cumsum(crossed)[1:n] == 0) + 1
+        out, a = [], 0
+        while (k := int(np.searchsorted(free, a + LONG))) < len(free):
+            out.append(word[a : int(free[k])])
+            a = int(free[k])
+        return [*out, word[a:]]
+
+
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
@@ -91,8 +124,8 @@ def split_words(text: str) -> list[str]:
 class Lattice:
     """Of distinct words: nodes are places in words, edges are sorted by the node they leave. It grows by new words."""
 
-    #: A worker's lattice is dropped and begun anew beyond so many words (about 60 MB).
-    MOST = 60_000
+    #: A worker's lattice is dropped and begun anew beyond so many words (about 120 MB).
+    MOST = 150_000
 
     def __init__(self, v: Vocabulary):
         self.v = v
@@ -224,7 +257,10 @@ def sample(texts: list[str], seeds: np.ndarray, k: int, v: Vocabulary) -> list[l
     words: list[int] = []
     firsts = [0]
     for text in texts:
-        words += map(lattice.known.__getitem__, split_words(text))
+        own = split_words(text)
+        if len(text) > LONG and max(map(len, own), default=0) > LONG:
+            own = [p for w in own for p in (v.parts(w) if len(w) > LONG else (w,))]
+        words += map(lattice.known.__getitem__, own)
         firsts.append(len(words))
     if not words:
         return [[(np.zeros(0, np.int64), 0.0, 0.0, 0.0)] for _ in texts]
@@ -307,35 +343,45 @@ def _ids(ids: np.ndarray, v: Vocabulary) -> np.ndarray:
     odd = np.flatnonzero(ids < 0)
     if not len(odd):
         return ids
-    raw = [np.array([v.byte[b] for b in chr(-1 - p).encode("utf-8", "surrogatepass")]) for p in ids[odd].tolist()]
-    parts = np.split(ids, odd)
-    return np.concatenate([parts[0], *(y for r, p in zip(raw, parts[1:], strict=True) for y in (r, p[1:]))])
+    raw = []
+    for p in ids[odd].tolist():
+        if (x := v.bytes_of.get(p)) is None:
+            x = v.bytes_of[p] = v.byte[np.frombuffer(chr(-1 - p).encode("utf-8", "surrogatepass"), np.uint8)]
+        raw.append(x)
+    size = np.ones(len(ids), np.int64)
+    size[odd] = n = np.array([len(x) for x in raw])
+    out = np.repeat(ids, size)
+    first = np.cumsum(size)[odd] - n
+    out[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())] = np.concatenate(raw)
+    return out
 
 
 def encode(df: DataFrame, key: str, text: str = "text", k: int = SAMPLES, path: str | None = None, drop: tuple[str, ...] = (), round_trip: bool = False) -> DataFrame:
-    """For each row up to ``k`` rows with ``sample`` (from 0, the highest perturbed first), ``ids`` (16 bits each, little
-    endian), ``n_ids``, ``log_prob``, ``perturbed`` and ``log_inclusion``, seeded by ``key`` alone; on request also
+    """For each row up to ``k`` rows with ``sample`` (from 0, the highest perturbed first), ``ids`` (little endian, 16
+    bits each, or 32 where the model has more than 65,536 pieces), ``n_ids``, ``log_prob``, ``perturbed`` and ``log_inclusion``, seeded by ``key`` alone; on request also
     ``round_trip``: whether decoding the ids gives the text back.
 
     A text has fewer samples only if it has fewer segmentations; null texts are empty, and an empty text has one, of no
-    pieces. Texts are segmented whole, whatever their length. Rows that repeat key and text get the same; a null key
+    pieces. Texts are segmented whole, whatever their length; the lattice of a run of characters in which pieces overlap
+    throughout, such as a rule of dashes, takes about 40 bytes for each place and piece, one step a character. Rows that repeat key and text get the same; a null key
     is a seed like others; an empty table stays empty; columns named as an added one are replaced, those in ``drop`` go.
     """
     path = path or default_model()
     added = {"sample": "int", "ids": "binary", "n_ids": "bigint", "log_prob": "double", "perturbed": "double", "log_inclusion": "double"} | ({"round_trip": "boolean"} if round_trip else {})
-    df = df.drop(*added).withColumn("_seed", F.xxhash64(key))
-    keep = [c for c in df.columns if c not in ("_seed", *drop)]
+    seed, *_ = fresh(df, "seed")
+    df = df.select(*(c for c in df.columns if c not in added or c == text), F.xxhash64(key).alias(seed))
+    keep = [c for c in df.columns if c not in (seed, *drop, *added)]
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in keep), *(f"{n} {t}" for n, t in added.items())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
         for batch in slices(batches, text, BLOCK):
-            seeds = batch.column("_seed").to_numpy(zero_copy_only=False).astype(np.uint64)
+            seeds = batch.column(seed).to_numpy(zero_copy_only=False).astype(np.uint64)
             texts = [t or "" for t in batch.column(text).to_pylist()]
             got = sample(texts, seeds, k, v)
             which = np.repeat(np.arange(len(got)), [len(g) for g in got])
             n, ids, p, value, inc = zip(*((i, *x) for g in got for i, x in enumerate(g)), strict=True) if got else ((),) * 5
-            out = [pa.array(n, pa.int32()), pa.array([x.astype("<u2").tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64()), pa.array(p, pa.float64()), pa.array(value, pa.float64()), pa.array(inc, pa.float64())]
+            out = [pa.array(n, pa.int32()), pa.array([x.astype(v.kind).tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64()), pa.array(p, pa.float64()), pa.array(value, pa.float64()), pa.array(inc, pa.float64())]
             if round_trip:
                 plain = [t.replace(SPACE, " ") for t in texts]
                 out.append(pa.array([plain[i] == back for i, back in zip(which.tolist(), texts_of(ids, v), strict=True)], pa.bool_()))
@@ -358,8 +404,9 @@ def decode(df: DataFrame, ids: str = "ids", into: str = "decoded", path: str | N
     path = path or default_model()
 
     def work(batch: pa.RecordBatch) -> list[pa.Array]:
-        rows = [np.frombuffer(r or b"", "<u2").astype(np.int64) for r in batch.column(ids).to_pylist()]
-        return [pa.array(list(texts_of(rows, vocabulary(path))), pa.string())]
+        v = vocabulary(path)
+        rows = [np.frombuffer(r or b"", v.kind).astype(np.int64) for r in batch.column(ids).to_pylist()]
+        return [pa.array(list(texts_of(rows, v)), pa.string())]
 
     return append(df, {into: "string"}, work, ids, BLOCK, drop)
 
