@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from weft.llm import jaccard, langid, mixing, repeats, segments
 from weft.llm.common import crc_mod4, table
-from weft.sources import shared_folder
+from weft.sources import remove, shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -57,11 +57,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, top = table(spark, sf_dir, "documents"), shared_folder(spark)
+    docs, top, before = table(spark, sf_dir, "documents"), shared_folder(spark), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             path = f"{top}/{uuid.uuid4().hex}"
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            if before:
+                remove(spark, before)
+            before = path
     return docs.withColumn("ids_sha256", F.sha2("ids", 256)).drop("ids")

@@ -1,6 +1,6 @@
 """Sources and sinks."""
 
 from weft.sources.readers import conform, from_partitions, read_blocks, read_csv, read_parquet, read_state, table, text_lines, time_series, write_state
-from weft.sources.shared import shared_folder
+from weft.sources.shared import remove, shared_folder
 
-__all__ = ["conform", "from_partitions", "read_blocks", "read_csv", "read_parquet", "read_state", "shared_folder", "table", "text_lines", "time_series", "write_state"]
+__all__ = ["conform", "from_partitions", "read_blocks", "read_csv", "read_parquet", "read_state", "remove", "shared_folder", "table", "text_lines", "time_series", "write_state"]

@@ -10,10 +10,24 @@ from pyspark.sql import SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """A folder of this application in the one that ``spark.checkpoint.dir`` names, which all executors share.
 
-    It goes when the application ends. A local folder serves only where the session names none.
+    It goes when the application ends. Only in local mode, as in tests, a session that names none gets a local one.
     """
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        top = tempfile.gettempdir()
     top = f"{top}/weft-{spark.sparkContext.applicationId}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(top)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    _files(spark, top)[1].deleteOnExit(_files(spark, top)[0])
     return top
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a table in the shared folder that nothing reads any more."""
+    where, files = _files(spark, path)
+    files.delete(where, True)
+
+
+def _files(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
