@@ -29,10 +29,15 @@ def cut(df: DataFrame) -> DataFrame:
 
     What follows starts from files that survive lost executors; unlike checkpoint() it computes ``df`` once.
     """
+    return written(df)[0]
+
+
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """As ``cut``, with the path, for tables that are removed as soon as later ones replace them."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
