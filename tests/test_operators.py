@@ -1,6 +1,5 @@
 """Operators against small worked examples, pandas and numpy."""
 
-import threading
 import time
 from datetime import datetime, timedelta
 
@@ -11,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weft import sources
-from weft.coordination import Queue, Registry, Semaphore, Topic, Variable
 from weft.functions import scalar, user
 from weft.futures import Client, as_completed, wait
 from weft.operators import aggregates, arrays, exchange, frames, intervals, joins, telemetry, windows
@@ -183,7 +181,6 @@ def test_telemetry(spark):
     assert [r.span_id for r in telemetry.by_tags(spans, ["x", "z"]).orderBy("span_id").collect()] == ["a"]
     prof = spark.createDataFrame([(["m", "f"], 2), (["m", "g"], 3), (["m"], 1)], "path array<string>, count long")
     assert {tuple(r.path): r["count"] for r in telemetry.merge_profiles(prof).collect()} == {("m",): 6, ("m", "f"): 2, ("m", "g"): 3}
-    assert telemetry.target_workers(100, 10, 4, 0, 0, 2) == 4 and telemetry.target_workers(1, 10, 4, 70, 100, 2) == 4
 
 
 def test_sources(spark, tmp_path):
@@ -251,31 +248,6 @@ def test_futures(spark):
         assert slow.exception(30) is not None and slow.status == "cancelled"
 
 
-def test_coordination():
-    q = Queue()
-    for x in (1, 2, 3, 1, 2, 3):
-        q.put(x)
-    assert q.get(batch=2) == [1, 2] and q.get(batch=True) == [3, 1, 2, 3] and q.qsize() == 0
-    v = Variable()
-    threading.Timer(0.1, v.set, [5]).start()
-    assert v.get(5) == 5
-    s = Semaphore(1, 0.2)
-    lease = s.acquire()
-    assert s.acquire(0.01) is None
-    time.sleep(0.3)
-    again = s.acquire(1)
-    assert again and again != lease
-    with pytest.raises(RuntimeError):
-        s.release(lease)
-    t, got = Topic(2), []
-    t.subscribe(got.append)
-    for x in "abc":
-        t.log(x)
-    assert [m for _, m in t.events] == ["b", "c"] and t.count == 3 and len(got) == 3
-    r = Registry()
-    assert r.queue("x") is r.queue("x") and r.lock("x") is not r.semaphore("y", 2)
-
-
 def test_stream_of_batches(spark, tmp_path):
     src = f"{tmp_path}/in"
     for k in range(3):
@@ -293,3 +265,93 @@ def test_descendants_at_any_depth(spark):
     ring = spark.createDataFrame([(0, 2), (1, 0), (2, 1)], "span_id long, parent_id long")
     with pytest.raises(ValueError):
         telemetry.descendants(ring)
+
+
+def test_rechunk_of_four_axes(spark):
+    rng = np.random.default_rng(1)
+    a = rng.random((10, 7, 5, 4))
+    old, new = ([4, 4, 2], [7], [2, 3], [4]), ([1, 9], [3, 3, 1], [5], [2, 2])
+
+    def blocks(chunks):
+        out = []
+        for index in np.ndindex(*map(len, chunks)):
+            part = a[tuple(slice(sum(c[:k]), sum(c[: k + 1])) for c, k in zip(chunks, index))]
+            out.append((list(index), list(part.shape), part.ravel().tolist()))
+        return out
+
+    df = spark.createDataFrame(blocks(old), "index array<int>, shape array<int>, data array<double>")
+    got = sorted((list(r["index"]), list(r["shape"]), list(r["data"])) for r in arrays.rechunk_nd(df, old, new).collect())
+    assert got == sorted(blocks(new))
+    some = arrays.rechunk_nd(df, old, new, keep=lambda k: k[0] == 1 and k[3] == 0).collect()
+    assert sorted(list(r["index"]) for r in some) == sorted(x[0] for x in blocks(new) if x[0][0] == 1 and x[0][3] == 0)
+    with pytest.raises(ValueError):
+        arrays.rechunk_nd(df, old, ([3], [7], [5], [4]))
+    x = rng.random((50, 6))
+    g = arrays.gram(spark.createDataFrame([(r.tolist(),) for r in x], "v array<double>").repartition(7), "v")
+    assert np.allclose([r.v for r in g.orderBy("i", "j").collect()], (x.T @ x).ravel())
+
+
+def test_numbers_and_alignment_over_ranges(spark):
+    df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k"))
+    assert rows(windows.numbered(df, ["k"], "n")) == rows(spark.range(1000).select(F.col("id").alias("k"), F.col("id").cast("int").alias("n")))
+    rng = np.random.default_rng(2)
+    samples = [(int(t), s, float(v)) for t, s, v in zip(rng.integers(0, 5000, 800), rng.choice(["a", "b"], 800), rng.random(800)) if not (s == "b" and t > 2000)]
+    got = {r.t: (r.a, r.b) for r in intervals.align(spark.createDataFrame(samples, "t int, s string, v double").repartition(5), "s", "t", "v", ["a", "b"]).collect()}
+    wide = pd.DataFrame(samples, columns=["t", "s", "v"]).groupby(["t", "s"]).v.max().unstack().sort_index()
+    want = wide.ffill().where(wide[::-1].ffill()[::-1].notna())
+    assert got == {int(t): tuple(None if pd.isna(x) else x for x in r) for t, r in zip(want.index, want[["a", "b"]].to_numpy())}
+
+
+def test_joins_on_an_index(spark):
+    left = pd.DataFrame({"v": [1, 2, 3, 4]}, index=pd.Index([1, 1, 2, 5], name="k"))
+    right = pd.DataFrame({"w": [10, 20, 30]}, index=pd.Index([1, 2, 9], name="k"))
+    a, b = (spark.createDataFrame(x.reset_index()) for x in (left, right))
+    for how in ("inner", "left", "right", "outer"):
+        want = left.join(right, how=how).reset_index().sort_values(["k", "v"])
+        got = joins.join(a, [b], "k", how).toPandas().sort_values(["k", "v"])
+        pd.testing.assert_frame_equal(got.reset_index(drop=True).astype(float), want.reset_index(drop=True)[["k", "v", "w"]].astype(float))
+    with pytest.raises(ValueError):
+        joins.join(a, [a], "k")
+    c = b.withColumnRenamed("k", "x")
+    assert rows(joins.join_on_index(a, c, ["k"], ["x"], "id")) == [(1, 1, 10), (1, 2, 10), (2, 3, 20)]
+    both = joins.cogroup(a, b, ["k"], lambda x, y: pd.DataFrame({"k": [(x if len(x) else y).k.iloc[0]], "n": [len(x) * 10 + len(y)]}), "k long, n long")
+    assert rows(both) == [(1, 21), (2, 11), (5, 10), (9, 1)]
+
+
+def test_set_index_by_sampling_and_head(spark):
+    df = spark.range(5000).select((F.col("id") * 37 % 5000).alias("k"))
+    parts = exchange.set_index(df, "k", partitions=4).withColumn("p", F.spark_partition_id())
+    edges = sorted((r.lo, r.hi) for r in parts.groupBy("p").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).collect())
+    assert len(edges) > 1 and all(a[1] < b[0] for a, b in zip(edges, edges[1:]))
+    assert [r.k for r in frames.head(df, 3, "k").collect()] == [0, 1, 2]
+
+
+def test_paths_tokens_and_sizes(spark):
+    df = spark.range(1)
+    nested = F.struct(F.struct(F.lit(1).alias("b"), F.array(F.lit(7), F.lit(8)).alias("c")).alias("a"))
+    got = df.select(scalar.path_get(nested, "a", "c", 1), scalar.path_get(nested, "a", "c", 5), scalar.path_get(scalar.path_set(nested, F.lit(9), "a", "b"), "a", "b"), scalar.flatten_lists(F.array(F.array(F.lit(1)), F.array(F.lit(2), F.lit(3))))).first()
+    assert tuple(got) == (8, None, 9, [1, 2, 3])
+    tokens = spark.createDataFrame([("a", None), ("a", "null"), ("a", None), (None, "a")], "x string, y string").select(scalar.key_token(F.col("x"), F.col("y")).alias("t"))
+    assert tokens.distinct().count() == 3
+    sizes = spark.createDataFrame([(0,), (921,), (922,), (1024**2,), (3 * 1024**3,)], "n long").select(scalar.format_bytes(F.col("n")).alias("s"))
+    assert [r.s for r in sizes.collect()] == ["0 B", "921 B", "0.90 kiB", "1.00 MiB", "3.00 GiB"]
+
+
+def test_metrics_of_subtrees(spark):
+    spans = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, None)], "span_id long, parent_id long")
+    metrics = spark.createDataFrame([(1, "cpu", 1.0), (3, "cpu", 2.0), (3, "io", 5.0)], "span_id long, activity string, value double")
+    active = spark.createDataFrame([(1, 10.0), (2, 6.0), (4, 3.0)], "span_id long, active double")
+    other = "idle or other spans"
+    assert rows(telemetry.subtree_metrics(spans, metrics, active)) == sorted([(1, "cpu", 3.0), (1, "io", 5.0), (2, "cpu", 2.0), (2, "io", 5.0), (3, "cpu", 2.0), (3, "io", 5.0), (1, other, 2.0), (2, other, 0.0), (4, other, 3.0)], key=str)
+
+
+def test_shared_folder_is_asked_for_on_clusters(spark):
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError):
+        sources.shared_folder(Cluster)

@@ -10,8 +10,40 @@ from pyspark.sql import functions as F
 
 
 def words(text: Column) -> Column:
-    """What stands between white space."""
-    return F.filter(F.split(text, "\\s+"), lambda w: w != "")
+    """What stands between white space, as an array; it may have an empty string at either end."""
+    return F.split(text, "\\s+")
+
+
+def flatten_lists(nested: Column, depth: int = 1) -> Column:
+    """Lists of lists as one list, so many levels down."""
+    for _ in range(depth):
+        nested = F.flatten(nested)
+    return nested
+
+
+def path_get(value: Column, *path: str | int) -> Column:
+    """What lies at a path of field names, map keys and positions; null where there is nothing."""
+    for step in path:
+        value = F.get(value, F.lit(step)) if isinstance(step, int) else value.getItem(step)
+    return value
+
+
+def path_set(value: Column, new: Column, *path: str) -> Column:
+    """The struct with the field at a path of names set."""
+    return value.withField(".".join(path), new)
+
+
+def key_token(*parts: Column) -> Column:
+    """A name for what is computed from the parts: equal parts, nulls included, have equal tokens."""
+    return F.sha2(F.to_json(F.struct(*(p.alias(f"p{i}") for i, p in enumerate(parts))), {"ignoreNullFields": "false"}), 256)
+
+
+def format_bytes(n: Column) -> Column:
+    """A number of bytes in the largest unit of which there is at least nine tenths."""
+    out = F.concat(n.cast("bigint").cast("string"), F.lit(" B"))
+    for k, unit in enumerate(("kiB", "MiB", "GiB", "TiB", "PiB"), 1):
+        out = F.when(n >= 0.9 * 1024**k, F.concat(F.format_string("%.2f", n / float(1024**k)), F.lit(f" {unit}"))).otherwise(out)
+    return out
 
 
 def day_name(ts: Column) -> Column:

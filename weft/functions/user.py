@@ -17,6 +17,11 @@ def scalar(function: Callable, returns: str | T.DataType, pure: bool = True):
     return made if pure else made.asNondeterministic()
 
 
+def vector(function: Callable[[pd.Series], pd.Series], returns: str | T.DataType):
+    """A function of whole columns, batch by batch: the form for what pandas or numpy can do at once."""
+    return F.pandas_udf(function, returns)
+
+
 def by_partition(df: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame], schema: str | T.StructType) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return map(function, frames)
@@ -51,12 +56,12 @@ def concurrently(df: DataFrame, column: str, function: Callable[[object], Awaita
     return df.mapInPandas(run, schema)
 
 
-def rows_from(df: DataFrame, function: Callable[[pd.Series], Iterable[dict]], schema: str | T.StructType) -> DataFrame:
-    """Any number of rows for each row."""
+def rows_from(df: DataFrame, function: Callable[[tuple], Iterable[dict]], schema: str | T.StructType) -> DataFrame:
+    """Any number of rows for each row, which the function gets as a named tuple."""
     names = (T._parse_datatype_string(schema) if isinstance(schema, str) else schema).fieldNames()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame([out for _, row in frame.iterrows() for out in function(row)], columns=names)
+            yield pd.DataFrame([out for row in frame.itertuples(index=False) for out in function(row)], columns=names)
 
     return df.mapInPandas(run, schema)

@@ -36,9 +36,9 @@ def ewma(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, alp
     return df.withColumn("_w", weight).groupBy(*by).agg(F.sum(F.col(value) * F.col("_w")).alias(into))
 
 
-def decayed_counts(df: DataFrame, item: str, time: str, now: float, spans: Sequence[float] = (5, 60, 3600)) -> DataFrame:
+def decayed_counts(df: DataFrame, item: str, time: str, now: float | Column, spans: Sequence[float] = (5, 60, 3600)) -> DataFrame:
     """For each item how often it came, an event of age t counting exp(-t / span), for each span in seconds."""
-    age = F.lit(now) - F.col(time)
+    age = (now if isinstance(now, Column) else F.lit(float(now))) - F.col(time)
     return df.groupBy(item).agg(*(F.sum(F.exp(-age / s)).alias(f"last_{s:g}") for s in spans))
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import itertools
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -77,8 +78,7 @@ def overlaps(old: Sequence[int], new: Sequence[int]) -> list[list[tuple[int, int
 def to_blocks(a: DataFrame, rows: Sequence[int], columns: Sequence[int]) -> DataFrame:
     """``bi bj shape data`` (row by row) of an array given by cells; missing cells are 0. A block has to fit in a task."""
     r, c = bounds(rows), bounds(columns)
-    number = lambda x, edges: sum((F.when(F.col(x) >= e, 1).otherwise(0) for e in edges[1:-1]), F.lit(0))
-    placed = a.withColumns({"bi": number("i", r).cast("int"), "bj": number("j", c).cast("int")})
+    placed = a.withColumns({"bi": _chunk_of("i", rows), "bj": _chunk_of("j", columns)})
 
     def build(part: pd.DataFrame) -> pd.DataFrame:
         bi, bj = int(part.bi.iloc[0]), int(part.bj.iloc[0])
@@ -89,34 +89,71 @@ def to_blocks(a: DataFrame, rows: Sequence[int], columns: Sequence[int]) -> Data
     return placed.groupBy("bi", "bj").applyInPandas(build, "bi int, bj int, shape array<int>, data array<double>")
 
 
-def rechunk(blocks: DataFrame, old: tuple[Sequence[int], Sequence[int]], new: tuple[Sequence[int], Sequence[int]]) -> DataFrame:
-    """Blocks of another grid. Old blocks are cut where new ones meet them; each part goes to its new block."""
-    plan: dict[tuple[int, int], list[tuple[int, ...]]] = {}
-    edges = tuple(bounds(x) for x in old), tuple(bounds(x) for x in new)
-    sides = [overlaps(o, n) for o, n in zip(old, new, strict=True)]
-    for x, parts in enumerate(sides[0]):
-        for y, others in enumerate(sides[1]):
-            for bi, a0, a1 in parts:
-                for bj, b0, b1 in others:
-                    plan.setdefault((bi, bj), []).append((x, y, a0, a1, b0, b1, edges[0][0][bi] + a0 - edges[1][0][x], edges[0][1][bj] + b0 - edges[1][1][y]))
+def _chunk_of(index: str, chunks: Sequence[int]) -> Column:
+    """The chunk that holds an index: by division where all but the last are alike."""
+    if len(set(chunks[:-1])) <= 1 and chunks[-1:] <= chunks[:1]:
+        return F.floor(F.col(index) / (chunks[0] if chunks else 1)).cast("int")
+    edges = F.array(*map(F.lit, bounds(chunks)[1:-1]))
+    return F.size(F.filter(edges, lambda e: e <= F.col(index))).cast("int")
+
+
+def rechunk_nd(blocks: DataFrame, old: Sequence[Sequence[int]], new: Sequence[Sequence[int]], keep: Callable[[tuple[int, ...]], bool] | None = None) -> DataFrame:
+    """Blocks ``index shape data`` of any number of axes on another grid.
+
+    An old block is cut, where it lies, at the edges of the new grid, and each part goes to its new block. With ``keep``
+    only new blocks whose index it accepts are made; parts of others are not sent.
+    """
+    for o, n in zip(old, new, strict=True):
+        if sum(o) != sum(n):
+            raise ValueError("chunks have to add up to the same length")
+    before, after = [np.array(bounds(o)) for o in old], [np.array(bounds(n)) for n in new]
 
     def split(frames):
         for frame in frames:
             out = []
-            for bi, bj, shape, data in zip(frame.bi, frame.bj, frame["shape"], frame.data, strict=True):
-                block = np.asarray(data).reshape(tuple(shape))
-                out += [(x, y, r, c, [a1 - a0, b1 - b0], block[a0:a1, b0:b1].ravel()) for x, y, a0, a1, b0, b1, r, c in plan.get((bi, bj), ())]
-            yield pd.DataFrame(out, columns=["bi", "bj", "r", "c", "shape", "data"])
+            for index, data in zip(frame["index"], frame["data"], strict=True):
+                low, high = [e[k] for e, k in zip(before, index, strict=True)], [e[k + 1] for e, k in zip(before, index, strict=True)]
+                block = np.asarray(data).reshape([b - a for a, b in zip(low, high, strict=True)])
+                ranges = [range(int(np.searchsorted(e, a, "right")) - 1, int(np.searchsorted(e, b, "left"))) if b > a else () for e, a, b in zip(after, low, high, strict=True)]
+                for target in itertools.product(*ranges):
+                    if keep and not keep(target):
+                        continue
+                    a = [max(lo, e[k]) for lo, e, k in zip(low, after, target, strict=True)]
+                    b = [min(hi, e[k + 1]) for hi, e, k in zip(high, after, target, strict=True)]
+                    part = block[tuple(slice(x - lo, y - lo) for x, y, lo in zip(a, b, low, strict=True))]
+                    out.append((list(target), [int(x - e[k]) for x, e, k in zip(a, after, target, strict=True)], list(part.shape), part.ravel()))
+            yield pd.DataFrame(out, columns=["index", "at", "shape", "data"])
 
     def join(part: pd.DataFrame) -> pd.DataFrame:
-        bi, bj = int(part.bi.iloc[0]), int(part.bj.iloc[0])
-        block = np.zeros((new[0][bi], new[1][bj]))
-        for r, c, shape, data in zip(part.r, part.c, part["shape"], part.data, strict=True):
-            block[r : r + shape[0], c : c + shape[1]] = np.asarray(data).reshape(tuple(shape))
-        return pd.DataFrame({"bi": [bi], "bj": [bj], "shape": [list(block.shape)], "data": [block.ravel()]})
+        index = [int(k) for k in part["index"].iloc[0]]
+        block = np.zeros([n[k] for n, k in zip(new, index, strict=True)])
+        for at, shape, data in zip(part["at"], part["shape"], part["data"], strict=True):
+            block[tuple(slice(x, x + n) for x, n in zip(at, shape, strict=True))] = np.asarray(data).reshape(tuple(shape))
+        return pd.DataFrame({"index": [index], "shape": [list(block.shape)], "data": [block.ravel()]})
+
+    parts = blocks.mapInPandas(split, "index array<int>, at array<int>, shape array<int>, data array<double>")
+    return parts.groupBy("index").applyInPandas(join, "index array<int>, shape array<int>, data array<double>")
+
+
+def rechunk(blocks: DataFrame, old: tuple[Sequence[int], Sequence[int]], new: tuple[Sequence[int], Sequence[int]]) -> DataFrame:
+    """Blocks ``bi bj shape data`` of another grid."""
+    made = rechunk_nd(blocks.select(F.array("bi", "bj").alias("index"), "shape", "data"), old, new)
+    return made.select(F.col("index")[0].alias("bi"), F.col("index")[1].alias("bj"), "shape", "data")
+
+
+def gram(df: DataFrame, values: str) -> DataFrame:
+    """``i j v`` of transpose(a) times a, the rows of a being arrays of equal length: a partial product for each batch
+    of rows, added up."""
+
+    def multiply(frames):
+        for frame in frames:
+            rows = [x for x in frame[values] if x is not None]
+            if rows:
+                x = np.array(rows, np.float64)
+                i, j = np.indices((x.shape[1],) * 2)
+                yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "v": (x.T @ x).ravel()})
 
-    parts = blocks.mapInPandas(split, "bi int, bj int, r int, c int, shape array<int>, data array<double>")
-    return parts.groupBy("bi", "bj").applyInPandas(join, "bi int, bj int, shape array<int>, data array<double>")
+    return df.select(values).mapInPandas(multiply, "i bigint, j bigint, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
 def from_blocks(blocks: DataFrame, rows: Sequence[int], columns: Sequence[int]) -> DataFrame:

@@ -6,9 +6,11 @@ from collections.abc import Sequence
 from datetime import date, timedelta
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weft.operators.windows import numbered
+
 #: Longer lists of values become a join.
 LONG_LIST = 1000
 
@@ -32,12 +34,8 @@ def date_slice(df: DataFrame, column: str, first: str, last: str) -> DataFrame:
 
 
 def categorize(df: DataFrame, column: str, into: str) -> DataFrame:
-    """Adds the code of each value: its place among the distinct values in order, -1 for null.
-
-    The window numbers distinct values, not rows.
-    """
-    values = df.select(column).where(F.col(column).isNotNull()).distinct()
-    codes = values.withColumn(into, F.row_number().over(Window.orderBy(column)) - 1)
+    """Adds the code of each value: its place among the distinct values in order, -1 for null."""
+    codes = numbered(df.select(column).where(F.col(column).isNotNull()).distinct(), [column], into)
     return df.join(codes, column, "left").withColumn(into, F.coalesce(into, F.lit(-1))).select(*df.columns, into)
 
 
@@ -70,6 +68,11 @@ def top_k(df: DataFrame, k: int, *order: str | Column) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
+def head(df: DataFrame, k: int, *order: str) -> DataFrame:
+    """The first ``k`` rows in the given order."""
+    return df.orderBy(*order).limit(k)
+
+
 def tail(df: DataFrame, k: int, *order: str) -> DataFrame:
     """The last ``k`` rows in the given order, in that order."""
     last = df.orderBy(*(F.desc(c) for c in order)).limit(k)

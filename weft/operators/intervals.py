@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.operators.windows import ranged
+
 
 def active(df: DataFrame, start: str, stop: str, by: Sequence[str]) -> DataFrame:
     """Union of the half-open intervals of each group, as maximal intervals ``start stop``, and how many were most at once.
@@ -44,9 +46,14 @@ def allocate(df: DataFrame, start: str, stop: str, width: float, by: Sequence[st
 def align(samples: DataFrame, series: str, time: str, value: str, names: Sequence[str]) -> DataFrame:
     """One row for each time, a column for each series: the last sample, but nothing after a series has ended.
 
-    Of samples of a series at one time the highest counts. All times are one window: the result is a small report.
+    Of samples of a series at one time the highest counts. Times are dealt to ranges; what a range takes over from those
+    before it, and whether a series goes on after it, comes from a summary of one row a range.
     """
-    wide = samples.groupBy(time).pivot(series, list(names)).agg(F.max(value))
-    w = Window.orderBy(time)
-    fill = lambda c: F.when(F.first(c, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)).isNotNull(), F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return wide.select(time, *(fill(c).alias(c) for c in names))
+    parts = ranged(samples.groupBy(time).pivot(series, list(names)).agg(F.max(value)), [time])
+    each = parts.groupBy("_part").agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col(time))).alias(f"_{c}") for c in names))
+    before, after = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("_part").rowsBetween(1, Window.unboundedFollowing)
+    carried = each.select("_part", *(F.last(f"_{c}", ignorenulls=True).over(before).alias(f"_b_{c}") for c in names), *(F.first(f"_{c}", ignorenulls=True).over(after).isNotNull().alias(f"_a_{c}") for c in names))
+    w = Window.partitionBy("_part").orderBy(time)
+    goes_on = lambda c: F.first(c, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)).isNotNull() | F.col(f"_a_{c}")
+    last = lambda c: F.coalesce(F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.col(f"_b_{c}"))
+    return parts.join(F.broadcast(carried), "_part").select(time, *(F.when(goes_on(c), last(c)).alias(c) for c in names))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -46,6 +46,31 @@ def merge(left: DataFrame, right: DataFrame, how: str = "inner", on: Sequence[st
     return df.repartition(partitions, *lk) if partitions else df
 
 
+def join_on_index(left: DataFrame, right: DataFrame, left_on: Sequence[str], right_on: Sequence[str], index: str, how: str = "inner", suffixes: tuple[str, str] = ("_x", "_y")) -> DataFrame:
+    """Equi-join where one side's key is its index, or both sides' are; ``index`` names the key of the result.
+
+    The key appears once. A frame's index is a column that its caller names; keys may be several columns, some of them
+    index levels.
+    """
+    key = [index] if len(left_on) == 1 else [f"{index}_{k}" for k in range(len(left_on))]
+    a = left.withColumnsRenamed(dict(zip(left_on, key, strict=True)))
+    b = right.withColumnsRenamed(dict(zip(right_on, key, strict=True)))
+    return merge(a, b, how, on=key, suffixes=suffixes)
+
+
+def join(left: DataFrame, others: Sequence[DataFrame], index: str, how: str = "left") -> DataFrame:
+    """One frame with others, all on their index; other columns may not have a name in common."""
+    names = [c for df in (left, *others) for c in df.columns if c != index]
+    if len(names) != len(set(names)):
+        raise ValueError("columns overlap")
+    return reduce(lambda a, b: merge(a, b, how, on=[index]), others, left)
+
+
+def cogroup(left: DataFrame, right: DataFrame, on: Sequence[str], function: Callable, schema: str) -> DataFrame:
+    """``function(rows of left, rows of right)`` for each key of either side; a key's rows have to fit in a task."""
+    return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(function, schema)
+
+
 def semi(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
     return left.join(right, list(on), "left_semi")
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.operators.windows import dense_by_first
+from weft.sources.shared import stored
 
 
 def states(df: DataFrame, by: Sequence[str], state: str, names: Sequence[str]) -> DataFrame:
@@ -18,17 +19,18 @@ def states(df: DataFrame, by: Sequence[str], state: str, names: Sequence[str]) -
 def descendants(spans: DataFrame, id_: str = "span_id", parent: str = "parent_id") -> DataFrame:
     """``root node level`` for every span and all below it, at any depth; spans in a ring are an error.
 
-    Pairs below twice the depth are joined from those known and those at that depth, until none is so deep.
+    Pairs below twice the depth are joined from those known and those at that depth, until none is so deep. What a
+    round makes is written out, so that no round is run again by those after it.
     """
-    jump = spans.where(F.col(parent).isNotNull()).select(F.col(parent).alias("_p"), F.col(id_).alias("_c"))
-    out = spans.select(F.col(id_).alias("root"), F.col(id_).alias("node"), F.lit(0).alias("level"))
+    jump = stored(spans.where(F.col(parent).isNotNull()).select(F.col(parent).alias("_p"), F.col(id_).alias("_c")))
+    out = stored(spans.select(F.col(id_).alias("root"), F.col(id_).alias("node"), F.lit(0).alias("level")))
     depth = 1
     while not jump.isEmpty():
-        deeper = out.join(jump, out.node == jump._p).select("root", F.col("_c").alias("node"), (F.col("level") + depth).alias("level"))
+        deeper = stored(out.join(jump, out.node == jump._p).select("root", F.col("_c").alias("node"), (F.col("level") + depth).alias("level")))
         if not deeper.where("root = node").isEmpty():
             raise ValueError("spans are above themselves")
         out = out.unionByName(deeper)
-        jump = jump.alias("a").join(jump.alias("b"), F.col("a._c") == F.col("b._p")).select("a._p", "b._c")
+        jump = stored(jump.alias("a").join(jump.alias("b"), F.col("a._c") == F.col("b._p")).select("a._p", "b._c"))
         depth *= 2
     return out
 
@@ -63,12 +65,38 @@ def rectangles(tasks: DataFrame, worker: str, start: str, stop: str, position: s
     return dense_by_first(df, worker, position, "lane")
 
 
-def target_workers(busy_seconds: float, target_seconds: float, ready: int, memory: float, limit: float, workers: int) -> int:
-    """How many workers work of so many seconds asks for: no more than there is ready work, twice as many above 60 % of memory."""
-    n = min(-(-busy_seconds // target_seconds), max(ready, 1)) if busy_seconds else 0
-    return int(max(n, 2 * workers) if limit and memory > 0.6 * limit else n)
-
-
 def summary(df: DataFrame, state: str, names: Sequence[str], value: str) -> DataFrame:
     """One row: how many, how many in each state, and the sum of a value."""
     return df.agg(F.count("*").alias("n"), *(F.count_if(F.col(state) == n).alias(n) for n in names), F.sum(value).alias("total"))
+
+
+def time_slice(log: DataFrame, time: str, start=None, stop=None) -> DataFrame:
+    """Rows from ``start`` on and before ``stop``."""
+    if start is not None:
+        log = log.where(F.col(time) >= start)
+    return log if stop is None else log.where(F.col(time) < stop)
+
+
+def profile_of(samples: DataFrame, time: str, start=None, stop=None, path: str = "path", count: str = "count", **where) -> DataFrame:
+    """The merged profile of the samples of a range of time, of those with the given values of other columns."""
+    some = time_slice(samples, time, start, stop)
+    for column, value in where.items():
+        some = some.where(F.col(column) == value)
+    return merge_profiles(some, path, count)
+
+
+def subtree_metrics(spans: DataFrame, metrics: DataFrame, active: DataFrame, id_: str = "span_id", parent: str = "parent_id", name: str = "activity", value: str = "value") -> DataFrame:
+    """Sums of each metric over a span and all below it, and what of the active seconds (``span_id active``) none of them knows."""
+    tree = descendants(spans, id_, parent)
+    under = tree.join(metrics, tree.node == metrics[id_]).select("root", name, value)
+    sums = under.groupBy(F.col("root").alias(id_), name).agg(F.sum(value).alias(value))
+    known = sums.groupBy(id_).agg(F.sum(value).alias("_known"))
+    rest = active.join(known, id_, "left").select(id_, F.lit("idle or other spans").alias(name), F.greatest(F.lit(0.0), F.col("active") - F.coalesce("_known", F.lit(0.0))).alias(value))
+    return sums.unionByName(rest)
+
+
+def merge_by_tags(spans: DataFrame, tags: Sequence[str], values: Sequence[str], id_: str = "span_id", parent: str = "parent_id", name: str = "name") -> DataFrame:
+    """One row: the sums of ``values`` over the topmost spans that have one of the tags, and all below them."""
+    top = by_tags(spans, tags, id_, parent, name)
+    below = descendants(spans.select(id_, parent), id_, parent).join(top.select(F.col(id_).alias("root")), "root", "left_semi").select(F.col("node").alias(id_)).distinct()
+    return spans.join(below, id_, "left_semi").agg(F.count("*").alias("spans"), *(F.sum(v).alias(v) for v in values))

@@ -7,13 +7,32 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.sources.shared import stored
+
+
+def ranged(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Rows in range partitions, numbered by ``_part`` in the order of the ranges.
+
+    They are written out: all uses of them see the same boundaries, which come from a sample of the rows.
+    """
+    return stored(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+
+
+def numbered(df: DataFrame, order: Sequence[str], into: str) -> DataFrame:
+    """Numbers rows from 0 in ``order``: inside range partitions, after the sizes of those before."""
+    parts = ranged(df, order)
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each partition
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return parts.join(F.broadcast(before), "_part").withColumn(into, (inside + F.col("_before")).cast("int")).drop("_part", "_before")
+
 
 def cumulative_sum(df: DataFrame, value: str, order: Sequence[str], by: Sequence[str] = (), into: str = "cumsum") -> DataFrame:
     """Running sum in ``order``. Without groups, sums of range partitions are added up first: rows sort in parallel."""
     upto = lambda w: F.sum(value).over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     if by:
         return df.withColumn(into, upto(Window.partitionBy(*by)))
-    cut = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    cut = ranged(df, order)
     sums = cut.groupBy("_part").agg(F.sum(value).alias("_sum"))  # a row for each partition
     before = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
     return cut.join(before, "_part").withColumn(into, upto(Window.partitionBy("_part")) + F.col("_before")).drop("_part", "_before")
@@ -38,10 +57,9 @@ def intervals(df: DataFrame, time: str, by: Sequence[str], into: str = "stop") -
 
 
 def dense_by_first(df: DataFrame, key: str, position: str, into: str) -> DataFrame:
-    """Numbers keys from 0 by their first position. The window numbers distinct keys."""
+    """Numbers keys from 0 by their first position."""
     first = df.groupBy(key).agg(F.min(position).alias("_first"))
-    codes = first.withColumn(into, F.row_number().over(Window.orderBy("_first", key)) - 1).drop("_first")
-    return df.join(codes, key)
+    return df.join(numbered(first, ["_first", key], into).drop("_first"), key)
 
 
 def fill_forward(df: DataFrame, value: str, order: Sequence[str], by: Sequence[str], into: str, bounded: bool = True) -> DataFrame:

@@ -89,8 +89,8 @@ def counts_summary(spark, d):
 @query("WITH m AS (SELECT max(epoch(ts)) AS m FROM events) SELECT event_type, " + ", ".join(f"round(sum(exp(-(m - epoch(ts)) / {s})), 6) AS last_{s}" for s in (3600, 86400)) + " FROM events, m GROUP BY ALL")
 def decayed_counts(spark, d):
     e = table(spark, d, "events").withColumn("t", seconds())
-    now = e.agg(F.max("t")).first()[0]
-    df = agg.decayed_counts(e, "event_type", "t", float(now or 0), (3600, 86400))
+    now = e.agg(F.max("t").alias("now"))  # one row
+    df = agg.decayed_counts(e.crossJoin(F.broadcast(now)), "event_type", "t", F.col("now"), (3600, 86400))
     return df.select("event_type", *(F.round(c, 6).alias(c) for c in df.columns[1:]))
 
 
@@ -121,23 +121,36 @@ def rebase_first(spark, d):
     return e.groupBy("user_id", "event_type").agg(F.min("us").alias("m")).crossJoin(F.broadcast(zero)).select("user_id", "event_type", (F.col("m") - F.col("zero")).alias("since"))
 
 
-_CELLS = "(SELECT vec_id AS i, CAST(j - 1 AS BIGINT) AS j, CAST(embedding[j] AS DOUBLE) AS v FROM embeddings, range(1, 65) t(j) WHERE vec_id < 64)"
+_CELLS = "(SELECT vec_id AS i, CAST(j - 1 AS BIGINT) AS j, CAST(embedding[j] AS DOUBLE) AS v FROM embeddings, range(1, 65) t(j))"
 
 
 def _cells(spark, d):
-    return arrays.cells(table(spark, d, "embeddings").where("vec_id < 64"), "vec_id", "embedding")
+    return arrays.cells(table(spark, d, "embeddings"), "vec_id", "embedding")
 
 
-@query(f"SELECT a.i, a.j, round(a.v + b.v, 9) AS v FROM {_CELLS} a JOIN {_CELLS} b ON a.i = b.j AND a.j = b.i")
+def _rows(spark, d) -> int:
+    return table(spark, d, "embeddings").agg(F.coalesce(F.max("vec_id") + 1, F.lit(0))).first()[0]
+
+
+@query(f"SELECT a.i, a.j, round(a.v + b.v, 9) AS v FROM {_CELLS} a JOIN {_CELLS} b ON a.i = b.i AND a.j = 63 - b.j")
 def array_transpose_add(spark, d):
-    a = _cells(spark, d)
-    return arrays.add(a, arrays.transpose(a)).withColumn("v", F.round("v", 9))
+    """x.T + y, x being the transpose of the array with its columns in reverse."""
+    y = _cells(spark, d)
+    x = arrays.transpose(y.withColumn("j", 63 - F.col("j")))
+    return arrays.add(arrays.transpose(x), y).withColumn("v", F.round("v", 9))
 
 
-@query(f"WITH c AS (SELECT * FROM {_CELLS}) SELECT p.j AS k, round(stddev_pop(p.v), 6) AS std FROM (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM c a JOIN c b ON a.j = b.i GROUP BY ALL) p GROUP BY ALL")
+@query(f"WITH c AS (SELECT * FROM {_CELLS}) SELECT p.j AS k, round(stddev_pop(p.v), 6) AS std FROM (SELECT a.j AS i, b.j, sum(a.v * b.v) AS v FROM c a JOIN c b ON a.i = b.i GROUP BY ALL) p GROUP BY ALL")
 def array_dot_std(spark, d):
-    a = _cells(spark, d)
-    return arrays.along(arrays.dot(a, a), 0).select("k", F.round("std", 6).alias("std"))
+    """Of the product of the transposed array with the array: partial products of batches of rows."""
+    return arrays.along(arrays.gram(table(spark, d, "embeddings"), "embedding"), 0).select("k", F.round("std", 6).alias("std"))
+
+
+@query(f"WITH c AS (SELECT * FROM {_CELLS}) SELECT a.j AS i, b.j, round(sum(a.v * b.v), 6) AS v FROM c a JOIN c b ON a.i = b.i WHERE a.j < 4 AND b.j < 4 GROUP BY ALL")
+def array_dot(spark, d):
+    """The same product cell by cell, of the first four columns: a join on the inner index."""
+    a = _cells(spark, d).where("j < 4")
+    return arrays.dot(arrays.transpose(a), a).withColumn("v", F.round("v", 6))
 
 
 @query("SELECT i, CAST(j - 1 AS BIGINT) AS j, round(v - avg(v) OVER (PARTITION BY i), 9) AS v FROM (SELECT vec_id AS i, j, CAST(embedding[j] AS DOUBLE) AS v FROM embeddings, range(1, 65) t(j))")
@@ -145,13 +158,36 @@ def array_demean(spark, d):
     return arrays.without_mean(arrays.cells(table(spark, d, "embeddings"), "vec_id", "embedding"), 1).withColumn("v", F.round("v", 9))
 
 
-@query(f"SELECT CAST(i // 32 AS INTEGER) AS bi, CAST(j // 16 AS INTEGER) AS bj, count(*) AS n, round(sum(v), 6) AS total FROM {_CELLS} GROUP BY ALL")
+@query(f"SELECT CAST(i // 320 AS INTEGER) AS bi, CAST(j // 16 AS INTEGER) AS bj, count(*) AS n, round(sum(v), 6) AS total FROM {_CELLS} GROUP BY ALL")
 def array_rechunk(spark, d):
-    old, new = ([10] * 6 + [4], [40, 24]), ([32, 32], [16] * 4)
+    n = _rows(spark, d)
+    old, new = (arrays.even_chunks(n, 100), [40, 24]), (arrays.even_chunks(n, 320), [16] * 4)
     blocks = arrays.rechunk(arrays.to_blocks(_cells(spark, d), *old), old, new)
     return blocks.select("bi", "bj", F.size("data").cast("bigint").alias("n"), F.round(F.aggregate("data", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
+@query("""WITH c AS (SELECT vec_id AS i, j - 1 AS p, CAST(embedding[j] AS DOUBLE) AS v FROM embeddings, range(1, 65) t(j))
+SELECT CAST(i // 250 AS INTEGER) AS b0, CAST(p // 16 // 2 AS INTEGER) AS b1, CAST(p // 4 % 4 // 4 AS INTEGER) AS b2, CAST(p % 4 // 1 AS INTEGER) AS b3, count(*) AS n, round(sum(v), 6) AS total FROM c GROUP BY ALL""")
+def array_rechunk_nd(spark, d):
+    """Vectors of 64 as 4 x 4 x 4, so an array of four axes: from blocks of 100 whole vectors to others on all axes."""
+    n = _rows(spark, d)
+    old, new = (arrays.even_chunks(n, 100), [4], [4], [4]), (arrays.even_chunks(n, 250), [2, 2], [4], [1] * 4)
+    wide = arrays.to_blocks(_cells(spark, d), old[0], [64])
+    blocks = wide.select(F.array("bi", F.lit(0), F.lit(0), F.lit(0)).alias("index"), F.array(F.col("shape")[0], *[F.lit(4)] * 3).alias("shape"), "data")
+    made = arrays.rechunk_nd(blocks, old, new)
+    return made.select(*(F.col("index")[k].alias(f"b{k}") for k in range(4)), F.size("data").cast("bigint").alias("n"), F.round(F.aggregate("data", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+@query(f"SELECT CAST(i // 320 AS INTEGER) AS bi, CAST(j // 16 AS INTEGER) AS bj, round(sum(v), 6) AS total FROM {_CELLS} WHERE j >= 48 GROUP BY ALL")
+def array_rechunk_cull(spark, d):
+    """Only the last column of blocks is asked for, so only its parts are sent."""
+    n = _rows(spark, d)
+    old, new = (arrays.even_chunks(n, 100), [40, 24]), (arrays.even_chunks(n, 320), [16] * 4)
+    blocks = arrays.to_blocks(_cells(spark, d), *old).select(F.array("bi", "bj").alias("index"), "shape", "data")
+    made = arrays.rechunk_nd(blocks, old, new, keep=lambda index: index[1] == 3)
+    return made.select(F.col("index")[0].alias("bi"), F.col("index")[1].alias("bj"), F.round(F.aggregate("data", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
 @query("SELECT j - 1 AS j, round(sum(CAST(embedding[j] AS DOUBLE)), 6) AS total FROM embeddings, range(1, 11) t(j) GROUP BY ALL")
 def array_sparse_sum(spark, d):
     a = arrays.cells(table(spark, d, "embeddings"), "vec_id", "embedding").where("j < 10")
@@ -189,15 +225,24 @@ def udf_map_partitions(spark, d):
     return user.by_partition(table(spark, d, "events").select("event_id", "value"), lambda f: f[f["value"] > 100].assign(value=lambda x: x["value"]), "event_id bigint, value double").withColumn("value", F.round("value", 2))
 
 
-@query()
+@query("SELECT event_type, count(DISTINCT user_id) AS users, true AS near FROM events GROUP BY ALL")
 def approx_distinct(spark, d):
-    return table(spark, d, "events").agg(F.approx_count_distinct("user_id", 0.02).alias("users"))
+    """The sketch's count beside the exact one: it has to be within four deviations of 2 %, or of one user."""
+    df = table(spark, d, "events").groupBy("event_type").agg(F.count_distinct("user_id").alias("users"), F.approx_count_distinct("user_id", 0.02).alias("guess"))
+    return df.select("event_type", "users", (F.abs(F.col("guess") - F.col("users")) <= F.greatest(F.lit(1.0), 0.08 * F.col("users"))).alias("near"))
 
 
-@query()
+@query("SELECT event_type, count(value) AS n, q, true AS near FROM events, (SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.95]) AS q) GROUP BY ALL")
 def quantiles(spark, d):
-    q = F.percentile_approx("value", [0.05, 0.25, 0.5, 0.75, 0.95], 10_000)
-    return table(spark, d, "events").groupBy("event_type").agg(q.alias("quantiles"))
+    """Quantiles of a mergeable digest; the ranks that they have in the rows have to be within its bound."""
+    qs, accuracy = (0.05, 0.25, 0.5, 0.75, 0.95), 10_000
+    e = table(spark, d, "events").select("event_type", "value").where("value IS NOT NULL")
+    digest = e.groupBy("event_type").agg(F.count("*").alias("n"), F.percentile_approx("value", list(qs), accuracy).alias("at"))
+    at = lambda k: F.col("at")[k]
+    ranks = e.join(digest, "event_type").groupBy("event_type", "n").agg(*(F.count_if(F.col("value") < at(k)).alias(f"below{k}") for k in range(5)), *(F.count_if(F.col("value") <= at(k)).alias(f"upto{k}") for k in range(5)))
+    bound = F.col("n") / accuracy + 1
+    near = [F.struct(F.lit(q).cast("decimal(3,2)").alias("q"), ((F.col(f"below{k}") <= q * F.col("n") + bound) & (F.col(f"upto{k}") >= q * F.col("n") - bound)).alias("near")) for k, q in enumerate(qs)]
+    return ranks.select("event_type", "n", F.explode(F.array(*near)).alias("x")).select("event_type", "n", "x.q", "x.near")
 
 
 @query("SELECT page_id, url_encode(url) AS url FROM pages")
@@ -219,10 +264,10 @@ def map_overlap(spark, d):
     return df.select("event_id", F.array_join(F.transform("w", lambda x: x.cast("string")), ",").alias("around"))
 
 
-@query(f"SELECT i, j, round(v, 9) AS v FROM {_CELLS} UNION ALL SELECT i + 64, j, round(v, 9) FROM {_CELLS}")
+@query(f"SELECT i, j, round(v, 9) AS v FROM {_CELLS} UNION ALL SELECT i + (SELECT max(vec_id) + 1 FROM embeddings), j, round(v, 9) FROM {_CELLS}")
 def array_concatenate(spark, d):
-    a = _cells(spark, d)
-    return arrays.concatenate([(a, 64), (a, 64)]).withColumn("v", F.round("v", 9))
+    a, n = _cells(spark, d), _rows(spark, d)
+    return arrays.concatenate([(a, n), (a, n)]).withColumn("v", F.round("v", 9))
 
 
 @query("SELECT user_id % 2 AS odd, string_agg(CAST(user_id AS VARCHAR), ',' ORDER BY user_id) AS members FROM (SELECT DISTINCT user_id FROM events) GROUP BY ALL")
@@ -249,7 +294,7 @@ def story(spark, d):
     return telemetry.story(log, ["error", "user-7"], "event_type", "user", "event_id").select("event_id", "event_type", "user_id")
 
 
-@query("WITH RECURSIVE e AS (SELECT event_id AS id, CASE WHEN event_id > 0 THEN event_id // 4 END AS parent FROM events WHERE event_id < 300), t AS (SELECT id AS root, id AS node FROM e UNION ALL SELECT t.root, e.id FROM t JOIN e ON e.parent = t.node) SELECT root, count(*) AS n FROM t GROUP BY root")
+@query("WITH RECURSIVE e AS (SELECT event_id AS id, CASE WHEN event_id > 0 THEN event_id // 4 END AS parent FROM events), t AS (SELECT id AS root, id AS node FROM e UNION ALL SELECT t.root, e.id FROM t JOIN e ON e.parent = t.node) SELECT root, count(*) AS n FROM t GROUP BY root")
 def span_tree(spark, d):
-    e = table(spark, d, "events").where("event_id < 300").select(F.col("event_id").alias("span_id"), F.when(F.col("event_id") > 0, F.floor(F.col("event_id") / 4)).alias("parent_id"))
+    e = table(spark, d, "events").select(F.col("event_id").alias("span_id"), F.when(F.col("event_id") > 0, F.floor(F.col("event_id") / 4)).alias("parent_id"))
     return telemetry.descendants(e).groupBy("root").agg(F.count("*").alias("n"))

@@ -18,13 +18,13 @@ def seconds(c: str = "ts"):
 
 @query("SELECT word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(text, '\\s+')) AS word FROM documents) WHERE word <> '' GROUP BY word ORDER BY n DESC, word LIMIT 10")
 def wordcount_topk(spark, d):
-    w = table(spark, d, "documents").select(F.explode(words(F.col("text"))).alias("word"))
+    w = table(spark, d, "documents").select(F.explode(words(F.col("text"))).alias("word")).where("word <> ''")
     return frames.top_k(w.groupBy("word").agg(F.count("*").alias("n")), 10, F.desc("n"), "word")
 
 
 @query("SELECT word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(text, '\\s+')) AS word FROM documents) WHERE word <> '' GROUP BY word")
 def word_frequency(spark, d):
-    return table(spark, d, "documents").select(F.explode(words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return table(spark, d, "documents").select(F.explode(words(F.col("text"))).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
 
 
 @query("SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) AS net FROM lineitem")
@@ -84,8 +84,14 @@ def json_extract(spark, d):
 
 
 def _sides(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey % 2 = 0").select("o_orderkey", "o_custkey")
-    return o, table(spark, d, "customer").where("c_custkey % 3 <> 0").select("c_custkey", "c_name")
+    """All orders, some without a customer, and all customers, a third under a key that no order has."""
+    o = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_custkey")).alias("o_custkey"))
+    return o, table(spark, d, "customer").select(_elsewhere(3).alias("c_custkey"), "c_name")
+
+
+def _elsewhere(every: int):
+    """Keys of customers, one in so many turned into one that no order has."""
+    return F.when(F.col("c_custkey") % every == 0, -F.col("c_custkey")).otherwise(F.col("c_custkey"))
 
 
 def _plain(df, keys=("o_orderkey", "o_custkey", "c_custkey")):
@@ -94,7 +100,7 @@ def _plain(df, keys=("o_orderkey", "o_custkey", "c_custkey")):
 
 
 def _join(how: str) -> str:
-    return f"SELECT coalesce(o_orderkey, -1) AS o_orderkey, coalesce(o_custkey, -1) AS o_custkey, coalesce(c_custkey, -1) AS c_custkey, c_name FROM (SELECT * FROM orders WHERE o_orderkey % 2 = 0) {how} JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) ON o_custkey = c_custkey"
+    return f"SELECT coalesce(o_orderkey, -1) AS o_orderkey, coalesce(o_custkey, -1) AS o_custkey, coalesce(c_custkey, -1) AS c_custkey, c_name FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey END AS o_custkey FROM orders) {how} JOIN (SELECT CASE WHEN c_custkey % 3 = 0 THEN -c_custkey ELSE c_custkey END AS c_custkey, c_name FROM customer) ON o_custkey = c_custkey"
 
 
 @query(_join("INNER"))
@@ -134,10 +140,10 @@ def join_suffixes(spark, d):
     return joins.merge(li.where("l_linenumber = 1").drop("l_linenumber"), li.where("l_linenumber = 2").drop("l_linenumber"), on=["l_orderkey"], suffixes=("_left", "_right"))
 
 
-@query("SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'right_only' WHEN b.k IS NULL THEN 'left_only' ELSE 'both' END AS _merge FROM (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderkey % 4 = 0) a FULL JOIN (SELECT c_custkey AS k FROM customer WHERE c_custkey % 5 <> 0) b ON a.k = b.k")
+@query("SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'right_only' WHEN b.k IS NULL THEN 'left_only' ELSE 'both' END AS _merge FROM (SELECT DISTINCT o_custkey AS k FROM orders) a FULL JOIN (SELECT CASE WHEN c_custkey % 5 = 0 THEN -c_custkey ELSE c_custkey END AS k FROM customer) b ON a.k = b.k")
 def join_indicator(spark, d):
-    a = table(spark, d, "orders").where("o_orderkey % 4 = 0").select(F.col("o_custkey").alias("k")).distinct()
-    b = table(spark, d, "customer").where("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("k"))
+    a = table(spark, d, "orders").select(F.col("o_custkey").alias("k")).distinct()
+    b = table(spark, d, "customer").select(_elsewhere(5).alias("k"))
     return joins.merge(a, b, "outer", on=["k"], indicator="_merge")
 
 
@@ -165,13 +171,55 @@ def join_broadcast(spark, d):
     return table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_name", "n_name")
 
 
-_NULLABLE = "(SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_custkey END AS k FROM orders WHERE o_orderkey % 50 = 0)"
+_NULLABLE = "(SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_custkey END AS k FROM orders)"
 
 
-@query(f"SELECT a.o_orderkey AS o_orderkey_x, coalesce(a.k, -1) AS k, b.o_orderkey AS o_orderkey_y FROM {_NULLABLE} a JOIN {_NULLABLE} b ON a.k IS NOT DISTINCT FROM b.k")
+@query(f"SELECT a.o_orderkey, coalesce(a.k, -1) AS k, b.n, b.last FROM {_NULLABLE} a JOIN (SELECT k, count(*) AS n, max(o_orderkey) AS last FROM {_NULLABLE} GROUP BY k) b ON a.k IS NOT DISTINCT FROM b.k")
 def join_null_safe(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey % 50 = 0").select("o_orderkey", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_custkey")).alias("k"))
-    return _plain(joins.merge(o, o, on=["k"], null_equal=True), ["k"])
+    """Every order with the count and the last of its customer's; orders without a customer are one group."""
+    o = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_custkey")).alias("k"))
+    groups = o.groupBy("k").agg(F.count("*").alias("n"), F.max("o_orderkey").alias("last"))
+    return _plain(joins.merge(o, groups, on=["k"], null_equal=True), ["k"])
+
+
+@query("SELECT c_custkey AS id, n_orders, c_name FROM (SELECT o_custkey, count(*) AS n_orders FROM orders GROUP BY ALL) JOIN customer ON o_custkey = c_custkey")
+def join_index_index(spark, d):
+    o = table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n_orders"))
+    return joins.join_on_index(o, table(spark, d, "customer").select("c_custkey", "c_name"), ["o_custkey"], ["c_custkey"], "id")
+
+
+@query("SELECT o_custkey AS id, o_orderkey, coalesce(c_name, '') AS c_name FROM orders LEFT JOIN (SELECT CASE WHEN c_custkey % 3 = 0 THEN -c_custkey ELSE c_custkey END AS k, c_name FROM customer) ON o_custkey = k")
+def join_column_index(spark, d):
+    c = table(spark, d, "customer").select(_elsewhere(3).alias("k"), "c_name")
+    df = joins.join_on_index(table(spark, d, "orders").select("o_orderkey", "o_custkey"), c, ["o_custkey"], ["k"], "id", "left")
+    return df.withColumn("c_name", F.coalesce("c_name", F.lit("")))
+
+
+@query("SELECT a.l_orderkey AS id_0, a.l_linenumber AS id_1, a.l_quantity AS l_quantity_x, b.l_quantity AS l_quantity_y FROM lineitem a JOIN (SELECT l_orderkey, l_linenumber + 1 AS n, l_quantity FROM lineitem) b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.n")
+def join_index_and_columns(spark, d):
+    """Keys that mix index levels and columns: each line with the one before it."""
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    before = li.select("l_orderkey", (F.col("l_linenumber") + 1).alias("n"), "l_quantity")
+    return joins.join_on_index(li, before, ["l_orderkey", "l_linenumber"], ["l_orderkey", "n"], "id")
+
+
+@query("SELECT c_custkey AS id, c_name, coalesce(n_orders, 0) AS n_orders, coalesce(total, 0) AS total FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n_orders FROM orders GROUP BY ALL) a ON a.o_custkey = c_custkey LEFT JOIN (SELECT o_custkey, round(max(o_totalprice), 2) AS total FROM orders WHERE o_totalprice > 100000 GROUP BY ALL) b ON b.o_custkey = c_custkey")
+def frame_join(spark, d):
+    o = table(spark, d, "orders").withColumnRenamed("o_custkey", "id")
+    counts = o.groupBy("id").agg(F.count("*").alias("n_orders"))
+    totals = o.where("o_totalprice > 100000").groupBy("id").agg(F.round(F.max("o_totalprice"), 2).alias("total"))
+    df = joins.join(table(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_name"), [counts, totals], "id")
+    return df.withColumns({"n_orders": F.coalesce("n_orders", F.lit(0)), "total": F.coalesce("total", F.lit(0.0))})
+
+
+@query("SELECT k, coalesce(a, 0) AS n_orders, coalesce(b, 0) AS n_customers FROM (SELECT o_custkey AS k, count(*) AS a FROM orders GROUP BY ALL) FULL JOIN (SELECT CASE WHEN c_custkey % 3 = 0 THEN -c_custkey ELSE c_custkey END AS k, count(*) AS b FROM customer GROUP BY ALL) USING (k)")
+def cogroup_counts(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("k"))
+    return joins.cogroup(o, table(spark, d, "customer").select(_elsewhere(3).alias("k")), ["k"], _sizes, "k bigint, n_orders bigint, n_customers bigint")
+
+
+def _sizes(orders, customers):
+    return (orders if len(orders) else customers)[["k"]].head(1).assign(n_orders=len(orders), n_customers=len(customers))
 
 
 _SPAN = "SELECT event_id, user_id, event_type, epoch(ts) AS start, epoch(ts) + value AS stop FROM events"
@@ -299,6 +347,11 @@ def topk(spark, d):
     return frames.top_k(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), 10, F.desc("o_totalprice"), "o_orderkey")
 
 
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 5")
+def head_k(spark, d):
+    return frames.head(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), 5, "o_orderkey")
+
+
 @query("SELECT * FROM (SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey DESC LIMIT 5) ORDER BY o_orderkey")
 def tail_k(spark, d):
     return frames.tail(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), 5, "o_orderkey")

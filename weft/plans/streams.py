@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from weft.plans.registry import query
@@ -63,3 +65,31 @@ def streaming_actor(spark, d):
 
 def _step(state, rows):
     return {"n": state.get("n", 0) + len(rows), "top": max(state.get("top", float("-inf")), float(rows["value"].max()))}
+
+
+@query("""WITH w AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM events WHERE event_id % 2 = 0)
+SELECT date_trunc('hour', ts) AS start, count(*) AS n FROM events, w WHERE event_id % 2 = 0 OR date_trunc('hour', ts) + INTERVAL 1 HOUR > mark GROUP BY ALL""")
+def streaming_late(spark, d):
+    """All events in two halves, one after the other: of the second half, what comes after the watermark has closed its window is late and left out."""
+    e = table(spark, d, "events").select("event_id", "ts")
+    top = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    for half in (0, 1):
+        e.where(F.col("event_id") % 2 == half).write.mode("append").parquet(f"{top}/events")
+        stream = feeds.event_time(feeds.follow(spark, f"{top}/events", e.schema))
+        counts = stream.withWatermark("ts", _LATE).groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"))
+        seen = feeds.drain(counts.select(F.col("w.start").alias("start"), "n"), f"{top}/out", "update")
+    return seen.groupBy(F.col("start").cast("timestamp_ntz").alias("start")).agg(F.max("n").alias("n"))
+
+
+@query("SELECT user_id, round(sum(exp(-(m - t) / 3600)), 6) AS weight FROM (SELECT user_id, epoch(ts) AS t, max(epoch(ts)) OVER (PARTITION BY user_id) AS m FROM events) GROUP BY ALL")
+def streaming_decay(spark, d):
+    """Decaying counts as events come: state is the weight and the time it holds for."""
+    e = _stream(spark, d).select("user_id", (F.unix_micros("ts") / 1_000_000).cast("double").alias("t"))
+    df = _drained(spark, feeds.actors(e, "user_id", _decay, "weight double, t double"), "update")
+    return df.groupBy("user_id").agg(F.round(F.max_by("weight", "t"), 6).alias("weight"))
+
+
+def _decay(state, rows, span: float = 3600.0):
+    last = max(state.get("t", float("-inf")), float(rows["t"].max()))
+    kept = state["weight"] * math.exp(-(last - state["t"]) / span) if state else 0.0
+    return {"weight": kept + float(np.exp(-(last - rows["t"]) / span).sum()), "t": last}

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,6 +23,13 @@ def shared_folder(spark: SparkSession) -> str:
     return top
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as a table in the shared folder: computed once, however often it is used after."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a table in the shared folder that nothing reads any more."""
     where, files = _files(spark, path)

@@ -67,10 +67,11 @@ def actors(df: DataFrame, key: str, step: Callable[[dict, pd.DataFrame], dict],
 def drain(df: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """Runs over all there is and ends; the rows are in tables under ``folder``, which all machines share.
 
-    A batch that is run again replaces its own table. In mode complete the last batch counts, else all do.
+    A batch that is run again replaces its own table; a later call with the same folder goes on where the last one
+    ended. In mode complete the last batch counts, else all do.
     """
     spark = df.sparkSession
-    spark.createDataFrame([], df.schema).write.parquet(f"{folder}/rows/batch=-1")
+    spark.createDataFrame([], df.schema).write.mode("overwrite").parquet(f"{folder}/rows/batch=-1")
     last = [-1]
 
     def keep(rows: DataFrame, number: int) -> None:
