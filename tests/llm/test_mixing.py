@@ -89,3 +89,19 @@ def test_mixed_repeats_rows(spark):
     assert out.columns == df.columns
     counts = {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()}
     assert max(v for k, v in counts.items() if k >= 5) <= 2 and max(counts.values()) <= 4
+
+
+def test_clashing_columns_stay(spark):
+    names = "rid copies size turn copy _k _n _s target source_size _block"
+    rows = [(i, "w " * (5 + i % 7), "abc"[i % 3], *range(11)) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names.split()))
+    got = mixing.mixed(df)
+    assert got.columns == df.columns
+    out = got.collect()
+    assert set(map(tuple, out)) <= set(rows) and 0 < len(out) <= 120
+
+
+def test_keys_of_any_type_and_size(spark):
+    rows = [(f"{i}-" + "k" * 3000, 5 + i % 7, "ab"[i % 2]) for i in range(300)]
+    got = mixing.copies(spark.createDataFrame(rows, "doc_id string, size long, source string")).collect()
+    assert sorted(r.doc_id for r in got) == sorted(r[0] for r in rows)
