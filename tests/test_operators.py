@@ -355,3 +355,12 @@ def test_shared_folder_is_asked_for_on_clusters(spark):
 
     with pytest.raises(ValueError):
         sources.shared_folder(Cluster)
+
+
+def test_sources_from_the_driver(spark):
+    frame = pd.DataFrame({"a": [1, 2, 3]}, index=[7, 8, 9])
+    df = sources.from_pandas(spark, frame, 2, index="k")
+    assert rows(df) == [(7, 1), (8, 2), (9, 3)] and df.rdd.getNumPartitions() == 2
+    assert rows(sources.from_dict(spark, {"x": [1, 2], "y": ["a", "b"]})) == [(1, "a"), (2, "b")]
+    assert rows(sources.from_sequence(spark, [3, None, 5], "long")) == [(3,), (5,), (None,)]
+    assert rows(sources.number_range(spark, 2, 9, 3, 2)) == [(2,), (5,), (8,)]

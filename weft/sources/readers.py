@@ -76,3 +76,25 @@ def write_state(df: DataFrame, path: str, exclude: Sequence[str] = ()) -> None:
 def read_state(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
     reader = spark.read.schema(schema) if schema else spark.read
     return reader.json(path)
+
+
+def from_pandas(spark: SparkSession, frame: pd.DataFrame, partitions: int | None = None, index: str | None = None) -> DataFrame:
+    """A frame that the driver holds; ``index`` names a column for its index."""
+    df = spark.createDataFrame(frame.rename_axis(index).reset_index() if index else frame)
+    return df.repartition(partitions) if partitions else df
+
+
+def from_dict(spark: SparkSession, columns: dict[str, Sequence], partitions: int | None = None) -> DataFrame:
+    """A frame from lists of equal length, by column name."""
+    return from_pandas(spark, pd.DataFrame(columns), partitions)
+
+
+def from_sequence(spark: SparkSession, values: Sequence, kind: str, partitions: int | None = None, name: str = "value") -> DataFrame:
+    """One row for each value that the driver holds."""
+    df = spark.createDataFrame([(v,) for v in values], f"{name} {kind}")
+    return df.repartition(partitions) if partitions else df
+
+
+def number_range(spark: SparkSession, start: int, stop: int, step: int = 1, partitions: int | None = None) -> DataFrame:
+    """Whole numbers from ``start`` on and before ``stop``, made where they are used."""
+    return spark.range(start, stop, step, partitions).withColumnRenamed("id", "value")
