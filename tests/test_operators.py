@@ -364,3 +364,12 @@ def test_sources_from_the_driver(spark):
     assert rows(sources.from_dict(spark, {"x": [1, 2], "y": ["a", "b"]})) == [(1, "a"), (2, "b")]
     assert rows(sources.from_sequence(spark, [3, None, 5], "long")) == [(3,), (5,), (None,)]
     assert rows(sources.number_range(spark, 2, 9, 3, 2)) == [(2,), (5,), (8,)]
+
+
+def test_split_groups_as_whole_ones(spark):
+    rng = np.random.default_rng(3)
+    left = spark.createDataFrame([(int(g), int(t), i) for i, (g, t) in enumerate(zip(rng.choice([0, 0, 0, 1, 2], 900), rng.integers(0, 3000, 900)))], "g int, t int, i int")
+    right = spark.createDataFrame([(g, t, float(g * 10_000 + t)) for g in (0, 1) for t in sorted(set(rng.integers(0, 3000, 60).tolist()))], "g int, t int, v double")
+    left, right = left.union(spark.createDataFrame([(None, 5, -1)], left.schema)).repartition(6), right.repartition(3)
+    assert rows(joins.asof(left, right, "t", ["g"], ["v"], split=True)) == rows(joins.asof(left, right, "t", ["g"], ["v"]))
+    assert rows(joins.nearest(left, right, "t", ["g"], "v", "n", split=True)) == rows(joins.nearest(left, right, "t", ["g"], "v", "n"))

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.operators.windows import nearby, ranged
+
 
 def merge(left: DataFrame, right: DataFrame, how: str = "inner", on: Sequence[str] | None = None, left_on: Sequence[str] | None = None, right_on: Sequence[str] | None = None, suffixes: tuple[str, str] = ("_x", "_y"), indicator: str | None = None, null_equal: bool = False, partitions: int | None = None) -> DataFrame:
     """Equi-join.
@@ -79,29 +81,40 @@ def anti(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
     return left.join(right, list(on), "left_anti")
 
 
-def asof(left: DataFrame, right: DataFrame, on: str, by: Sequence[str], values: Sequence[str], default: dict | None = None) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, on: str, by: Sequence[str], values: Sequence[str], default: dict | None = None, split: bool = False) -> DataFrame:
     """For each left row the values of the last right row of its group that is not later.
 
     Both sides run through one window over their union, right rows first where times are equal; of right rows of equal
-    time any one counts, so they should be unique. A group is one task's sort, which spills.
+    time any one counts, so they should be unique. A group is one task's sort, which spills; ``split`` is for
+    groups that hold a large share of all rows: it deals them to ranges of time, and writes the rows out once.
     """
     keys = list(by)
     cols = [c for c in left.columns if c not in keys and c != on]
     a = left.select(*keys, on, F.lit(1).alias("_side"), F.struct(*(cols or [F.lit(0).alias("_")])).alias("_row"), F.lit(None).alias("_value"))
     b = right.select(*keys, on, F.lit(0).alias("_side"), F.lit(None).alias("_row"), F.struct(*values).alias("_value"))
-    seen = Window.partitionBy(*keys).orderBy(on, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    df = a.unionByName(b).withColumn("_value", F.last("_value", ignorenulls=True).over(seen)).where("_side = 1")
+    if split:
+        df = nearby(ranged(a.unionByName(b), [*keys, on, "_side"]), "_value", keys, [on, "_side"], "_value").where("_side = 1")
+    else:
+        seen = Window.partitionBy(*keys).orderBy(on, "_side").rowsBetween(Window.unboundedPreceding, 0)
+        df = a.unionByName(b).withColumn("_value", F.last("_value", ignorenulls=True).over(seen)).where("_side = 1")
     return df.select(*keys, on, *(F.col(f"_row.{c}").alias(c) for c in cols), *(F.coalesce(F.col(f"_value.{v}"), F.lit((default or {}).get(v))).alias(v) for v in values))
 
 
-def nearest(left: DataFrame, right: DataFrame, on: str, by: Sequence[str], value: str, into: str) -> DataFrame:
-    """For each left row the value of the right row of its group whose ``on`` (a number) is nearest; ties go to the earlier."""
+def nearest(left: DataFrame, right: DataFrame, on: str, by: Sequence[str], value: str, into: str, split: bool = False) -> DataFrame:
+    """For each left row the value of the right row of its group whose ``on`` (a number) is nearest; ties go to the earlier.
+
+    ``split`` is as in ``asof``.
+    """
     keys = list(by)
     cols = [c for c in left.columns if c not in keys and c != on]
     a = left.select(*keys, on, F.lit(1).alias("_side"), F.struct(*(cols or [F.lit(0).alias("_")])).alias("_row"), F.lit(None).alias("_at"))
     b = right.select(*keys, on, F.lit(0).alias("_side"), F.lit(None).alias("_row"), F.struct(F.col(on).alias("t"), F.col(value).alias("v")).alias("_at"))
     w = Window.partitionBy(*keys).orderBy(on, "_side")
-    df = a.unionByName(b).withColumns({"_before": F.last("_at", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_after": F.first("_at", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))}).where("_side = 1")
+    if split:
+        df = ranged(a.unionByName(b), [*keys, on, "_side"])
+        df = nearby(nearby(df, "_at", keys, [on, "_side"], "_before"), "_at", keys, [on, "_side"], "_after", ahead=True).where("_side = 1")
+    else:
+        df = a.unionByName(b).withColumns({"_before": F.last("_at", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_after": F.first("_at", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))}).where("_side = 1")
     back, ahead = F.col(on) - F.col("_before.t"), F.col("_after.t") - F.col(on)
     pick = F.when(F.col("_after").isNull() | (back <= ahead), F.col("_before.v")).otherwise(F.col("_after.v"))
     return df.select(*keys, on, *(F.col(f"_row.{c}").alias(c) for c in cols), pick.alias(into))

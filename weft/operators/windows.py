@@ -38,6 +38,27 @@ def cumulative_sum(df: DataFrame, value: str, order: Sequence[str], by: Sequence
     return cut.join(before, "_part").withColumn(into, upto(Window.partitionBy("_part")) + F.col("_before")).drop("_part", "_before")
 
 
+def nearby(parts: DataFrame, value: str, by: Sequence[str], order: Sequence[str], into: str, ahead: bool = False) -> DataFrame:
+    """The last value that isn't null at or before a row of its group, or with ``ahead`` the first at or after it.
+
+    ``parts`` comes from ``ranged`` over ``by`` and ``order``: a group may lie in many of them, so none is ever one
+    task. A part takes over from the one next to it what that has, or has taken over, for the group they share.
+    """
+    key, at = F.struct(*by), F.struct(*order)
+    some, edge = (F.min_by, F.min) if ahead else (F.max_by, F.max)
+    side = Window.orderBy(F.desc("_part") if ahead else "_part")  # over one row for each part
+    ends = parts.groupBy("_part").agg(edge(key).alias("_key"))
+    of = parts.join(F.broadcast(ends), (parts["_part"] == ends["_part"]) & key.eqNullSafe(F.col("_key"))).drop(ends["_part"])
+    ends = of.groupBy("_part", "_key").agg(some(value, F.when(F.col(value).isNotNull(), at)).alias("_v"))
+    kept = F.last("_v", ignorenulls=True).over(Window.partitionBy("_key").orderBy(F.desc("_part") if ahead else "_part").rowsBetween(Window.unboundedPreceding, 0))
+    taken = ends.select("_part", F.struct(F.col("_key").alias("k"), kept.alias("v")).alias("_end"))
+    taken = taken.select(F.col("_part").alias("_p"), F.lag("_end").over(side).alias("_over"))
+    w = Window.partitionBy("_part", *by).orderBy(*order)
+    inside = F.first(value, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)) if ahead else F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    joined = parts.join(F.broadcast(taken), parts["_part"] == taken["_p"])
+    return joined.withColumn(into, F.coalesce(inside, F.when(key.eqNullSafe(F.col("_over.k")), F.col("_over.v")))).drop("_p", "_over")
+
+
 def rolling_mean(df: DataFrame, value: str, order: Sequence[str], by: Sequence[str], width: int, into: str) -> DataFrame:
     """Mean of the last ``width`` rows; null until there are so many values."""
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(-(width - 1), 0)

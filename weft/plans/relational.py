@@ -246,6 +246,27 @@ def asof_backward(spark, d):
     return joins.asof(e.where("event_type <> 'error'").select("event_id", "user_id", "ts"), r, "ts", ["user_id"], ["err"], {"err": -1.0})
 
 
+@query("SELECT e.event_id, e.odd, e.ts, coalesce(r.err, -1) AS err FROM (SELECT event_id, user_id % 2 AS odd, ts FROM events WHERE event_type <> 'error') e ASOF LEFT JOIN (SELECT user_id % 2 AS odd, ts, max(value) AS err FROM events WHERE event_type = 'error' GROUP BY ALL) r ON e.odd = r.odd AND e.ts >= r.ts")
+def asof_hot_keys(spark, d):
+    """Two groups hold all rows; they are dealt to ranges of time."""
+    e = table(spark, d, "events").withColumn("odd", F.col("user_id") % 2)
+    r = e.where("event_type = 'error'").groupBy("odd", "ts").agg(F.max("value").alias("err"))
+    return joins.asof(e.where("event_type <> 'error'").select("event_id", "odd", "ts"), r, "ts", ["odd"], ["err"], {"err": -1.0}, split=True)
+
+
+_NEAREST = """WITH e AS (SELECT event_id, user_id, epoch_us(ts) AS t FROM events WHERE event_type <> 'error'), r AS (SELECT user_id, epoch_us(ts) AS t, max(value) AS err FROM events WHERE event_type = 'error' GROUP BY ALL),
+b AS (SELECT e.*, r.t AS bt, r.err AS bv FROM e ASOF LEFT JOIN r ON e.user_id = r.user_id AND e.t >= r.t),
+c AS (SELECT b.*, r.t AS ct, r.err AS cv FROM b ASOF LEFT JOIN r ON b.user_id = r.user_id AND b.t <= r.t)
+SELECT event_id, user_id, t, CASE WHEN ct IS NULL OR t - bt <= ct - t THEN bv ELSE cv END AS err FROM c"""
+
+
+@query(_NEAREST)
+def nearest_hot_keys(spark, d):
+    e = table(spark, d, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
+    r = e.where("event_type = 'error'").groupBy("user_id", "t").agg(F.max("value").alias("v"))
+    return joins.nearest(e.where("event_type <> 'error'").select("event_id", "user_id", "t"), r, "t", ["user_id"], "v", "err", split=True)
+
+
 @query(f"""WITH e AS (SELECT event_id, user_id, epoch_us(ts) AS t FROM events WHERE event_type <> 'error'), r AS (SELECT user_id, epoch_us(ts) AS t, err FROM {_ERRORS}),
 b AS (SELECT e.*, r.t AS bt, r.err AS bv FROM e ASOF LEFT JOIN r ON e.user_id = r.user_id AND e.t >= r.t),
 c AS (SELECT b.*, r.t AS ct, r.err AS cv FROM b ASOF LEFT JOIN r ON b.user_id = r.user_id AND b.t <= r.t)
