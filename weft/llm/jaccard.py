@@ -147,24 +147,49 @@ def _sides(lo: int, hi: int, i: np.ndarray, j: np.ndarray, b: np.ndarray) -> tup
     return (np.arange(lo, hi),) * 2 if i[lo] == j[lo] else (lo + np.flatnonzero(b[lo:hi] == i[lo]), lo + np.flatnonzero(b[lo:hi] == j[lo]))
 
 
+def _own_nodes(sig: np.ndarray, depth: np.ndarray) -> np.ndarray:
+    """Fingerprint of the node that each member looks up in each tree; where two members' agree, they meet in that tree."""
+    values = sig.reshape(-1, TREES, DEPTH).astype(np.uint64)
+    path, own = np.zeros((len(sig), TREES), np.uint64), np.zeros((len(sig), TREES), np.uint64)
+    for j in range(DEPTH):
+        path = mix(path * STEP + values[:, :, j] + U(j + 1))
+        own = np.where(depth == j + 1, path, own)
+    return own
+
+
+def _agree(sig: np.ndarray, own: np.ndarray, left: np.ndarray, right: np.ndarray, tree: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs whose signatures agree enough, without such as look up the same node of one of the first trees before."""
+    step = max(1, (1 << 20) // max(1, len(right)))
+    for a in range(0, len(left), step):
+        row = left[a : a + step]
+        open_ = row[:, None] != right[None]
+        for e in range(min(tree, 6)):
+            open_ &= own[row, e][:, None] != own[right, e][None]
+        if open_.mean() > 0.25:
+            few = max(1, (1 << 21) // max(1, len(right) * TREES * DEPTH))
+            for b in range(0, len(row), few):
+                part = row[b : b + few]
+                x, y = np.nonzero(((sig[part][:, None] == sig[right][None]).sum(2, dtype=np.int32) >= AGREE) & open_[b : b + few])
+                yield part[x], right[y]
+        else:
+            x, y = np.nonzero(open_)
+            for b in range(0, len(x), 1 << 14):
+                i, j = row[x[b : b + (1 << 14)]], right[y[b : b + (1 << 14)]]
+                fine = (sig[i] == sig[j]).sum(1, dtype=np.int32) >= AGREE
+                yield i[fine], j[fine]
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Members of groups (node and pair of blocks) that have a promising partner in them."""
     names = ["g", "i", "j", "b", "t", "k", "class"]
     for batch in grouped(batches, "g"):
         g, i, j, b, t, k = (batch.column(c).to_numpy(zero_copy_only=False) for c in names[:-1])
         sig, depth = _array(batch.column("sig"), np.uint16, TREES * DEPTH), _array(batch.column("depth"), np.uint8, TREES)
-        hit = np.zeros(len(g), bool)
+        own, hit = _own_nodes(sig, depth), np.zeros(len(g), bool)
         for lo, hi in _runs(g):
             if hi - lo < 2:
                 continue
-            left, right = _sides(lo, hi, i, j, b)
-            step = max(1, (1 << 21) // max(1, len(right) * TREES * DEPTH))
-            for a in range(0, len(left), step):
-                row = left[a : a + step]
-                agree = (sig[row][:, None] == sig[right][None]).sum(2, dtype=np.int32) >= AGREE
-                agree &= row[:, None] != right[None]
-                x, y = np.nonzero(agree)
-                x, y = row[x], right[y]
+            for x, y in _agree(sig, own, *_sides(lo, hi, i, j, b), int(t[lo])):
                 if len(x):
                     tree, prefix = _first_tree(sig[x], sig[y], depth[x], depth[y])
                     here = (tree == t[lo]) & (prefix == k[lo])
