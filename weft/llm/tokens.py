@@ -25,8 +25,8 @@ from weft.llm.common import U, append, mix, table, utf8
 CHUNK, CELLS = 48, 1 << 21
 #: The worker's transitions are dropped and compiled anew beyond this many (about 100 MB).
 MOST_TRANSITIONS = 2_000_000
-#: Texts are worked on in blocks of about this many bytes.
-BLOCK = 2 << 20
+#: Texts are worked on in blocks of about this many bytes, words of about this many characters.
+BLOCK, SPAN = 2 << 20, 1 << 20
 SPACE = "▁"
 
 
@@ -216,8 +216,19 @@ class Transducer:
         first[at[:-1][np.diff(at) > 0]] = True
         words = np.flatnonzero(first)
         size = np.diff(words, append=len(codes))
+        ends, tokens, a = np.cumsum(size), np.zeros(len(words) + 1, np.int64), 0
+        while a < len(words):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SPAN, "right")))
+            tokens[a + 1 : b + 1] = self._words(codes, words[a:b], size[a:b])
+            a = b
+        upto, edge = np.cumsum(tokens), np.searchsorted(words, at)
+        return upto[edge[1:]] - upto[edge[:-1]]
+
+    def _words(self, codes: np.ndarray, words: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Tokens of each word."""
         pieces = -(-size // CHUNK)
-        k = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        head = np.cumsum(pieces) - pieces
+        k = np.arange(pieces.sum()) - np.repeat(head, pieces)
         start = np.repeat(words, pieces) + k * CHUNK
         length = np.minimum(np.repeat(words + size, pieces) - start, CHUNK)
         long_ = np.repeat(pieces > 1, pieces)
@@ -225,9 +236,7 @@ class Transducer:
         count[~long_] = self._run(codes, start[~long_], length[~long_], np.zeros(int((~long_).sum()), np.int64))[1]
         if long_.any():
             count[long_] = self._long(codes, start[long_], length[long_], k[long_] == 0)
-        upto = np.concatenate([[0], np.cumsum(count)])
-        ends = np.searchsorted(start, at)
-        return upto[ends[1:]] - upto[ends[:-1]]
+        return np.add.reduceat(count, head)
 
 
 def _entries(place: np.ndarray) -> np.ndarray:
@@ -272,7 +281,7 @@ def token_counts(texts: list[str | None], path: str, begin: bool = True) -> np.n
     counter = pieces(path)
     whole = [_normal(t or "") if begin else (t or "").replace(" ", SPACE) for t in texts]
     at = np.concatenate([[0], np.cumsum([len(t) for t in whole])]).astype(np.int64)
-    return counter.counts(np.frombuffer("".join(whole).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64), at)
+    return counter.counts(np.frombuffer("".join(whole).encode("utf-32-le", "surrogatepass"), np.uint32).view(np.int32), at)
 
 
 def default_model() -> str:
