@@ -14,6 +14,11 @@ def words(text: Column) -> Column:
     return F.split(text, "\\s+")
 
 
+def truncate(text: Column, most: int) -> Column:
+    """The first characters."""
+    return F.substring(text, 1, most)
+
+
 def flatten_lists(nested: Column, depth: int = 1) -> Column:
     """Lists of lists as one list, so many levels down."""
     for _ in range(depth):

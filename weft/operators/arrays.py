@@ -135,6 +135,23 @@ def rechunk_nd(blocks: DataFrame, old: Sequence[Sequence[int]], new: Sequence[Se
     return parts.groupBy("index").applyInPandas(join, "index array<int>, shape array<int>, data array<double>")
 
 
+def blockwise(operands: Sequence[DataFrame], function: Callable[..., np.ndarray]) -> DataFrame:
+    """Blocks ``bi bj shape data`` of ``function`` of the blocks that lie at the same place in each array."""
+    df, names = operands[0].select("bi", "bj", "shape", F.col("data").alias("d0")), [f"d{k}" for k in range(len(operands))]
+    for k, other in enumerate(operands[1:], 1):
+        df = df.join(other.select("bi", "bj", F.col("data").alias(f"d{k}")), ["bi", "bj"])
+
+    def apply(frames):
+        for frame in frames:
+            out = []
+            for bi, bj, shape, *data in zip(frame.bi, frame.bj, frame["shape"], *(frame[c] for c in names), strict=True):
+                made = function(*(np.asarray(x).reshape(tuple(shape)) for x in data))
+                out.append((bi, bj, list(made.shape), made.ravel()))
+            yield pd.DataFrame(out, columns=["bi", "bj", "shape", "data"])
+
+    return df.mapInPandas(apply, "bi int, bj int, shape array<int>, data array<double>")
+
+
 def rechunk(blocks: DataFrame, old: tuple[Sequence[int], Sequence[int]], new: tuple[Sequence[int], Sequence[int]]) -> DataFrame:
     """Blocks ``bi bj shape data`` of another grid."""
     made = rechunk_nd(blocks.select(F.array("bi", "bj").alias("index"), "shape", "data"), old, new)
