@@ -106,9 +106,11 @@ def test_crowded_anchor_is_no_single_group(monkeypatch):
     monkeypatch.setattr(repeats, "in_order", lambda text, *a: most.append(len(text)) or index(text, *a))
     sent = deal(repeats._send(4)(iter([texts])), "bucket")
     again = deal((b for x in sent for b in repeats._again(4, repeats.CROWD)(iter(x))), "bucket")
-    items = {r: i for x in again for b in repeats._gather(iter(x)) for r, i in zip(*(b.column(c).to_pylist() for c in ("rid", "items")), strict=True)}
-    hot = np.sort(np.frombuffer(items.pop(repeats.ALL), np.uint64))
+    answers = [(r, i) for x in again for b in repeats._gather(iter(x)) for r, i in zip(*(b.column(c).to_pylist() for c in ("rid", "items")), strict=True)]
+    hot = np.concatenate([np.frombuffer(i, np.uint64) for r, i in answers if r == repeats.ALL])
+    items = {r: i for r, i in answers if r != repeats.ALL}
     assert len(hot)
+    hot = repeats.Crowd.of(hot)
     some = texts.append_column("items", pa.array([items.get(i, b"") for i, _ in rows], pa.binary()))
     met = deal(repeats._stretches(4, hot)(iter([some])), "bucket")
     gone = [b for x in met for b in repeats._first(4)(iter(x))]
@@ -164,3 +166,14 @@ def test_fingerprints_of_spans_are_those_of_their_bytes():
     every = whole.every(32)
     assert len(every) == len(data) - 31 and all(every[a] == Spans(data[a : a + 32].copy()).every(32)[0] for a in (0, 4095, 262_143, 262_144, len(every) - 1))
     assert len(Spans(data[:10]).every(32)) == 0 and Spans(data[:0]).sums.tolist() == [0]
+
+
+def test_map_of_crowded_anchors(monkeypatch):
+    rng = np.random.default_rng(2)
+    h = rng.integers(0, 1 << 63, 5000).astype(np.uint64)
+    crowd = repeats.Crowd.of(h[:2500])
+    assert crowd.has(h[:2500]).all() and crowd.has(h[2500:]).mean() < 0.01
+    assert not repeats.Crowd.of(h[:0]).has(h).any()
+    monkeypatch.setattr(repeats, "WORDS", 4)  # many anchors share a bit: more are dealt by window, none is missed
+    small = repeats.Crowd.of(h[:2500])
+    assert len(small.words) == 4 and small.has(h[:2500]).all()

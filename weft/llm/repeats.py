@@ -36,8 +36,48 @@ BLOCK, PIECE, HELD = 1 << 17, 1 << 19, 1 << 19
 BUCKET = 8 << 20
 LAST = np.iinfo(np.int64).max
 #: The lowest bits of an anchor's fingerprint hold its count, as a power of two. Anchors above ``CROWD`` are dealt by
-#: window; the list of them is sent as the answer to row ``ALL``.
+#: window; they are sent as answers to row ``ALL``.
 COUNT, BITS, CROWD, ALL = U(31), U(5), 2048, np.iinfo(np.int64).min
+#: Words of the map of crowded anchors.
+WORDS = 1 << 20
+
+
+class Crowd:
+    """A map with a bit for each of 64 * ``WORDS`` anchors; only words that have one are held.
+
+    Some anchors share a bit with a crowded one and are dealt by window as well, which every task sees alike: that is
+    right for any anchor. So the map has at most 16 bytes for each of its words, however many anchors are crowded.
+    """
+
+    def __init__(self, words: np.ndarray, masks: np.ndarray):
+        order = np.argsort(words)
+        self.words, self.masks = words[order], masks[order].astype(np.uint64)
+
+    @staticmethod
+    def bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Word and mask of each anchor."""
+        x = mix(h)
+        return (x % U(WORDS)).astype(np.int64), U(1) << (x >> U(58))
+
+    @classmethod
+    def of(cls, h: np.ndarray) -> Crowd:
+        word, mask = cls.bits(h)
+        order = np.argsort(word, kind="stable")
+        begin, _ = _split(word[order])
+        return cls(word[order][begin], np.bitwise_or.reduceat(mask[order], begin) if len(begin) else mask)
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        word, mask = self.bits(h)
+        k = np.minimum(np.searchsorted(self.words, word), max(0, len(self.words) - 1))
+        return (self.words[k] == word) & ((self.masks[k] & mask) != 0) if len(self.words) else np.zeros(len(h), bool)
+
+
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of the map for lists of crowded anchors."""
+    for batch in batches:
+        for items in batch.column("items").to_pylist():
+            some = Crowd.of(np.frombuffer(items, np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(some.words), pa.array(some.masks.view(np.int64))], ["word", "mask"])
 
 
 def _slide(x: np.ndarray, k: int, pick: np.ufunc) -> np.ndarray:
@@ -158,8 +198,14 @@ def _deal(rid: np.ndarray, items: np.ndarray, buckets: int) -> pa.RecordBatch:
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All items of each row of a bucket."""
-    got = [(np.frombuffer(r, np.int64), np.frombuffer(i, np.uint64)) for b in batches for r, i in zip(b.column("rids").to_pylist(), b.column("items").to_pylist(), strict=True)]
+    """All items of each row of a bucket; those without a row go on, each record by itself, as items of row ``ALL``."""
+    got = []
+    for b in batches:
+        for r, i in zip(b.column("rids").to_pylist(), b.column("items").to_pylist(), strict=True):
+            if r:
+                got.append((np.frombuffer(r, np.int64), np.frombuffer(i, np.uint64)))
+            else:
+                yield pa.RecordBatch.from_arrays([pa.array([ALL]), pa.array([i], pa.binary())], ["rid", "items"])
     if got:
         rid, items = (np.concatenate(x) for x in zip(*got, strict=True))
         order = np.argsort(rid, kind="stable")
@@ -169,7 +215,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _again(buckets: int, crowd: int):
-    """Rows and those of their anchors that occur more than once; row ``ALL`` and those that occur above ``crowd`` times."""
+    """Rows and those of their anchors that occur more than once; without a row, those that occur above ``crowd`` times."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         singles = []
@@ -191,7 +237,7 @@ def _again(buckets: int, crowd: int):
                 yield _deal(rid[keep], h[keep] & ~COUNT, buckets)
             # a count is known to less than twice its power of two
             if len(hot := h[begin][2 * np.add.reduceat(U(1) << (h & COUNT), begin) > crowd] & ~COUNT):
-                yield _deal(np.full(len(hot), ALL), hot, buckets)
+                yield pa.RecordBatch.from_arrays([pa.array([int(hot[0] >> BITS) % buckets], pa.int32()), pa.array([b""], pa.binary()), pa.array([hot.tobytes()], pa.binary())], ["bucket", "rids", "items"])
 
     return work
 
@@ -226,12 +272,12 @@ def _runs(rid: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return rid[a], start[a], start[b] - start[a] + np.int32(LENGTH)
 
 
-def _stretches(buckets: int, hot: np.ndarray):
+def _stretches(buckets: int, crowd: Crowd):
     """Stretches of windows around repeated anchors, as records by bucket.
 
     Equal stretches that one sender has are sent once, for the earliest; the windows of the others are known to be
     repeated, unless they belong to another row of the same least document, and go as kind 1. Stretches of the anchors
-    in ``hot``, which is sorted, go as kind 2: window by window, with fingerprints for text, by anchor and fingerprint.
+    in ``crowd`` go as kind 2: window by window, with fingerprints for text, by anchor and fingerprint.
     """
 
     def flush(parts: list[tuple], turn: int) -> pa.RecordBatch | None:
@@ -245,7 +291,7 @@ def _stretches(buckets: int, hot: np.ndarray):
         if len(drop):
             d = drop[np.lexsort((first[drop], rid[drop]))]
             rows.append((turn % buckets, 1, h[:0], doc[:0], rid[d], first[d], size[d], b""))
-        crowded = np.isin(h[keep], hot)
+        crowded = crowd.has(h[keep])
         keep, i = keep[~crowded], keep[crowded]
         if len(i):
             n = size[i].astype(np.int64) - LENGTH + 1
@@ -430,7 +476,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", int
     each looks back at itself and at all smaller keys. Null texts are empty; shorter texts than ``LENGTH`` lose
     nothing; texts of any length are worked on whole. An empty table stays empty; other columns stay, unless one is
     named as an added one. Of equal texts only the first goes on; the others are removed whole. Anchors that occur
-    above ``crowd`` times (counted within a factor of two) are dealt by window; the list of them, 8 bytes each, passes
+    above ``crowd`` times (counted within a factor of two) are dealt by window; a map of them, of 16 MB at most, passes
     through the driver.
     """
     added = ("n_bytes", "n_removed", "n_spans", into)
@@ -444,14 +490,14 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", int
     copied = cut(narrow.join(firsts, "_sha").filter("_order > _first").select("rid"))
     rows = docs.select(*(v.alias(k) for k, v in marks.items()), F.col(text).alias("_text")).filter(F.octet_length("_text") >= LENGTH)
     sent = rows.select("rid", "_text").mapInArrow(_send(n), "bucket int, kind int, rids binary, hashes binary")
-    again = sent.repartition(n, "bucket").drop("bucket").mapInArrow(_again(n, crowd), answers).repartition(n, "bucket").mapInArrow(_gather, "rid bigint, items binary")
+    again = sent.repartitionById(n, F.col("bucket")).drop("bucket").mapInArrow(_again(n, crowd), answers).repartitionById(n, F.col("bucket")).mapInArrow(_gather, "rid bigint, items binary")
     again = cut(again.join(copied, "rid", "left_anti"))
-    hot = again.filter(F.col("rid") == ALL).select("items").collect()
-    hot = np.sort(np.frombuffer(b"".join(r["items"] for r in hot), np.uint64))
+    hot = again.filter(F.col("rid") == ALL).select("items").mapInArrow(_bits, "word bigint, mask bigint").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    hot = Crowd(hot.column("word").to_numpy(), hot.column("mask").to_numpy().view(np.uint64))
     # both uses of ``some`` take all its columns, so that its exchange of texts is made once
     some = rows.join(again, "rid")
     met = some.mapInArrow(_stretches(n, hot), "bucket int, kind int, hashes binary, docs binary, rids binary, firsts binary, sizes binary, text binary")
-    gone = met.repartition(n, "bucket").mapInArrow(_first(n), answers).repartition(n, "bucket").mapInArrow(_gather, "rid bigint, items binary").withColumnRenamed("items", "runs")
+    gone = met.repartitionById(n, F.col("bucket")).mapInArrow(_first(n), answers).repartitionById(n, F.col("bucket")).mapInArrow(_gather, "rid bigint, items binary").withColumnRenamed("items", "runs")
 
     def work(batch: pa.RecordBatch) -> list[pa.Array]:
         out = []
