@@ -52,6 +52,8 @@ ITEMS = LISTS | SIBLINGS.keys()
 KEEP_WHOLE = frozenset("html body article main".split())
 #: Parts of a page by their tag: boxes of their own even without a class.
 SECTIONS = frozenset("nav header footer aside form menu dialog".split())
+#: Those of them that nothing is wrapped in but what belongs to them.
+WHOLE = SECTIONS - {"form"}
 #: Boxes that may be deleted inside an article, the second kind only if they have a class, id or role.
 BOXES, NAMED_BOXES = SECTIONS | {"details", "fieldset"}, frozenset("div section figure center ul ol dl table".split())
 #: Elements whose content may be a template: blocks, but no cells or rows of a table, whose values recur.
@@ -202,7 +204,7 @@ class Page:
         salt = xxhash.xxh64_intdigest(host.encode("utf-8", "replace"))
         content, shape = [b""] * n, [b""] * n
         linked, loose = np.zeros(n, bool), np.zeros(n, bool)  # has links; has text outside links
-        contents, shapes, alone = {}, {}, self._alone()
+        contents, shapes, alone, whole = {}, {}, self._alone(), np.zeros(n, bool)
         for k in range(n - 1, 0, -1):  # children before their parents
             tag, attrs = self.tag[k], self.attrs[k]
             said, kinds, words = [], {}, False
@@ -224,9 +226,12 @@ class Page:
                 continue
             if self._box(k, bool(names)) if inside[k] else tag in BLOCKS or k in alone:
                 contents[k] = int.from_bytes(content[k], "big", signed=True)
-            if not inside[k] and (tag in SECTIONS or names or (tag in LISTS and linked[k] and not loose[k])):
+            links = tag in LISTS and linked[k] and not loose[k]
+            if not inside[k] and (tag in SECTIONS or names or links):
                 shapes[k] = int.from_bytes(shape[k], "big", signed=True)
-        return contents, shapes
+                whole[k] = links or tag in WHOLE
+        under = self._below(whole)  # a menu goes as a whole or not at all: its items needn't be counted
+        return tuple({k: h for k, h in some.items() if not under[self.parent[k]]} for some in (contents, shapes))
 
     def _box(self, k: int, named: bool) -> bool:
         return self.tag[k] in BOXES or named and self.tag[k] in NAMED_BOXES
