@@ -158,7 +158,7 @@ class Spans:
     BASE = 0x9E3779B97F4A7C15 | 1
     BACK = pow(BASE, -1, 1 << 64)
     BYTE = mix(np.arange(1, 257, dtype=np.uint64) * U(0xD1342543DE82EF95))
-    W = 4096
+    W = 1 << 12
     LOW, ILOW = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(4095, b, np.uint64)]), dtype=np.uint64) for b in (BASE, BACK))
     #: Bytes worked on at once.
     BLOCK = 1 << 18
@@ -179,7 +179,7 @@ class Spans:
         return (high[k : -(-b // self.W), None] * low).reshape(-1)[: b - a]
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        back = self.ihigh[start // self.W] * self.ILOW[start % self.W]
+        back = self.ihigh[start >> 12] * self.ILOW[start & 4095]
         return mix((self.sums[end] - self.sums[start]) * back + (end - start).astype(np.uint64))
 
     def every(self, k: int) -> np.ndarray:
