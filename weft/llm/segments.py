@@ -32,7 +32,7 @@ from weft.llm.tokens import SPACE, default_model
 SAMPLES, SHARPNESS = 2, 1.0
 #: Longer words are cut into parts of at least so many characters.
 LONG = 64
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 _WORD = regex.compile(f"{SPACE}+[^{SPACE}]*")
 
 
@@ -124,8 +124,8 @@ def split_words(text: str) -> list[str]:
 class Lattice:
     """Of distinct words: nodes are places in words, edges are sorted by the node they leave. It grows by new words."""
 
-    #: A worker's lattice is dropped and begun anew beyond so many words (about 120 MB).
-    MOST = 150_000
+    #: A worker's lattice is dropped and begun anew beyond so many words (about 65 MB).
+    MOST = 80_000
 
     def __init__(self, v: Vocabulary):
         self.v = v
