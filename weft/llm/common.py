@@ -32,11 +32,11 @@ def cut(df: DataFrame) -> DataFrame:
     return written(df)[0]
 
 
-def written(df: DataFrame) -> tuple[DataFrame, str]:
-    """As ``cut``, with the path, for tables that are removed as soon as later ones replace them."""
+def written(df: DataFrame, files: int | None = None) -> tuple[DataFrame, str]:
+    """As ``cut``, with the path, for tables that are removed as soon as later ones replace them; in so many files at most."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    (df.coalesce(files) if files else df).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -36,7 +36,7 @@ TREES, SHORTEST, DEPTH, RECALL = 16, 3, 6, 0.9997
 AGREE = int(TREES * DEPTH * LEAST[0] / LEAST[1] - 6 * (TREES * DEPTH * LEAST[0] / LEAST[1] * (1 - LEAST[0] / LEAST[1])) ** 0.5)
 #: Members of a node are compared in blocks of so many and of sets of so many bytes, each pair of blocks a group.
 MEMBERS, SET_BYTES = 2048, 16 << 20
-BLOCK = 1 << 20
+BLOCK, EDGES = 1 << 20, 100_000
 STEP = U(0xD1342543DE82EF95)
 SALTS = mix(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15)) | U(1)
 
@@ -266,9 +266,11 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node`` and ``root``, the least node it hangs together with, for all nodes of the edges.
 
-    Alternates large-star and small-star steps, each two aggregations; stars are written out after each round.
+    Alternates large-star and small-star steps, each two aggregations; stars are written out after each round, in files
+    of about ``EDGES`` rows.
     """
-    e, path = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v").distinct())
+    files = edges.count() // EDGES + 1
+    e, path = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v").distinct(), files)
     before = None
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -276,7 +278,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.filter("m < u")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        e, new = written(small.filter("u != v").distinct())
+        e, new = written(small.filter("u != v").distinct(), files)
         remove(e.sparkSession, path)
         path = new
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -316,7 +318,7 @@ def _linked(docs: DataFrame, key: str, text: str) -> DataFrame:
     # nodes at the shortest prefix that have company; only paths through them go deeper
     paths = paths.withColumn("node", _node(F.col("t"), F.lit(SHORTEST), F.col("path")))
     company = paths.groupBy("node").agg(F.count("*").alias("m")).filter("m > 1")
-    paths = cut(paths.join(company, "node").select("class", "n", "t", "path"))
+    paths = paths.join(company, "node").select("class", "n", "t", "path")
     deep = F.explode(F.transform(F.sequence(F.lit(SHORTEST), F.lit(DEPTH)), lambda k: F.struct(k.alias("k"), _node(F.col("t"), k, F.col("path")).alias("node"))))
     nodes = paths.select("class", "n", "t", deep.alias("w")).select("class", "n", "t", "w.k", "w.node")
     crowd = nodes.groupBy("node").agg(F.count("*").alias("m"), F.sum("n").alias("all")).filter("m > 1")
