@@ -3,8 +3,10 @@
 import time
 from datetime import datetime, timedelta
 
+import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +15,7 @@ from weft import sources
 from weft.functions import scalar, user
 from weft.futures import Client, as_completed, wait
 from weft.operators import aggregates, arrays, exchange, frames, intervals, joins, telemetry, windows
+from weft.plans import QUERIES, SQL
 from weft.streaming import feeds
 
 
@@ -373,3 +376,59 @@ def test_split_groups_as_whole_ones(spark):
     left, right = left.union(spark.createDataFrame([(None, 5, -1)], left.schema)).repartition(6), right.repartition(3)
     assert rows(joins.asof(left, right, "t", ["g"], ["v"], split=True)) == rows(joins.asof(left, right, "t", ["g"], ["v"]))
     assert rows(joins.nearest(left, right, "t", ["g"], "v", "n", split=True)) == rows(joins.nearest(left, right, "t", ["g"], "v", "n"))
+
+
+def test_many_groups_in_one_call(spark):
+    made = [(k % 50 if k % 11 else None, float("nan") if k % 7 == 0 else -0.0 if k % 2 else 0.0) for k in range(400)]
+    df = spark.createDataFrame(made, "k long, x double")
+
+    def calls(part: pa.Table) -> pa.Table:
+        g = part.group_by(["k"], use_threads=False).aggregate([([], "count_all")])
+        return pa.table({"k": g["k"], "n": g["count_all"], "groups": pa.array([len(g)] * len(g))})
+
+    got = user.by_groups(df, ["k"], calls, "k long, n long, groups long").collect()
+    want = pd.Series([m[0] for m in made]).value_counts(dropna=False)
+    assert len(got) == len(want) == 51 and {(r.k, r.n) for r in got} == {(None if np.isnan(k) else int(k), n) for k, n in want.items()}
+    assert max(r.groups for r in got) > 5
+    # batches of three rows cut no group, whatever its keys hold
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        ends = user.by_groups(df, ["k", "x"], lambda part: pa.table({"n": [len(part)], "k": part["k"][:1]}), "n long, k long").collect()
+        assert sum(r.n for r in ends) == 400 and len(ends) <= 153 and max(r.n for r in ends) > 3
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert user.by_groups(df.limit(0), ["k"], calls, "k long, n long, groups long").collect() == []
+
+
+def test_many_keys_in_one_call(spark):
+    a = spark.createDataFrame([(k // 3, f"a{k}") for k in range(300)] + [(None, "x")], "k long, v string")
+    b = spark.createDataFrame([(k, k) for k in range(90, 150)] + [(None, 7)], "k long, v long")
+
+    def calls(x: pa.Table, y: pa.Table) -> pa.Table:
+        assert x.column_names == y.column_names == ["k", "v"] and set(map(str, x["v"].to_pylist())) <= {f"a{k}" for k in range(300)} | {"x"}
+        return pa.table({"n": [len(x)], "m": [len(y)], "v": pa.array([sum(y["v"].to_pylist())], pa.int64())})
+
+    got = joins.cogroups(a, b, ["k"], calls, "n long, m long, v long").collect()
+    assert (sum(r.n for r in got), sum(r.m for r in got), sum(r.v for r in got)) == (301, 61, sum(range(90, 150)) + 7)
+    assert len(got) <= 8  # two calls a task
+
+
+def _tables(spark, folder):
+    """Keys of which some are null; values of which one is NaN and one null."""
+    key = "CASE WHEN id % 100 > 0 THEN id % 2000 END"
+    spark.range(3000).selectExpr("id AS event_id", "timestamp_ntz'2024-01-01 00:00:00' AS ts", f"{key} AS user_id", "CASE WHEN id % 7 > 0 THEN 'view' END AS event_type", "CASE id WHEN 1 THEN CAST('NaN' AS double) WHEN 2002 THEN NULL ELSE double(id) END AS value", "'{}' AS props").write.parquet(f"{folder}/events.parquet")
+    spark.range(3000).selectExpr("id AS o_orderkey", f"{key} AS o_custkey").write.parquet(f"{folder}/orders.parquet")
+    spark.range(3000).selectExpr(f"{key} AS c_custkey").write.parquet(f"{folder}/customer.parquet")
+
+
+@pytest.mark.parametrize("name", ["cogroup_counts"])
+def test_group_queries_on_null_keys(spark, tmp_path, name):
+    _tables(spark, tmp_path)
+    con = duckdb.connect()
+    for t in ("events", "orders", "customer"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    df = QUERIES[name](spark, str(tmp_path))
+    found = con.execute(SQL[name])
+    names = [c[0] for c in found.description]
+    assert sorted(map(str, map(tuple, df.select(*names).collect()))) == sorted(map(str, found.fetchall()))
+    assert "FlatMap" not in df._jdf.queryExecution().toString()  # one call for each group

@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.functions import user
 from weft.operators.windows import nearby, ranged
 
 
@@ -69,8 +72,29 @@ def join(left: DataFrame, others: Sequence[DataFrame], index: str, how: str = "l
 
 
 def cogroup(left: DataFrame, right: DataFrame, on: Sequence[str], function: Callable, schema: str) -> DataFrame:
-    """``function(rows of left, rows of right)`` for each key of either side; a key's rows have to fit in a task."""
-    return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(function, schema)
+    """``function(rows of left, rows of right)`` for each key of either side; a key's rows have to fit in a task.
+
+    A call costs some milliseconds, whatever the number of rows: many small groups are for ``cogroups``.
+    """
+    return user.dealt(left, on).groupBy(*on).cogroup(user.dealt(right, on).groupBy(*on)).applyInPandas(function, schema)
+
+
+def cogroups(left: DataFrame, right: DataFrame, on: Sequence[str], function: Callable, schema: str) -> DataFrame:
+    """As ``cogroup``, but the function gets all rows of many keys at once: two Arrow tables, sorted by the keys."""
+    keys = list(on)
+    rest = [[c for c in df.columns if c not in keys] for df in (left, right)]
+    packed = [F.struct(*(cols or [F.lit(0).alias("_")])) for cols in rest]
+    a = left.select(*keys, F.lit(0).alias("_side"), packed[0].alias("_rows0"), F.lit(None).alias("_rows1"))
+    b = right.select(*keys, F.lit(1).alias("_side"), F.lit(None).alias("_rows0"), packed[1].alias("_rows1"))
+
+    def both(part: pa.Table) -> pa.Table:
+        sides = []
+        for k, cols in enumerate(rest):
+            own = part.filter(pc.equal(part["_side"], k))
+            sides.append(pa.table([own[c] for c in keys] + [pc.struct_field(own[f"_rows{k}"], c) for c in cols], names=[*keys, *cols]))
+        return function(*sides)
+
+    return user.by_groups(a.unionByName(b), keys, both, schema)
 
 
 def semi(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:

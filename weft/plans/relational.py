@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from weft.functions.scalar import day_name, floor_to, in_zone, words
@@ -215,11 +217,14 @@ def frame_join(spark, d):
 @query("SELECT k, coalesce(a, 0) AS n_orders, coalesce(b, 0) AS n_customers FROM (SELECT o_custkey AS k, count(*) AS a FROM orders GROUP BY ALL) FULL JOIN (SELECT CASE WHEN c_custkey % 3 = 0 THEN -c_custkey ELSE c_custkey END AS k, count(*) AS b FROM customer GROUP BY ALL) USING (k)")
 def cogroup_counts(spark, d):
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("k"))
-    return joins.cogroup(o, table(spark, d, "customer").select(_elsewhere(3).alias("k")), ["k"], _sizes, "k bigint, n_orders bigint, n_customers bigint")
+    return joins.cogroups(o, table(spark, d, "customer").select(_elsewhere(3).alias("k")), ["k"], _sizes, "k bigint, n_orders bigint, n_customers bigint")
 
 
-def _sizes(orders, customers):
-    return (orders if len(orders) else customers)[["k"]].head(1).assign(n_orders=len(orders), n_customers=len(customers))
+def _sizes(orders: pa.Table, customers: pa.Table) -> pa.Table:
+    """Rows of each key on both sides; null keys of one side are not those of the other, as in SQL."""
+    n, m = (t.group_by("k", use_threads=False).aggregate([([], "count_all")]).rename_columns(["k", name]) for t, name in ((orders, "n_orders"), (customers, "n_customers")))
+    both = n.join(m, "k", join_type="full outer", use_threads=False)
+    return pa.table({c: both["k"] if c == "k" else pc.fill_null(both[c], 0) for c in ("k", "n_orders", "n_customers")})
 
 
 _SPAN = "SELECT event_id, user_id, event_type, epoch(ts) AS start, epoch(ts) + value AS stop FROM events"
