@@ -421,7 +421,7 @@ def _tables(spark, folder):
     spark.range(3000).selectExpr(f"{key} AS c_custkey").write.parquet(f"{folder}/customer.parquet")
 
 
-@pytest.mark.parametrize("name", ["cogroup_counts"])
+@pytest.mark.parametrize("name", ["cogroup_counts", "group_apply_two_keys"])
 def test_group_queries_on_null_keys(spark, tmp_path, name):
     _tables(spark, tmp_path)
     con = duckdb.connect()

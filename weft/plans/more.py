@@ -6,6 +6,8 @@ import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from weft.functions import scalar, user
@@ -67,11 +69,15 @@ async def _twice(n):
 @query("SELECT user_id, event_type, count(*) AS n, round(max(value) - min(value), 6) AS spread FROM events GROUP BY ALL")
 def group_apply_two_keys(spark, d):
     e = table(spark, d, "events").select("user_id", "event_type", "value")
-    return user.by_group(e, ["user_id", "event_type"], _spread, "user_id bigint, event_type string, n bigint, spread double").withColumn("spread", F.round("spread", 6))
+    return user.by_groups(e, ["user_id", "event_type"], _spreads, "user_id bigint, event_type string, n bigint, spread double").withColumn("spread", F.round("spread", 6))
 
 
-def _spread(part):
-    return part.head(1)[["user_id", "event_type"]].assign(n=len(part), spread=part["value"].max() - part["value"].min())
+def _spreads(part: pa.Table) -> pa.Table:
+    """As SQL has it, a group with a NaN has a spread of NaN."""
+    part = part.append_column("nan", pc.is_nan(part["value"]))
+    g = part.group_by(["user_id", "event_type"], use_threads=False).aggregate([([], "count_all"), ("value", "max"), ("value", "min"), ("nan", "any")])
+    spread = pc.if_else(pc.fill_null(g["nan_any"], False), pa.scalar(float("nan")), pc.subtract(g["value_max"], g["value_min"]))
+    return pa.table({"user_id": g["user_id"], "event_type": g["event_type"], "n": g["count_all"], "spread": spread})
 
 
 @query("SELECT CAST(vec_id // 100 AS INTEGER) AS bi, count(*) AS n, round(sum(CAST(embedding[j] AS DOUBLE) * CAST(embedding[j] AS DOUBLE) + 2 * CAST(embedding[j] AS DOUBLE)), 6) AS total FROM embeddings, range(1, 65) t(j) GROUP BY ALL")
