@@ -432,3 +432,9 @@ def test_group_queries_on_null_keys(spark, tmp_path, name):
     names = [c[0] for c in found.description]
     assert sorted(map(str, map(tuple, df.select(*names).collect()))) == sorted(map(str, found.fetchall()))
     assert "FlatMap" not in df._jdf.queryExecution().toString()  # one call for each group
+
+
+def test_no_sketch_for_each_pair(spark, data):
+    plan = QUERIES["approx_distinct"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    keyed = [line for line in plan.splitlines() if "approx_count_distinct" in line and "Aggregate" in line]
+    assert keyed and not any("user_id" in line.split("functions=")[0] for line in keyed)
