@@ -433,8 +433,20 @@ def test_group_queries_on_null_keys(spark, tmp_path, name):
     assert sorted(map(str, map(tuple, df.select(*names).collect()))) == sorted(map(str, found.fetchall()))
     assert "FlatMap" not in df._jdf.queryExecution().toString()  # one call for each group
 
-
 def test_no_sketch_for_each_pair(spark, data):
     plan = QUERIES["approx_distinct"](spark, data)._jdf.queryExecution().executedPlan().toString()
     keyed = [line for line in plan.splitlines() if "approx_count_distinct" in line and "Aggregate" in line]
     assert keyed and not any("user_id" in line.split("functions=")[0] for line in keyed)
+
+
+def test_large_division_takes_many_partitions(spark):
+    df = spark.createDataFrame([(i,) for i in range(2000)] + [(None,)], "a long").repartition(3)
+    parts = [[(r.a, r.d) for r in p] for p in exchange.set_index(df, "a", (0, 3, 5000), partitions=6, into="d").rdd.glom().collect()]
+    every = [x for p in parts for x in p]
+    assert every == [(None, None)] + [(i, int(i >= 3)) for i in range(2000)]
+    assert len(parts) == 6 and max(map(len, parts)) < 1000
+
+
+def test_set_index_divisions_of_null(spark, tmp_path):
+    spark.createDataFrame([(i,) for i in (None, 1, 3000, 10_000)], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    assert rows(QUERIES["set_index_divisions"](spark, str(tmp_path))) == sorted([(None, 0), (1, 0), (3000, 1), (10_000, 2)], key=str)

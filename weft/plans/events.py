@@ -32,8 +32,9 @@ def exchange_stable_order(spark, d):
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey >= 10000 THEN 2 WHEN o_orderkey >= 3000 THEN 1 ELSE 0 END AS part FROM orders")
 def set_index_divisions(spark, d):
-    df = ex.set_index(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", (0, 3000, 10000, 1 << 60))
-    return df.withColumn("part", F.spark_partition_id())
+    """The last division has nearly all rows, so divisions lie in many partitions. A null falls in the first, as in SQL."""
+    df = ex.set_index(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", (0, 3000, 10000, 1 << 60), into="part")
+    return df.withColumn("part", F.coalesce("part", F.lit(0)))
 
 
 _SWEEP = f"""s AS ({_SPAN}),
