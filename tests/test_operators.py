@@ -450,3 +450,67 @@ def test_large_division_takes_many_partitions(spark):
 def test_set_index_divisions_of_null(spark, tmp_path):
     spark.createDataFrame([(i,) for i in (None, 1, 3000, 10_000)], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
     assert rows(QUERIES["set_index_divisions"](spark, str(tmp_path))) == sorted([(None, 0), (1, 0), (3000, 1), (10_000, 2)], key=str)
+
+
+def _forest(kind):
+    rng = np.random.default_rng(5)
+    if kind == "chain":
+        return [(i, i - 1 if i else None) for i in range(300)]
+    if kind == "chain with leaves":
+        return [(i, i - 1 if i else None) for i in range(60)] + [(1000 + i, i % 60) for i in range(90)]
+    if kind == "tree":
+        return [(i, i // 4 if i else None) for i in range(400)]
+    # repeated spans, several parents, parents that are no spans, nulls
+    return [(i, int(p) if (p := rng.integers(-3, i + 1)) < i else None) for i in range(40)] + [(7, 3), (7, 3), (12, 7), (None, 2), (None, None)]
+
+
+@pytest.mark.parametrize("kind", ["chain", "chain with leaves", "tree", "odd"])
+def test_subtree_sums_are_those_over_pairs(spark, kind):
+    spans = spark.createDataFrame(_forest(kind), "span_id long, parent_id long")
+    own = spark.createDataFrame([(i, "ab"[i % 2], i if i % 5 else None) for i, _ in _forest(kind) if i is not None and i % 3], "span_id long, k string, v long")
+    tree = telemetry.descendants(spans)
+    want = tree.join(own, tree.node == own.span_id).groupBy(F.col("root").alias("span_id"), "k").agg(F.sum("v").alias("v"))
+    assert rows(telemetry.subtree_sums(spans, own, ["v"], ["k"]).select("span_id", "k", "v")) == rows(want)
+
+
+def test_subtree_sums_make_no_pairs(spark, monkeypatch):
+    made = []
+    keep = telemetry.stored
+    monkeypatch.setattr(telemetry, "stored", lambda df: made.append(keep(df)) or made[-1])
+    spans = spark.createDataFrame([(i, i // 4 if i else None) for i in range(4000)], "span_id long, parent_id long")
+    sums = telemetry.subtree_sums(spans, spans.select("span_id", F.lit(1).alias("v")), ["v"])
+    assert sums.agg(F.sum("v")).first()[0] == telemetry.descendants(spans).count() > 24_000
+    made.clear()
+    telemetry.subtree_sums(spans, spans.select("span_id", F.lit(1).alias("v")), ["v"])
+    assert sum(df.count() for df in made) < 6 * 4000
+
+
+def test_subtrees_in_a_ring(spark):
+    ring = spark.createDataFrame([(0, 2), (1, 0), (2, 1), (3, 0), (4, 3)], "span_id long, parent_id long")
+    with pytest.raises(ValueError):
+        telemetry.subtree_sums(ring, ring.select("span_id", F.lit(1).alias("v")), ["v"])
+    with pytest.raises(ValueError):
+        telemetry.at_or_below(ring, ring.where("span_id = 4"))
+
+
+@pytest.mark.parametrize("kind", ["chain", "chain with leaves", "tree", "odd"])
+def test_spans_at_or_below_make_no_pairs(spark, kind, monkeypatch):
+    spans = spark.createDataFrame(_forest(kind), "span_id long, parent_id long")
+    some = spans.where("span_id % 17 = 3")
+    want = telemetry.descendants(spans).join(some.select(F.col("span_id").alias("root")), "root", "left_semi").select("node").distinct()
+    monkeypatch.setattr(telemetry, "descendants", None)
+    assert rows(telemetry.at_or_below(spans, some)) == rows(want)
+    named = spans.withColumn("name", F.array(F.when(F.col("span_id") % 17 == 3, "x").otherwise("y"))).withColumn("v", F.col("span_id"))
+    ids = {r.node for r in want.collect()}
+    inside = [i for i, _ in _forest(kind) if i in ids]
+    assert tuple(telemetry.merge_by_tags(named, ["x"], ["v"]).first()) == (len(inside), sum(inside))
+
+
+def test_span_queries_on_nulls(spark, tmp_path):
+    spark.range(200).selectExpr("CASE WHEN id < 198 THEN id END AS event_id", "id AS user_id", "timestamp_ntz'2024-01-01 00:00:00' AS ts", "CASE WHEN id % 3 > 0 THEN CASE WHEN id % 40 = 1 THEN 'error' ELSE 'view' END END AS event_type", "CASE WHEN id % 4 > 0 THEN double(id) END AS value", "CASE WHEN id % 5 > 0 THEN concat('{\"k\": ', id, '}') END AS props").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    for name in ("span_nbytes_done", "span_tree"):
+        found = con.execute(SQL[name])
+        names = [c[0] for c in found.description]
+        assert sorted(map(str, map(tuple, QUERIES[name](spark, str(tmp_path)).select(*names).collect()))) == sorted(map(str, found.fetchall()))

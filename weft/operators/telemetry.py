@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,6 +36,66 @@ def descendants(spans: DataFrame, id_: str = "span_id", parent: str = "parent_id
     return out
 
 
+def subtree_sums(spans: DataFrame, own: DataFrame, values: Sequence[str], by: Sequence[str] = (), id_: str = "span_id", parent: str = "parent_id") -> DataFrame:
+    """Sums of ``values`` of ``own`` over each span and all below it, at any depth, also ``by`` further columns; spans in a ring are an error.
+
+    No row is made for each pair of spans. As long as half of the spans left have none below them, those are finished,
+    and their sums go to the spans above them, so all rounds together take a few times the input. Deep chains, of which
+    that would leave most, are doubled: sums over less than d levels and steps of d levels give sums over less than 2 d.
+    Repeated spans and several parents count for each way from span to span, as with ``descendants``.
+    """
+    keys = [id_, *by]
+    sums = lambda df: stored(df.groupBy(*keys).agg(*(F.sum(v).alias(v) for v in values)))
+    total = sums(own.where(F.col(id_).isNotNull()))
+    up = stored(spans.where(F.col(id_).isNotNull() & F.col(parent).isNotNull()).groupBy(id_).agg(F.collect_list(parent).alias("_up")))
+    done = []
+    while True:
+        inner = up.select(F.explode("_up").alias(id_)).distinct().withColumn("_inner", F.lit(True))
+        up = stored(up.join(inner, id_, "left"))
+        n, leaves = up.agg(F.count("*"), F.count_if(F.col("_inner").isNull())).first()
+        if not n or 2 * leaves < n:
+            break
+        at = stored(total.join(up, id_, "left").withColumn("_leaf", F.col("_up").isNotNull() & F.col("_inner").isNull()))
+        done.append(at.where("_leaf").select(*keys, *values))
+        lifted = at.where("_leaf").select(F.explode("_up").alias(id_), *by, *values)
+        total = sums(at.where("NOT _leaf").select(*keys, *values).unionByName(lifted))
+        up = up.where("_inner").drop("_inner")
+    steps, depth = up.select(F.explode("_up").alias("_p"), F.col(id_).alias("_c")), 1
+    while not steps.isEmpty():
+        if depth > n:
+            raise ValueError("spans are above themselves")
+        below = steps.join(total, steps["_c"] == total[id_]).select(F.col("_p").alias(id_), *by, *values)
+        total = sums(total.unionByName(below))
+        steps = stored(steps.alias("a").join(steps.alias("b"), F.col("a._c") == F.col("b._p")).select("a._p", "b._c"))
+        depth *= 2
+    # spans that repeat count each; parents that are no spans go
+    times = spans.where(F.col(id_).isNotNull()).groupBy(id_).agg(F.count("*").alias("_times"))
+    return reduce(DataFrame.unionByName, done, total).join(times, id_).select(*keys, *((F.col(v) * F.col("_times")).alias(v) for v in values))
+
+
+def at_or_below(spans: DataFrame, some: DataFrame, id_: str = "span_id", parent: str = "parent_id") -> DataFrame:
+    """The ids in ``some`` and those of all spans below them, each once; a ring that none of these leads into is an error.
+
+    Each span that isn't known to be below asks the one d levels above it, which knows of all less than d levels above
+    itself; then d doubles.
+    """
+    known = stored(some.select(id_).where(F.col(id_).isNotNull()).distinct())
+    rest = spans.where(F.col(id_).isNotNull() & F.col(parent).isNotNull()).groupBy(id_).agg(F.collect_set(parent).alias("_up"))
+    rest = stored(rest.join(known, id_, "left_anti"))
+    n, depth = rest.count(), 1
+    while not rest.isEmpty():
+        if depth > n:
+            raise ValueError("spans are above themselves")
+        asked = known.select(F.col(id_).alias("_a"), F.lit(True).alias("_hit"), F.lit(None).alias("_next"))
+        asked = asked.unionByName(rest.select(F.col(id_).alias("_a"), F.lit(False).alias("_hit"), F.col("_up").alias("_next")))
+        got = rest.select(id_, F.explode("_up").alias("_a")).join(asked, "_a").groupBy(id_)
+        got = stored(got.agg(F.max("_hit").alias("_hit"), F.array_distinct(F.flatten(F.collect_list("_next"))).alias("_up")))
+        known = known.unionByName(got.where("_hit").select(id_))
+        rest = got.where("NOT _hit AND size(_up) > 0").drop("_hit")
+        depth *= 2
+    return known
+
+
 def by_tags(spans: DataFrame, tags: Sequence[str], id_: str = "span_id", parent: str = "parent_id", name: str = "name") -> DataFrame:
     """Spans whose name has one of the tags, without those whose parent has."""
     hit = spans.where(F.arrays_overlap(name, F.array(*map(F.lit, tags))))
@@ -98,5 +159,4 @@ def subtree_metrics(spans: DataFrame, metrics: DataFrame, active: DataFrame, id_
 def merge_by_tags(spans: DataFrame, tags: Sequence[str], values: Sequence[str], id_: str = "span_id", parent: str = "parent_id", name: str = "name") -> DataFrame:
     """One row: the sums of ``values`` over the topmost spans that have one of the tags, and all below them."""
     top = by_tags(spans, tags, id_, parent, name)
-    below = descendants(spans.select(id_, parent), id_, parent).join(top.select(F.col(id_).alias("root")), "root", "left_semi").select(F.col("node").alias(id_)).distinct()
-    return spans.join(below, id_, "left_semi").agg(F.count("*").alias("spans"), *(F.sum(v).alias(v) for v in values))
+    return spans.join(at_or_below(spans, top, id_, parent), id_, "left_semi").agg(F.count("*").alias("spans"), *(F.sum(v).alias(v) for v in values))
