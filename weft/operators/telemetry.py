@@ -148,9 +148,7 @@ def profile_of(samples: DataFrame, time: str, start=None, stop=None, path: str =
 
 def subtree_metrics(spans: DataFrame, metrics: DataFrame, active: DataFrame, id_: str = "span_id", parent: str = "parent_id", name: str = "activity", value: str = "value") -> DataFrame:
     """Sums of each metric over a span and all below it, and what of the active seconds (``span_id active``) none of them knows."""
-    tree = descendants(spans, id_, parent)
-    under = tree.join(metrics, tree.node == metrics[id_]).select("root", name, value)
-    sums = under.groupBy(F.col("root").alias(id_), name).agg(F.sum(value).alias(value))
+    sums = stored(subtree_sums(spans, metrics, [value], [name], id_, parent))
     known = sums.groupBy(id_).agg(F.sum(value).alias("_known"))
     rest = active.join(known, id_, "left").select(id_, F.lit("idle or other spans").alias(name), F.greatest(F.lit(0.0), F.col("active") - F.coalesce("_known", F.lit(0.0))).alias(value))
     return sums.unionByName(rest)
