@@ -303,4 +303,6 @@ def story(spark, d):
 @query("WITH RECURSIVE e AS (SELECT event_id AS id, CASE WHEN event_id > 0 THEN event_id // 4 END AS parent FROM events), t AS (SELECT id AS root, id AS node FROM e UNION ALL SELECT t.root, e.id FROM t JOIN e ON e.parent = t.node) SELECT root, count(*) AS n FROM t GROUP BY root")
 def span_tree(spark, d):
     e = table(spark, d, "events").select(F.col("event_id").alias("span_id"), F.when(F.col("event_id") > 0, F.floor(F.col("event_id") / 4)).alias("parent_id"))
-    return telemetry.descendants(e).groupBy("root").agg(F.count("*").alias("n"))
+    own = e.select("span_id").distinct().withColumn("n", F.lit(1).cast("bigint"))
+    nameless = e.where("span_id IS NULL").groupBy("span_id").agg(F.count("*").alias("n"))
+    return telemetry.subtree_sums(e, own, ["n"]).unionByName(nameless).withColumnRenamed("span_id", "root")

@@ -211,8 +211,9 @@ def _spans(spark, d):
 def span_nbytes_done(spark, d):
     """Bytes of a span and all below it, and whether none of them failed."""
     s = _spans(spark, d)
-    tree = telemetry.descendants(s.select("span_id", "parent_id"))
-    return tree.join(s, tree.node == s.span_id).groupBy("root").agg(F.sum("nbytes").alias("nbytes"), F.bool_and(F.col("event_type") != "error").alias("done"))
+    own = s.select("span_id", "nbytes", (F.col("event_type") == "error").cast("bigint").alias("failed"))
+    df = telemetry.subtree_sums(s.select("span_id", "parent_id"), own, ["nbytes", "failed"])
+    return df.select(F.col("span_id").alias("root"), "nbytes", (F.col("failed") == 0).alias("done"))
 
 
 @query(f"""{_TREE}, k AS (SELECT root, e.event_type AS activity, sum(e.value) AS value FROM t JOIN e ON e.id = t.node GROUP BY ALL),
