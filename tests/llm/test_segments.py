@@ -120,3 +120,13 @@ def test_long_words_are_cut_where_no_piece_crosses(v, monkeypatch):
                 at += len(raw[k])
                 k += 1
         assert total == pytest.approx(p, abs=1e-4)
+
+
+def test_trie_edges_are_found_by_slot(v):
+    trie, codes = v.keys >> 21, v.keys & ((1 << 21) - 1)
+    for extra in (0, 1, 7):
+        k, ok = v.find(trie, codes + extra)
+        at = np.minimum(np.searchsorted(v.keys, (trie << 21) | (codes + extra)), len(v.keys) - 1)
+        want = v.keys[at] == ((trie << 21) | (codes + extra))
+        assert np.array_equal(ok, want) and np.array_equal(k[ok], at[want])
+    assert (v.place < 0).any()  # crowded slots occur, and are searched

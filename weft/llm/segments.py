@@ -33,6 +33,8 @@ SAMPLES, SHARPNESS = 2, 1.0
 #: Longer words are cut into parts of at least so many characters.
 LONG = 64
 BLOCK = 1 << 19
+#: Bits of the table that finds trie edges: 4 MB, nearly all edges alone in their slot.
+SLOTS = 20
 _WORD = regex.compile(f"{SPACE}+[^{SPACE}]*")
 
 
@@ -58,6 +60,11 @@ class Vocabulary:
         keys = np.array([(a << 21) | ord(c) for a, c in nodes], np.int64)
         order = np.argsort(keys)
         self.keys, self.child = keys[order], np.array(list(nodes.values()), np.int64)[order]
+        # of each slot the place of its key; -1 if several keys fall in it
+        slots = self._slot(self.keys)
+        self.place = np.zeros(1 << SLOTS, np.int32)
+        self.place[slots] = np.arange(len(self.keys))
+        self.place[np.bincount(slots, minlength=1 << SLOTS) > 1] = -1
         self.root = np.zeros(max(ord(c) for a, c in nodes if not a) + 2, np.int64)
         for (a, c), child in nodes.items():
             if not a:
@@ -81,6 +88,19 @@ class Vocabulary:
         self.bytes = np.frombuffer(b"".join(texts), np.uint8)
 
 
+    @staticmethod
+    def _slot(key: np.ndarray) -> np.ndarray:
+        return ((key.view(U) * U(0x9E3779B97F4A7C15)) >> U(64 - SLOTS)).view(np.int64)
+
+    def find(self, trie: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the children of trie nodes by characters lie, and whether there are any: looked up by slot, searched for in crowded ones."""
+        key = (trie << 21) | codes
+        k = self.place[self._slot(key)]
+        crowded = np.flatnonzero(k < 0)
+        if len(crowded):
+            k[crowded] = np.minimum(np.searchsorted(self.keys, key[crowded]), len(self.keys) - 1)
+        return k, self.keys[k] == key
+
     def parts(self, word: str) -> list[str]:
         """The word cut where no piece crosses: its segmentations are those of the parts, one after another."""
         codes = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
@@ -97,9 +117,7 @@ class Vocabulary:
                     np.add.at(crossed, has + depth, -1)
                 more = here + depth < n
                 here, trie = here[more], trie[more]
-                key = (trie << 21) | codes[here + depth]
-                k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                ok = self.keys[k] == key
+                k, ok = self.find(trie, codes[here + depth])
                 here, trie, depth = here[ok], self.child[k[ok]], depth + 1
         free = np.flatnonzero(np.cumsum(crossed)[1:n] == 0) + 1
         out, a = [], 0
@@ -124,8 +142,8 @@ def split_words(text: str) -> list[str]:
 class Lattice:
     """Of distinct words: nodes are places in words, edges are sorted by the node they leave. It grows by new words."""
 
-    #: A worker's lattice is dropped and begun anew beyond so many words (about 65 MB).
-    MOST = 80_000
+    #: A worker's lattice is dropped and begun anew beyond so many words (about 130 MB).
+    MOST = 160_000
 
     def __init__(self, v: Vocabulary):
         self.v = v
@@ -163,9 +181,7 @@ class Lattice:
         single = np.zeros(len(codes), bool)
         while len(here):
             if depth:
-                key = (trie << 21) | codes[here + depth]
-                k = np.minimum(np.searchsorted(v.keys, key), len(v.keys) - 1)
-                ok = v.keys[k] == key
+                k, ok = v.find(trie, codes[here + depth])
                 here, trie, depth = here[ok], v.child[k[ok]], depth + 1
             else:
                 trie = v.root[np.minimum(codes, len(v.root) - 1)]
