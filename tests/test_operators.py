@@ -514,3 +514,9 @@ def test_span_queries_on_nulls(spark, tmp_path):
         found = con.execute(SQL[name])
         names = [c[0] for c in found.description]
         assert sorted(map(str, map(tuple, QUERIES[name](spark, str(tmp_path)).select(*names).collect()))) == sorted(map(str, found.fetchall()))
+
+
+@pytest.mark.parametrize("name", ["cumulative_worker_metrics", "span_nbytes_done", "span_tree"])
+def test_span_queries_list_no_pairs(spark, data, monkeypatch, name):
+    monkeypatch.setattr(telemetry, "descendants", None)
+    assert QUERIES[name](spark, data).columns
