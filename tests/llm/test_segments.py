@@ -2,6 +2,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from sentencepiece import SentencePieceProcessor
 
@@ -130,3 +131,47 @@ def test_trie_edges_are_found_by_slot(v):
         want = v.keys[at] == ((trie << 21) | (codes + extra))
         assert np.array_equal(ok, want) and np.array_equal(k[ok], at[want])
     assert (v.place < 0).any()  # crowded slots occur, and are searched
+
+
+def test_full_lattice_keeps_the_words_used_most(v, monkeypatch):
+    monkeypatch.setattr(segments.Lattice, "MOST", 6)
+    monkeypatch.setattr(v, "lattice", None)
+    built, of = [], segments.Lattice._of
+    monkeypatch.setattr(segments.Lattice, "_of", lambda self, words: built.extend(words) or of(self, words))
+    often = "the house of the people and the house of and people of"
+    texts = [often, "rare words come once", "others come too", often, "and seldom is what follows", often]
+    got = [segments.sample([t], np.array([5], np.uint64), 3, v)[0] for t in texts]
+    assert [Counter(built)[f"▁{w}"] for w in ("the", "house", "of")] == [1, 1, 1] and len(v.lattice.known) < 20
+    monkeypatch.setattr(segments.Lattice, "MOST", 1000)
+    v.lattice = None
+    for t, one in zip(texts, got):
+        for x, y in zip(one, segments.sample([t], np.array([5], np.uint64), 3, v)[0], strict=True):
+            assert np.array_equal(x[0], y[0]) and x[1:] == y[1:]
+
+
+def test_words_are_numbered_as_they_are_split(v):
+    texts = ["a plain text, a text", None, "", " ", "two  spaces", "a", "▁ b", "x" * 200 + " a 12 " + "é日" * 90, " lead", "trail ", "so\nit ends", "y" * 63, "y" * 64]
+    lattice = segments.Lattice(v)
+    for part in (pa.array(texts), pa.array(texts).slice(3, 7), pa.array(["a b"]), pa.array([None, ""], pa.string())):
+        word, first = segments.numbered(part, lattice)
+        names = list(lattice.known)
+        for i, text in enumerate(part.to_pylist()):
+            want = [p for w in segments.split_words(text or "") for p in (v.parts(w) if len(w) > segments.LONG else [w])]
+            assert [names[w] for w in word[first[i] : first[i + 1]]] == want
+    assert max(map(len, names)) == 201  # a run without a place to cut; nothing else is longer
+
+
+def test_wrong_ids_do_not_give_the_text_back(v):
+    texts = pa.array(["the cat", None, "日本 x", "the end"])
+    turns = segments.draw(texts, np.arange(4, dtype=np.uint64), 2, v)
+    assert turns[1].docs.tolist() == [0, 2, 3]  # an empty text has one segmentation
+    for t in turns:
+        assert segments.gives_back(t, texts, v).all()
+        for other, want in ((["the cat", "", "日本 x", "the enc"], [1, 1, 1, 0]), (["the cats", " ", "日本 x", "the end"], [0, 0, 1, 1]), (["eht cat", None, "", "the end"], [0, 1, 0, 1])):
+            assert segments.gives_back(t, pa.array(other), v).tolist() == [bool(want[d]) for d in t.docs]
+
+
+def test_what_an_empty_text_gets_depends_on_its_seed_alone(v):
+    alone = segments.sample([""], np.array([9], np.uint64), 2, v)[0]
+    among = segments.sample(["a b", ""], np.array([4, 9], np.uint64), 2, v)[1]
+    assert [x[1:] for x in alone] == [x[1:] for x in among]

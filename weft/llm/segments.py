@@ -17,15 +17,17 @@ import heapq
 import itertools
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import U, append, fresh, mix, slices, table
+from weft.llm.common import U, append, fresh, mix, slices, table, utf8
 from weft.llm.tokens import SPACE, default_model
 
 #: Segmentations of each text; how sharply pieces weigh by rank.
@@ -35,6 +37,10 @@ LONG = 64
 BLOCK = 1 << 19
 #: Bits of the table that finds trie edges: 4 MB, nearly all edges alone in their slot.
 SLOTS = 20
+#: Stands for a word's end among characters; no trie edge has it.
+NONE = (1 << 21) - 1
+#: Shares are summed up in parts of this size.
+FINE = float(1 << 40)
 _WORD = regex.compile(f"{SPACE}+[^{SPACE}]*")
 
 
@@ -60,6 +66,8 @@ class Vocabulary:
         keys = np.array([(a << 21) | ord(c) for a, c in nodes], np.int64)
         order = np.argsort(keys)
         self.keys, self.child = keys[order], np.array(list(nodes.values()), np.int64)[order]
+        self.inner = np.zeros(len(nodes) + 1, bool)  # nodes that have children
+        self.inner[self.keys >> 21] = True
         # of each slot the place of its key; -1 if several keys fall in it
         slots = self._slot(self.keys)
         self.place = np.zeros(1 << SLOTS, np.int32)
@@ -82,12 +90,10 @@ class Vocabulary:
             texts[i] = bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else sp.id_to_piece(i).replace(SPACE, " ").encode()
         #: What a piece's number takes in the results.
         self.kind = "<u2" if len(texts) <= 1 << 16 else "<u4"
-        self.bytes_of: dict[int, np.ndarray] = {}
         self.size = np.array([len(t) for t in texts], np.int64)
         self.start = np.concatenate([[0], np.cumsum(self.size)])
         self.bytes = np.frombuffer(b"".join(texts), np.uint8)
 
-
     @staticmethod
     def _slot(key: np.ndarray) -> np.ndarray:
         return ((key.view(U) * U(0x9E3779B97F4A7C15)) >> U(64 - SLOTS)).view(np.int64)
@@ -139,22 +145,41 @@ def split_words(text: str) -> list[str]:
     return (SPACE + text.replace(" ", f" {SPACE}")).split(" ")
 
 
+def ragged(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of all stretches, one after another: from each beginning so many."""
+    ends = np.cumsum(size)
+    return np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class Lattice:
     """Of distinct words: nodes are places in words, edges are sorted by the node they leave. It grows by new words."""
 
-    #: A worker's lattice is dropped and begun anew beyond so many words (about 130 MB).
-    MOST = 160_000
+    #: Beyond so many words a worker's lattice keeps the half of them that was used most (about 160 MB).
+    MOST = 200_000
 
     def __init__(self, v: Vocabulary):
         self.v = v
         self.known: defaultdict[str, int] = defaultdict(itertools.count().__next__)
+        self.room: dict[str, np.ndarray] = {}
         self.begin, self.first = np.zeros(1, np.int64), np.zeros(1, np.int64)  # first node of each word, first edge of each node
+        self.used = np.zeros(0, np.int64)  # how often each word occurred
         self.is_end = np.zeros(0, bool)
         # of each edge: nodes, piece id (below 0: minus one minus a character that no piece holds), share among the
         # edges of its node, sum of the shares up to it, log of the share and of that of the others
         self.start, self.to, self.ids = (np.zeros(0, np.int32) for _ in range(3))
         self.share, self.upto, self.log, self.other = np.zeros(0, np.float32), np.zeros(0, np.float32), np.zeros(0), np.zeros(0, np.float32)
 
+    def _put(self, name: str, more: np.ndarray) -> None:
+        """Appends to an array, in room that grows by halves."""
+        old = getattr(self, name)
+        n = len(old) + len(more)
+        room = self.room.get(name, old)
+        if len(room) < n:
+            room = self.room[name] = np.empty(n + n // 2, old.dtype)
+            room[: len(old)] = old
+        room[len(old) : n] = more
+        setattr(self, name, room[:n])
+
     def grow(self) -> None:
         """Adds the words that have become known."""
         new = list(itertools.islice(self.known, len(self.begin) - 1, None))
@@ -162,214 +187,295 @@ class Lattice:
             return
         nodes, edges = int(self.begin[-1]), int(self.first[-1])
         begin, first, is_end, start, to, *rest = self._of(new)
-        self.begin = np.concatenate([self.begin, begin[1:] + nodes])
-        self.first = np.concatenate([self.first, first[1:] + edges])
-        self.is_end = np.concatenate([self.is_end, is_end])
-        self.start, self.to = (np.concatenate([x, (y + nodes).astype(np.int32)]) for x, y in ((self.start, start), (self.to, to)))
-        self.ids, self.share, self.upto, self.log, self.other = (np.concatenate(x) for x in zip((self.ids, self.share, self.upto, self.log, self.other), rest, strict=True))
+        self._put("used", np.zeros(len(new), np.int64))
+        for name, more in zip(("begin", "first", "is_end", "start", "to"), (begin[1:] + nodes, first[1:] + edges, is_end, start + nodes, to + nodes), strict=True):
+            self._put(name, more)
+        for name, more in zip(("ids", "share", "upto", "log", "other"), rest, strict=True):
+            self._put(name, more)
+
+    def thin(self) -> None:
+        """Keeps the half of ``MOST`` words that was used most; what they were used counts half from now on."""
+        keep = np.sort(np.argsort(-self.used, kind="stable")[: self.MOST // 2])
+        names = list(self.known)
+        self.known = defaultdict(itertools.count(len(keep)).__next__, zip([names[w] for w in keep.tolist()], range(len(keep))))
+        at, nodes = self.begin[keep], self.begin[keep + 1] - self.begin[keep]
+        node, begin = ragged(at, nodes), np.concatenate([[0], np.cumsum(nodes)])
+        edges = self.first[at + nodes] - self.first[at]
+        edge, moved = ragged(self.first[at], edges), np.repeat(at - begin[:-1], edges)
+        self.first = np.concatenate([[0], np.cumsum(self.first[node + 1] - self.first[node])])
+        self.begin, self.used, self.is_end = begin, self.used[keep] // 2, self.is_end[node]
+        self.start, self.to = ((x[edge] - moved).astype(np.int32) for x in (self.start, self.to))
+        self.ids, self.share, self.upto, self.log, self.other = (x[edge] for x in (self.ids, self.share, self.upto, self.log, self.other))
+        self.room = {}
 
     def _of(self, words: list[str]) -> tuple[np.ndarray, ...]:
         v = self.v
         size = np.array([len(w) for w in words], np.int64)
-        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         begin = np.concatenate([[0], np.cumsum(size + 1)])  # a word has one node more than characters
-        owner = np.repeat(np.arange(len(words)), size)
-        place = np.arange(len(codes)) + owner
-        last = (begin[1:] - 1)[owner]
+        n = int(begin[-1])
+        codes = np.frombuffer(("\0".join(words) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        codes[begin[1:] - 1] = NONE
+        is_end = codes == NONE
+        place = np.flatnonzero(~is_end)
         found: list[tuple[np.ndarray, ...]] = []
-        here, trie, depth = np.arange(len(codes)), np.zeros(len(codes), np.int64), 0
-        single = np.zeros(len(codes), bool)
-        while len(here):
-            if depth:
-                k, ok = v.find(trie, codes[here + depth])
-                here, trie, depth = here[ok], v.child[k[ok]], depth + 1
-            else:
-                trie = v.root[np.minimum(codes, len(v.root) - 1)]
-                here, trie, depth = here[trie > 0], trie[trie > 0], 1
+        trie, depth = v.root[np.minimum(codes[place], len(v.root) - 1)], 1
+        single = is_end.copy()
+        single[place[v.piece[trie] >= 0]] = True
+        here = place
+        while True:
+            on = np.flatnonzero(trie)
+            here, trie = here[on], trie[on]
             piece = v.piece[trie]
-            has = piece >= 0
-            if depth == 1:
-                single[here[has]] = True
-            found.append((place[here[has]], place[here[has]] + depth, v.ids[piece[has]], v.weight[piece[has]]))
-            more = place[here] + depth < last[here]
-            here, trie = here[more], trie[more]
+            has = np.flatnonzero(piece >= 0)
+            found.append((here[has], depth, piece[has]))
+            on = np.flatnonzero(v.inner[trie])
+            here, trie = here[on], trie[on]
+            if not len(here):
+                break
+            k, ok = v.find(trie, codes[here + depth])
+            trie, depth = np.where(ok, v.child[k], 0), depth + 1
         odd = np.flatnonzero(~single)
-        length = np.where(codes[odd] < 0x80, 1, np.where(codes[odd] < 0x800, 2, np.where(codes[odd] < 0x10000, 3, 4)))
-        found.append((place[odd], place[odd] + 1, -1 - codes[odd], v.rare * length))
-        start, to, ids, weight = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.argsort(start, kind="stable")
-        start, to, ids, weight = start[order], to[order], ids[order], weight[order]
-        n = int(begin[-1])
-        first = np.searchsorted(start, np.arange(n + 1))
-        is_end = np.zeros(n, bool)
-        is_end[begin[1:] - 1] = True
+        # edges by node, within it by length; those of odd characters last
+        many = np.bincount(np.concatenate([*(h for h, *_ in found), odd]), minlength=n)
+        first = np.concatenate([[0], np.cumsum(many)])
+        free = first[:-1].copy()
+        to, ids, weight = np.empty(int(first[-1]), np.int64), np.empty(int(first[-1]), np.int32), np.empty(int(first[-1]))
+        for at, depth, piece in found:
+            e = free[at]
+            free[at] = e + 1
+            to[e], ids[e], weight[e] = at + depth, v.ids[piece], v.weight[piece]
+        e, code = free[odd], codes[odd]
+        to[e], ids[e] = odd + 1, -1 - code
+        weight[e] = v.rare * np.where(code < 0x80, 1, np.where(code < 0x800, 2, np.where(code < 0x10000, 3, 4)))
+        start = np.repeat(np.arange(n), many)
         # beta: log of the weight of all ways from a node to the word's end, from the ends backwards
         beta = np.zeros(n)
-        left = np.zeros(n, np.int64)
-        left[place] = last - place
-        by = np.argsort(left, kind="stable")
-        edge = np.searchsorted(left[by], np.arange(1, int(left.max(initial=0)) + 2))
-        for a, b in zip(edge[:-1], edge[1:], strict=True):
+        left = np.repeat(begin[1:] - 1, size + 1) - np.arange(n)
+        most = int(left.max(initial=0))
+        by = np.argsort(left.astype(np.uint16) if most < 1 << 16 else left, kind="stable")
+        level = np.concatenate([[0], np.cumsum(np.bincount(left, minlength=most + 1))])
+        for a, b in zip(level[1:-1].tolist(), level[2:].tolist(), strict=True):
             nodes = by[a:b]
-            many = first[nodes + 1] - first[nodes]
-            off = np.concatenate([[0], np.cumsum(many)[:-1]])
-            e = np.repeat(first[nodes] - off, many) + np.arange(many.sum())
-            beta[nodes] = np.logaddexp.reduceat(weight[e] + beta[to[e]], off)
-        share = np.exp(weight + beta[to] - beta[start])
-        total = np.cumsum(share)
-        upto = total - np.concatenate([[0.0], total])[first[start]]
-        alone = first[start + 1] - first[start] == 1
-        with np.errstate(divide="ignore"):
-            log = np.where(alone, 0.0, weight + beta[to] - beta[start])
-            other = np.where(alone, -np.inf, np.log(np.maximum(1 - share, 1e-300)))
-        return begin, first, is_end, start, to, ids.astype(np.int32), share.astype(np.float32), upto.astype(np.float32), log, other.astype(np.float32)
+            e = ragged(first[nodes], many[nodes])
+            beta[nodes] = np.logaddexp.reduceat(weight[e] + beta[to[e]], np.cumsum(many[nodes]) - many[nodes])
+        log = weight + beta[to]
+        log -= beta[start]
+        share = np.exp(log)
+        # sums in whole numbers: what other words stand before doesn't matter
+        total = np.cumsum(np.rint(share * FINE).astype(np.int64))
+        upto = (total - np.concatenate([[0], total])[first[start]]) / FINE
+        log[alone := (many == 1)[start]] = 0.0
+        other = np.log(np.maximum(1 - share, 1e-300))
+        other[alone] = -np.inf
+        return begin, first, is_end, start, to, ids, share.astype(np.float32), upto.astype(np.float32), log, other.astype(np.float32)
 
     def choose(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge of each node by its share."""
-        e, end = self.first[node].copy(), self.first[node + 1] - 1
-        open_ = np.flatnonzero((e < end) & (u > self.upto[e]))
-        while len(open_):
-            e[open_] += 1
-            open_ = open_[(e[open_] < end[open_]) & (u[open_] > self.upto[e[open_]])]
+        e, end = self.first.take(node), self.first.take(node + 1) - 1
+        open_ = np.flatnonzero((e < end) & (u > self.upto.take(e)))
+        at, end, u = e.take(open_), end.take(open_), u.take(open_)
+        last = u > self.upto.take(end - 1)  # the longest piece, often the likeliest
+        e[open_[last]] = end[last]
+        on = np.flatnonzero(~last)
+        while len(on):
+            open_, at, u = open_.take(on), at.take(on) + 1, u.take(on)
+            e[open_] = at
+            on = np.flatnonzero(u > self.upto.take(at))
         return e
 
     def walk(self, node: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """From each node to its word's end: the edges of all walks one after the other, and their number in each."""
-        which, edges, active, at, step = [], [], np.flatnonzero(~self.is_end[node]), node.copy(), 0
+        active = np.argsort(node)  # reading the lattice from its beginning to its end is faster
+        active = active[~self.is_end[node[active]]]
+        which, edges, at, seed, count, step = [], [], node[active], seed[active], np.zeros(len(node), np.int64), 0
         while len(active):
-            e = self.choose(at[active], uniform(seed[active], step))
+            e = self.choose(at, uniform(seed, step))
             which.append(active)
             edges.append(e)
-            at[active] = self.to[e]
-            active = active[~self.is_end[at[active]]]
             step += 1
-        if not which:
-            return np.zeros(0, np.int64), np.zeros(len(node), np.int64)
-        count = np.bincount(np.concatenate(which), minlength=len(node))
+            count[active] = step
+            at = self.to.take(e)
+            on = np.flatnonzero(~self.is_end.take(at))
+            active, at, seed = active.take(on), at.take(on), seed.take(on)
         begin = np.cumsum(count) - count
         out = np.empty(int(count.sum()), np.int64)
         for t, (w, e) in enumerate(zip(which, edges, strict=True)):
-            out[begin[w] + t] = e
+            out[begin.take(w) + t] = e
         return out, count
 
 
-def uniform(seed: np.ndarray, step: int) -> np.ndarray:
+def uniform(seed: np.ndarray, step: int | np.ndarray) -> np.ndarray:
     """In (0, 1), from seed and step alone."""
-    return ((mix(seed + U((step + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) >> U(11)).astype(np.float64) + 0.5) / float(1 << 53)
-
-
-def cut_gumbel(log: np.ndarray, bound, u: np.ndarray) -> np.ndarray:
-    """Gumbels around ``log``, none above ``bound``."""
-    with np.errstate(divide="ignore", over="ignore"):
-        return -np.logaddexp(-bound, np.log(-np.log(u)) - log)
-
-
-def sample(texts: list[str], seeds: np.ndarray, k: int, v: Vocabulary) -> list[list[tuple[np.ndarray, float, float, float]]]:
-    """For each text up to ``k`` distinct segmentations: ids, log-probability, perturbed log-probability, log of the
-    probability that it is among the chosen (given the threshold: the next perturbed value)."""
-    if v.lattice is None or len(v.lattice.known) > Lattice.MOST:
+    if isinstance(step, int):
+        add = U((step + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    else:
+        add = (step + 1).astype(U) * U(0x9E3779B97F4A7C15)
+    return ((mix(seed + add) >> U(11)).astype(np.float64) + 0.5) / float(1 << 53)
+
+
+@dataclass
+class Turn:
+    """The segmentations that the texts ``docs`` get in one turn: edges or ids of all, where those of each begin (one
+    more: the end), log-probability, perturbed log-probability, log of the probability that it is among the chosen."""
+
+    docs: np.ndarray
+    ids: np.ndarray
+    bounds: np.ndarray
+    log_prob: np.ndarray
+    value: np.ndarray
+    included: np.ndarray
+
+
+def numbered(texts: pa.Array, lattice: Lattice) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the words of all texts (null: none), and where each text's begin (one more: the end)."""
+    texts = texts.fill_null("")
+    parts = pc.split_pattern(texts, " ")
+    at = parts.offsets.to_numpy().astype(np.int64)
+    at = at - at[0]
+    coded = parts.flatten().dictionary_encode()
+    which, different = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+    # runs of spaces, U+2581 and words to be cut
+    size = pc.utf8_length(different).to_numpy()
+    odd = (size == 0) | (size >= LONG) | pc.match_substring(different, SPACE).to_numpy(zero_copy_only=False)
+    if odd.any():
+        different = different.filter(pa.array(~odd))
+    number = np.full(len(odd), -1)
+    if n := len(different):
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), different), f" {SPACE}")[0].as_py()
+        number[~odd] = np.fromiter(map(lattice.known.__getitem__, f"{SPACE}{joined}".split(" ")), np.int64, n)
+    word = number[which]
+    if not odd.any():
+        return word, at
+    out, count, done = [], np.diff(at), 0
+    for d in np.unique(np.searchsorted(at, np.flatnonzero(word < 0), "right") - 1).tolist():
+        own = split_words(texts[d].as_py())
+        own = [p for w in own for p in (lattice.v.parts(w) if len(w) > LONG else (w,))]
+        out += [word[done : at[d]], np.fromiter(map(lattice.known.__getitem__, own), np.int64, len(own))]
+        count[d], done = len(own), at[d + 1]
+    return np.concatenate([*out, word[done:]]), np.concatenate([[0], np.cumsum(count)])
+
+
+def draw(texts: pa.Array, seeds: np.ndarray, k: int, v: Vocabulary) -> list[Turn]:
+    """For each text up to ``k`` distinct segmentations, one a turn; what is among the chosen is told given the
+    threshold: the next perturbed value."""
+    if v.lattice is None:
         v.lattice = Lattice(v)
     lattice = v.lattice
-    words: list[int] = []
-    firsts = [0]
-    for text in texts:
-        own = split_words(text)
-        if len(text) > LONG and max(map(len, own), default=0) > LONG:
-            own = [p for w in own for p in (v.parts(w) if len(w) > LONG else (w,))]
-        words += map(lattice.known.__getitem__, own)
-        firsts.append(len(words))
-    if not words:
-        return [[(np.zeros(0, np.int64), 0.0, 0.0, 0.0)] for _ in texts]
+    if len(lattice.known) > lattice.MOST:
+        lattice.thin()
+    word, first = numbered(texts, lattice)
     lattice.grow()
-    word, first = np.array(words, np.int64), np.array(firsts, np.int64)
+    lattice.used += np.bincount(word, minlength=len(lattice.used))
     doc = np.repeat(np.arange(len(texts)), np.diff(first))
     number = np.arange(len(word)) - first[:-1][doc]
     word_seed = mix(seeds[doc] ^ mix(number.astype(np.uint64) + U(1)))
     start = lattice.begin[word]
+    turns: list[Turn] = []
+    fronts: list[list[tuple]] = [[] for _ in texts]
+
+    def take(docs: np.ndarray, e: np.ndarray, bounds: np.ndarray, at: np.ndarray, value: np.ndarray, skips: list[tuple[int, ...]]) -> None:
+        """Adds a segmentation of each of the texts; the sets they leave behind, from token ``at`` on, join the fronts."""
+        turn, begin, size = len(turns), bounds[:-1], np.diff(bounds)
+        log = lattice.log[e]
+        sums = np.zeros(len(e) + 1)  # up to each token; those of a text alone, so they hang on nothing else
+        for a, b in zip(begin.tolist(), bounds[1:].tolist(), strict=True):
+            np.cumsum(log[a:b], out=sums[a + 1 : b + 1])
+        log_prob = np.where(size > 0, sums[bounds[1:]], 0.0)
+        turns.append(Turn(docs, e, bounds, log_prob, value, log_prob))
+        own = ragged(begin + at, size - at)
+        place, size, before = own - np.repeat(begin, size - at), size - at, sums[own]
+        before[place == 0] = 0.0
+        rest = before + lattice.other[e[own]]
+        head = np.cumsum(size) - size
+        if turn:
+            new = e[begin + at]
+            left = 1 - np.array([sum(lattice.share[list(s)].tolist()) for s in skips]) - lattice.share[new].astype(np.float64)
+            node = lattice.start[new]
+            all_out = np.array([len(s) + 1 for s in skips]) == lattice.first[node + 1] - lattice.first[node]
+            rest[head] = np.where(all_out, -np.inf, before[head] + np.log(np.maximum(left, 1e-300)))
+        # sets of a text stand in the order of their Gumbels, whatever their bound; no more are needed than turns are left
+        spare = np.log(-np.log(uniform(mix(place.astype(np.uint64) ^ np.repeat(seeds[docs], size)), 1000 + turn))) - rest
+        need = k - turn
+        best = [np.zeros(0, np.int64)]
+        for a, n in zip(head.tolist(), size.tolist(), strict=True):
+            best.append(a + (spare[a : a + n].argpartition(need - 1)[:need] if n > need else np.arange(n)))
+        which, best = np.repeat(np.arange(len(docs)), np.minimum(size, need)), np.concatenate(best)
+        with np.errstate(over="ignore"):
+            keys = np.logaddexp(-value[which], spare[best])  # Gumbels around ``rest``, none above ``value``, negative
+        for j, key, b, i in zip(which.tolist(), keys.tolist(), best.tolist(), place[best].tolist(), strict=True):
+            if key < np.inf:
+                heapq.heappush(fronts[docs[j]], (key, turn, i, skips[j] if turn and b == head[j] else ()))
 
     edges, count = lattice.walk(start, word_seed)
-    upto = np.concatenate([[0], np.cumsum(count)])
     root = -np.log(-np.log(uniform(seeds, 0)))
-    # paths[d]: of each segmentation its edges, the tokens before each word, its log-probability up to each token
-    paths: list[list[tuple]] = [[] for _ in texts]
-    fronts: list[list[tuple]] = [[] for _ in texts]
-
-    def take(d: int, e: np.ndarray, before: np.ndarray, at: int, value: float, skip: tuple[int, ...], turn: int) -> None:
-        """Adds a segmentation; the sets it leaves behind, from token ``at`` on, join the front."""
-        sums = np.concatenate([[0.0], np.cumsum(lattice.log[e])])
-        rest = sums[at:-1] + lattice.other[e[at:]].astype(np.float64)
-        if skip:
-            left = 1 - float(lattice.share[list(skip)].sum(dtype=np.float64)) - float(lattice.share[e[at]])
-            node = lattice.start[e[at]]
-            all_out = len(skip) + 1 == lattice.first[node + 1] - lattice.first[node]
-            rest[0] = sums[at] + np.log(max(left, 1e-300)) if not all_out else -np.inf
-        keys = cut_gumbel(rest, value, uniform(mix(np.arange(at, len(e), dtype=np.uint64) ^ seeds[d]), 1000 + turn))
-        keys[rest == -np.inf] = -np.inf
-        best = np.argpartition(-keys, k)[: k + 1] if len(keys) > k + 1 else np.arange(len(keys))
-        for i in best[keys[best] > -np.inf].tolist():
-            heapq.heappush(fronts[d], (-float(keys[i]), turn, at + i, skip if i == 0 else ()))
-        paths[d].append((e, before, float(sums[-1]), value))
-
-    for d in range(len(texts)):
-        a, b = first[d], first[d + 1]
-        take(d, edges[upto[a] : upto[b]], upto[a : b + 1] - upto[a], 0, float(root[d]), (), 0)
+    none = np.zeros(len(texts), np.int64)
+    take(np.arange(len(texts)), edges, np.concatenate([[0], np.cumsum(count)])[first], none, root, [])
+    row = [np.arange(len(texts))]  # of each turn: where a text stands in it
     for turn in range(1, k):
-        nodes, node_seeds, plans = [], [], []
-        for d in range(len(texts)):
-            if not fronts[d] or len(paths[d]) < turn:
-                continue
-            key, of, i, skip = heapq.heappop(fronts[d])
-            e, before, _, _ = paths[d][of]
-            node = int(lattice.start[e[i]])
-            skip = (*skip, int(e[i]))
-            w = int(np.searchsorted(before, i, "right")) - 1
-            seed = mix(np.array([seeds[d] ^ U(turn * 0x10001 + 7)], np.uint64))[0]
-            near = np.array([x for x in range(lattice.first[node], lattice.first[node + 1]) if x not in skip])
-            share = lattice.share[near]
-            new = int(near[min(int(np.searchsorted(np.cumsum(share), uniform(np.array([seed]), i)[0] * share.sum())), len(near) - 1)])
-            a, b = first[d] + w + 1, first[d + 1]
-            nodes.append(np.concatenate([[lattice.to[new]], start[a:b]]))
-            node_seeds.append(mix(np.concatenate([[seed], word_seed[a:b]]) ^ seed))
-            plans.append((d, of, i, skip, w, new, -key))
-        if not plans:
+        docs = np.array([d for d, front in enumerate(fronts) if front], np.int64)
+        if not len(docs):
             break
-        edges, count = lattice.walk(np.concatenate(nodes), np.concatenate(node_seeds))
-        upto = np.concatenate([[0], np.cumsum(count)])
-        x = 0
-        for (d, of, i, skip, w, new, value), n in zip(plans, nodes, strict=True):
-            e, before, _, _ = paths[d][of]
-            path = np.concatenate([e[:i], [new], edges[upto[x] : upto[x + len(n)]]])
-            words_at = np.concatenate([before[: w + 1], i + 1 + upto[x + 1 : x + len(n) + 1] - upto[x]])
-            take(d, path, words_at, i, value, skip, turn)
-            x += len(n)
-    ids, out = lattice.ids, []
-    for d in range(len(texts)):
-        bar = -fronts[d][0][0] if fronts[d] else -np.inf
-        out.append([(_ids(ids[e], v), p, value, _included(p - bar)) for e, _, p, value in paths[d]])
+        keys, of, place, skips = zip(*(heapq.heappop(fronts[d]) for d in docs.tolist()), strict=True)
+        at = np.array(place, np.int64)
+        seed = mix(seeds[docs] ^ U(turn * 0x10001 + 7))
+        u, new, old, word_at = uniform(seed, at), [], [], []
+        for j, (d, t, i) in enumerate(zip(docs.tolist(), of, place, strict=True)):
+            r = row[t][d]
+            e = turns[t].ids[turns[t].bounds[r] : turns[t].bounds[r] + i + 1]
+            node, out = int(lattice.start[e[i]]), (*skips[j], int(e[i]))
+            near = np.array([x for x in range(lattice.first[node], lattice.first[node + 1]) if x not in out])
+            share = lattice.share[near]
+            new.append(near[min(int(np.searchsorted(np.cumsum(share), u[j] * share.sum())), len(near) - 1)])
+            old.append((e[:i], out))
+            word_at.append(first[d] + np.count_nonzero(lattice.is_end[lattice.to[e[:i]]]))
+        # on from the new edge to its word's end, then through the words after it
+        words_left = first[docs + 1] - np.array(word_at)
+        own, head = ragged(np.array(word_at), words_left), np.cumsum(words_left) - words_left
+        nodes, node_seeds, new = start[own], word_seed[own], np.array(new)
+        nodes[head], node_seeds[head] = lattice.to[new], seed
+        edges, count = lattice.walk(nodes, mix(node_seeds ^ np.repeat(seed, words_left)))
+        upto = np.concatenate([[0], np.cumsum(count)])[np.append(head, len(own))]
+        paths = [x for j, (e, _) in enumerate(old) for x in (e, new[j : j + 1], edges[upto[j] : upto[j + 1]])]
+        row.append(np.full(len(texts), -1))
+        row[turn][docs] = np.arange(len(docs))
+        take(docs, np.concatenate(paths), np.concatenate([[0], np.cumsum(at + 1 + np.diff(upto))]), at, -np.array(keys), [out for _, out in old])
+    bar = np.array([-front[0][0] if front else -np.inf for front in fronts])
+    for t in turns:
+        t.included = _included(t.log_prob - bar[t.docs])
+        t.ids, size = _ids(lattice.ids[t.ids], v)
+        if size is not None:
+            t.bounds = np.concatenate([[0], np.cumsum(size)])[t.bounds]
+    return turns
+
+
+def sample(texts: list[str], seeds: np.ndarray, k: int, v: Vocabulary) -> list[list[tuple[np.ndarray, float, float, float]]]:
+    """For each text its segmentations: ids, log-probability, perturbed log-probability, log of the probability that it is chosen."""
+    out: list[list[tuple[np.ndarray, float, float, float]]] = [[] for _ in texts]
+    for t in draw(pa.array(texts, pa.string()), seeds, k, v):
+        for d, a, b, *x in zip(t.docs.tolist(), t.bounds[:-1], t.bounds[1:], t.log_prob.tolist(), t.value.tolist(), t.included.tolist(), strict=True):
+            out[d].append((t.ids[a:b], *x))
     return out
 
 
-def _included(x: float) -> float:
+def _included(x: np.ndarray) -> np.ndarray:
     """log(1 - exp(-exp(x)))"""
-    return float(x) if x < -30 else float(np.log(-np.expm1(-np.exp(min(x, 700.0)))))
+    with np.errstate(divide="ignore"):
+        return np.where(x < -30, x, np.log(-np.expm1(-np.exp(np.minimum(x, 700.0)))))
 
 
-def _ids(ids: np.ndarray, v: Vocabulary) -> np.ndarray:
-    """With the bytes of characters that no piece holds."""
+def _ids(ids: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray | None]:
+    """With the bytes of characters that no piece holds, and how many ids each has become (None: one each)."""
     odd = np.flatnonzero(ids < 0)
     if not len(odd):
-        return ids
-    raw = []
-    for p in ids[odd].tolist():
-        if (x := v.bytes_of.get(p)) is None:
-            x = v.bytes_of[p] = v.byte[np.frombuffer(chr(-1 - p).encode("utf-8", "surrogatepass"), np.uint8)]
-        raw.append(x)
+        return ids, None
+    chars, char = np.unique(ids[odd], return_inverse=True)
+    raw = [v.byte[np.frombuffer(chr(-1 - p).encode("utf-8", "surrogatepass"), np.uint8)] for p in chars.tolist()]
+    many = np.array([len(x) for x in raw])
     size = np.ones(len(ids), np.int64)
-    size[odd] = n = np.array([len(x) for x in raw])
+    size[odd] = n = many[char]
     out = np.repeat(ids, size)
-    first = np.cumsum(size)[odd] - n
-    out[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())] = np.concatenate(raw)
-    return out
+    out[ragged(np.cumsum(size)[odd] - n, n)] = np.concatenate(raw)[ragged((np.cumsum(many) - many)[char], n)]
+    return out, size
 
 
 def encode(df: DataFrame, key: str, text: str = "text", k: int = SAMPLES, path: str | None = None, drop: tuple[str, ...] = (), round_trip: bool = False) -> DataFrame:
@@ -393,20 +499,43 @@ def encode(df: DataFrame, key: str, text: str = "text", k: int = SAMPLES, path:
         v = vocabulary(path)
         for batch in slices(batches, text, BLOCK):
             seeds = batch.column(seed).to_numpy(zero_copy_only=False).astype(np.uint64)
-            texts = [t or "" for t in batch.column(text).to_pylist()]
-            got = sample(texts, seeds, k, v)
-            which = np.repeat(np.arange(len(got)), [len(g) for g in got])
-            n, ids, p, value, inc = zip(*((i, *x) for g in got for i, x in enumerate(g)), strict=True) if got else ((),) * 5
-            out = [pa.array(n, pa.int32()), pa.array([x.astype(v.kind).tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64()), pa.array(p, pa.float64()), pa.array(value, pa.float64()), pa.array(inc, pa.float64())]
+            turns = draw(batch.column(text), seeds, k, v)
+            which = np.concatenate([t.docs for t in turns])
+            order = np.argsort(which, kind="stable")
+            n = np.repeat(np.arange(len(turns), dtype=np.int32), [len(t.docs) for t in turns])
+            size = np.concatenate([np.diff(t.bounds) for t in turns])
+            ids = np.concatenate([t.ids for t in turns]).astype(v.kind)
+            ends = np.concatenate([[0], np.cumsum(size)]) * ids.itemsize
+            binary = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(ids)])
+            columns = [pa.array(n), binary, pa.array(size), *(pa.array(np.concatenate([getattr(t, x) for t in turns])) for x in ("log_prob", "value", "included"))]
             if round_trip:
-                plain = [t.replace(SPACE, " ") for t in texts]
-                out.append(pa.array([plain[i] == back for i, back in zip(which.tolist(), texts_of(ids, v), strict=True)], pa.bool_()))
-            rows = pa.array(which)
+                columns.append(pa.array(np.concatenate([gives_back(t, batch.column(text), v) for t in turns])))
+            rows, order = pa.array(which[order]), pa.array(order)
+            out = [c.take(order) for c in columns]
+            out[1] = out[1].cast(pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(c).take(rows) for c in keep] + out, [*keep, *added])
 
     return df.mapInArrow(work, fields)
 
 
+def gives_back(t: Turn, texts: pa.Array, v: Vocabulary) -> np.ndarray:
+    """Whether decoding a turn's ids gives the bytes of its texts (null: none), U+2581 taken as a space."""
+    data, at = utf8(pc.replace_substring(texts, SPACE, " "))
+    size, start = v.size[t.ids], v.start[t.ids]
+    head = t.bounds[:-1][np.diff(t.bounds) > 0]  # without the space that was put before
+    size[head] -= 1
+    start[head] += 1
+    back = v.bytes[ragged(start, size)]
+    begin = np.concatenate([[0], np.cumsum(size)])[t.bounds]
+    want = np.diff(at)[t.docs]
+    same = np.diff(begin) == want
+    rows = np.flatnonzero(same)
+    if len(rows) < len(t.docs) or len(rows) < len(texts):
+        back, data = back[ragged(begin[:-1][rows], want[rows])], data[ragged(at[t.docs[rows]], want[rows])]
+    same[rows[np.searchsorted(np.cumsum(want[rows]), np.flatnonzero(back != data), "right")]] = False
+    return same
+
+
 def texts_of(ids: Sequence[np.ndarray], v: Vocabulary) -> Iterator[str]:
     for x in ids:
         size = v.size[x]
