@@ -175,3 +175,17 @@ def test_what_an_empty_text_gets_depends_on_its_seed_alone(v):
     alone = segments.sample([""], np.array([9], np.uint64), 2, v)[0]
     among = segments.sample(["a b", ""], np.array([4, 9], np.uint64), 2, v)[1]
     assert [x[1:] for x in alone] == [x[1:] for x in among]
+
+
+def test_second_segmentations_of_a_long_word(v):
+    sp = SentencePieceProcessor(model_file=PATH)
+    weights = {sp.id_to_piece(int(i)): w for i, w in zip(v.ids, v.weight)}
+    every = dict(ways("▁erwhand", weights))
+    z = math.log(sum(map(math.exp, every.values())))
+    p = {s: math.exp(w - z) for s, w in every.items()}
+    n = 20_000
+    out = segments.sample(["erwhand"] * n, mix(np.arange(n, dtype=np.uint64)), 2, v)
+    second = Counter(tuple(sp.id_to_piece(int(i)) for i in got[1][0]) for got in out)
+    want = {s: sum(p[x] * p[s] / (1 - p[x]) for x in p if x != s) for s in p}
+    # what follows the token where the sets are split is drawn too; when it was not, the distance was 0.035
+    assert all(second[s] for s in p if want[s] * n > 10) and sum(abs(second[s] / n - want[s]) for s in p) / 2 < 0.015

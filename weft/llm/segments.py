@@ -432,7 +432,7 @@ def draw(texts: pa.Array, seeds: np.ndarray, k: int, v: Vocabulary) -> list[Turn
         words_left = first[docs + 1] - np.array(word_at)
         own, head = ragged(np.array(word_at), words_left), np.cumsum(words_left) - words_left
         nodes, node_seeds, new = start[own], word_seed[own], np.array(new)
-        nodes[head], node_seeds[head] = lattice.to[new], seed
+        nodes[head], node_seeds[head] = lattice.to[new], 0  # the turn's own seed, when that is mixed in
         edges, count = lattice.walk(nodes, mix(node_seeds ^ np.repeat(seed, words_left)))
         upto = np.concatenate([[0], np.cumsum(count)])[np.append(head, len(own))]
         paths = [x for j, (e, _) in enumerate(old) for x in (e, new[j : j + 1], edges[upto[j] : upto[j + 1]])]
