@@ -189,3 +189,15 @@ def test_second_segmentations_of_a_long_word(v):
     want = {s: sum(p[x] * p[s] / (1 - p[x]) for x in p if x != s) for s in p}
     # what follows the token where the sets are split is drawn too; when it was not, the distance was 0.035
     assert all(second[s] for s in p if want[s] * n > 10) and sum(abs(second[s] / n - want[s]) for s in p) / 2 < 0.015
+
+
+def test_task_leaves_no_lattice_in_its_worker(spark, v, monkeypatch):
+    df, tasks = spark.createDataFrame([(1, "the house")], "doc_id long, text string"), []
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, work, schema: tasks.append(work))
+    segments.encode(df, "doc_id", drop=("text",))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["the house of", "a house"], "seed": [3, 4]})
+    rows = tasks[0](iter([batch, batch]))
+    assert next(rows).num_rows == 4 and v.lattice is not None  # kept from block to block
+    rows.close()  # a task that ends early
+    assert v.lattice is None
+    assert sum(b.num_rows for b in tasks[0](iter([batch, batch]))) == 8 and v.lattice is None

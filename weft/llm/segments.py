@@ -154,7 +154,7 @@ def ragged(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
 class Lattice:
     """Of distinct words: nodes are places in words, edges are sorted by the node they leave. It grows by new words."""
 
-    #: Beyond so many words a worker's lattice keeps the half of them that was used most (about 160 MB).
+    #: Beyond so many words a task's lattice keeps the half of them that was used most (about 160 MB).
     MOST = 200_000
 
     def __init__(self, v: Vocabulary):
@@ -497,23 +497,26 @@ def encode(df: DataFrame, key: str, text: str = "text", k: int = SAMPLES, path:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
-        for batch in slices(batches, text, BLOCK):
-            seeds = batch.column(seed).to_numpy(zero_copy_only=False).astype(np.uint64)
-            turns = draw(batch.column(text), seeds, k, v)
-            which = np.concatenate([t.docs for t in turns])
-            order = np.argsort(which, kind="stable")
-            n = np.repeat(np.arange(len(turns), dtype=np.int32), [len(t.docs) for t in turns])
-            size = np.concatenate([np.diff(t.bounds) for t in turns])
-            ids = np.concatenate([t.ids for t in turns]).astype(v.kind)
-            ends = np.concatenate([[0], np.cumsum(size)]) * ids.itemsize
-            binary = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(ids)])
-            columns = [pa.array(n), binary, pa.array(size), *(pa.array(np.concatenate([getattr(t, x) for t in turns])) for x in ("log_prob", "value", "included"))]
-            if round_trip:
-                columns.append(pa.array(np.concatenate([gives_back(t, batch.column(text), v) for t in turns])))
-            rows, order = pa.array(which[order]), pa.array(order)
-            out = [c.take(order) for c in columns]
-            out[1] = out[1].cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(rows) for c in keep] + out, [*keep, *added])
+        try:
+            for batch in slices(batches, text, BLOCK):
+                seeds = batch.column(seed).to_numpy(zero_copy_only=False).astype(np.uint64)
+                turns = draw(batch.column(text), seeds, k, v)
+                which = np.concatenate([t.docs for t in turns])
+                order = np.argsort(which, kind="stable")
+                n = np.repeat(np.arange(len(turns), dtype=np.int32), [len(t.docs) for t in turns])
+                size = np.concatenate([np.diff(t.bounds) for t in turns])
+                ids = np.concatenate([t.ids for t in turns]).astype(v.kind)
+                ends = np.concatenate([[0], np.cumsum(size)]) * ids.itemsize
+                binary = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(ids)])
+                columns = [pa.array(n), binary, pa.array(size), *(pa.array(np.concatenate([getattr(t, x) for t in turns])) for x in ("log_prob", "value", "included"))]
+                if round_trip:
+                    columns.append(pa.array(np.concatenate([gives_back(t, batch.column(text), v) for t in turns])))
+                rows, order = pa.array(which[order]), pa.array(order)
+                out = [c.take(order) for c in columns]
+                out[1] = out[1].cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(c).take(rows) for c in keep] + out, [*keep, *added])
+        finally:  # workers outlive their tasks: what runs in them next needs the memory
+            v.lattice = None
 
     return df.mapInArrow(work, fields)
 
